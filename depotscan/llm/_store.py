@@ -44,6 +44,6 @@ def drop(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def semi(rows: DataFrame, keys: DataFrame, on: list[str], n_keys: int) -> DataFrame:
-    """rows whose key is in keys. The keys are broadcast only when n_keys, their counted number, is within BROADCAST_KEYS; else both sides shuffle."""
-    return rows.join(F.broadcast(keys) if n_keys <= BROADCAST_KEYS else keys, on, "left_semi")
+def semi(rows: DataFrame, keys: DataFrame, on: list[str], n_keys: int, how: str = "left_semi") -> DataFrame:
+    """rows whose key is in keys (left_anti: is not). The keys are broadcast only when n_keys, their counted number, is within BROADCAST_KEYS; else both sides shuffle."""
+    return rows.join(F.broadcast(keys) if n_keys <= BROADCAST_KEYS else keys, on, how)

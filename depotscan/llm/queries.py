@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, language, packing, tokens
+from . import exact_dedup, language, ngram_join, packing, substring, tokens
 
 try:  # the vocabulary files are installed beside the libraries; another place may be named
     import public_tokenizers
@@ -28,6 +29,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.substring_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), f"{VOCABULARIES}/word_bpe_49k.json")
 
@@ -36,7 +42,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), f"{VOCABULARIES}/byte_bpe_50k.json")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op8_token_counts, op9_packing)}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), n=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op4_substring_dedup, op8_token_counts, op9_packing, op10_ngram_join)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
@@ -44,4 +54,14 @@ WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\
 SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
        doc_id IS NOT DISTINCT FROM min(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256
 FROM t""",
+    "op4_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+f AS (SELECT doc_id, i FROM p QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS k FROM f),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
+y AS (SELECT x.doc_id, count(*) AS n_words, count(r.k) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY x.k) FILTER (r.k IS NULL), '') AS kept
+      FROM x LEFT JOIN r ON x.doc_id = r.doc_id AND x.k = r.k GROUP BY x.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN y ON d.doc_id = y.doc_id""",
 }
