@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, ngram_join, packing, substring, tokens
+from . import exact_dedup, language, ngram_join, packing, pii, substring, tokens
 
 try:  # the vocabulary files are installed beside the libraries; another place may be named
     import public_tokenizers
@@ -29,6 +29,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"), pii.learn(pii.example_table(spark)))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.substring_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -46,7 +51,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"), n=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op4_substring_dedup, op8_token_counts, op9_packing, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_pii, op4_substring_dedup, op8_token_counts, op9_packing, op10_ngram_join)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
