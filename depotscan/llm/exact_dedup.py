@@ -20,8 +20,12 @@ from pyspark.sql import functions as F
 
 from . import _store
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on each executor's disk; changes alone go to the shared folder, and many small stores reserve no space.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -41,8 +45,9 @@ def dedup_stream(fingerprints: DataFrame, path: str, checkpoint: str) -> None:
     """
     spark = fingerprints.sparkSession
     state = fingerprints.groupBy("digest").agg(F.min("id").alias("keep_id"), F.min_by("locator", "id").alias("locator"), F.count("*").alias("group_size"))
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         query = (
             state.writeStream.outputMode("update")
@@ -53,10 +58,8 @@ def dedup_stream(fingerprints: DataFrame, path: str, checkpoint: str) -> None:
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, files_per_batch: int = 10_000) -> DataFrame:

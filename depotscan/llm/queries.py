@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, ngram_join, packing, pii, substring, tokens
+from . import decontaminate, exact_dedup, language, ngram_join, packing, pii, substring, tokens
 
 try:  # the vocabulary files are installed beside the libraries; another place may be named
     import public_tokenizers
@@ -39,6 +39,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), f"{VOCABULARIES}/word_bpe_49k.json")
 
@@ -51,7 +55,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"), n=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_pii, op4_substring_dedup, op8_token_counts, op9_packing, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_pii, op4_substring_dedup, op7_decontamination, op8_token_counts, op9_packing, op10_ngram_join)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
