@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language, ngram_join, packing, pii, substring, tokens
+from . import decontaminate, exact_dedup, language, licenses, ngram_join, packing, pii, secrets, substring, tokens
 
 try:  # the vocabulary files are installed beside the libraries; another place may be named
     import public_tokenizers
@@ -39,6 +39,20 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), *secrets.learn(secrets.labelled_findings(spark)))
+    return found.select("doc_id", "start", "stop", F.sha2("value", 256).alias("value_sha256"), F.round("score", 6).alias("score"), "is_secret")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as files: source is the repository, doc_id gives a directory of 100 files and one above it; the first
+    file of each is its LICENSE."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    place = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 10_000).cast("string"), F.floor(F.col("doc_id") / 200).cast("string"))
+    name = F.when(F.floor(F.col("doc_id") / 20) % 5 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.licence_scan(docs.withColumn("path", F.concat_ws("/", place, name)))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,7 +69,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"), n=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_pii, op4_substring_dedup, op7_decontamination, op8_token_counts, op9_packing, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_pii, op4_substring_dedup, op5_secret_scan, op6_license_scan, op7_decontamination, op8_token_counts, op9_packing, op10_ngram_join)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
