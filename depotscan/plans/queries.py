@@ -41,21 +41,25 @@ def query(key: str, sql: str | None = None) -> Callable[[Callable[[Tables], Data
     return add
 
 
-def scalar(key: str, view: str, keys: list[str], sql: str, **columns: Column) -> None:
-    """A query that computes columns over a whole view."""
-    query(key, sql)(lambda t: getattr(t, view).select(*keys, *(c.alias(n) for n, c in columns.items())))
+def scalar(key: str, view: str, keys: list[str], sql: str, **columns: Callable[[], Column]) -> None:
+    """A query that computes columns over a whole view; they are made when it runs, for columns need a session."""
+    query(key, sql)(lambda t: getattr(t, view).select(*keys, *(c().alias(n) for n, c in columns.items())))
 
 
 C, L = F.col, F.lit
 NEVRA_SQL = "name || '-' || coalesce(CAST(epoch AS VARCHAR) || ':', '') || version || '-' || release || '.' || CASE WHEN kind = 'source' THEN 'src' ELSE arch END"
 NVRA_SQL = "name || '-' || version || '-' || release || '.' || CASE WHEN kind = 'source' THEN 'src' ELSE arch END"
-BYTES = F.encode(C("text"), "UTF-8")
+
+
+def utf8() -> Column:
+    return F.encode(C("text"), "UTF-8")
+
 
 # Scalar functions
 
-scalar("arch_src", "a_package", ["package_id"], "SELECT package_id, CASE WHEN kind = 'source' THEN 'src' ELSE arch END AS r FROM a_package", r=S.arch_src(C("kind"), C("arch")))
-scalar("nvra", "a_package", ["package_id"], f"SELECT package_id, {NVRA_SQL} AS r FROM a_package", r=S.nvra(*map(C, ("name", "version", "release", "kind", "arch"))))
-scalar("nevra", "a_package", ["package_id"], f"SELECT package_id, {NEVRA_SQL} AS r FROM a_package", r=S.nevra(*map(C, ("name", "epoch", "version", "release", "kind", "arch"))))
+scalar("arch_src", "a_package", ["package_id"], "SELECT package_id, CASE WHEN kind = 'source' THEN 'src' ELSE arch END AS r FROM a_package", r=lambda: S.arch_src(C("kind"), C("arch")))
+scalar("nvra", "a_package", ["package_id"], f"SELECT package_id, {NVRA_SQL} AS r FROM a_package", r=lambda: S.nvra(*map(C, ("name", "version", "release", "kind", "arch"))))
+scalar("nevra", "a_package", ["package_id"], f"SELECT package_id, {NEVRA_SQL} AS r FROM a_package", r=lambda: S.nevra(*map(C, ("name", "epoch", "version", "release", "kind", "arch"))))
 
 _MODE = "CAST(p_partkey * 37 % 65536 AS INT)"
 _bit = lambda e, b, ch: f"CASE WHEN ({e} & {b}) <> 0 THEN '{ch}' ELSE '-' END"
@@ -78,76 +82,94 @@ def op_sql(e: str) -> str:
     return " || ".join(f"CASE WHEN ({e} & {b}) <> 0 THEN '{ch}' ELSE '' END" for ch, b in (("<", 2), (">", 4), ("=", 8)))
 
 
-_mode = (C("p_partkey") * 37 % 65536).cast("int")
-scalar("file_mode", "part", ["p_partkey"], f"SELECT p_partkey, {mode_sql(_MODE)} AS r FROM part", r=S.file_mode(_mode))
-scalar("file_mode_full", "part", ["p_partkey"], f"SELECT p_partkey, {mode_full_sql(_MODE)} AS r FROM part", r=S.file_mode_full(_mode))
-scalar("file_flags", "part", ["p_partkey"], f"SELECT p_partkey, {flags_sql(_MODE)} AS r FROM part", r=S.file_flags(_mode))
-scalar("version_comparison", "part", ["p_partkey"], f"SELECT p_partkey, {op_sql(_MODE)} AS r FROM part", r=S.version_comparison(_mode))
+
+
+def _mode() -> Column:
+    return (C("p_partkey") * 37 % 65536).cast("int")
+
+
+scalar("file_mode", "part", ["p_partkey"], f"SELECT p_partkey, {mode_sql(_MODE)} AS r FROM part", r=lambda: S.file_mode(_mode()))
+scalar("file_mode_full", "part", ["p_partkey"], f"SELECT p_partkey, {mode_full_sql(_MODE)} AS r FROM part", r=lambda: S.file_mode_full(_mode()))
+scalar("file_flags", "part", ["p_partkey"], f"SELECT p_partkey, {flags_sql(_MODE)} AS r FROM part", r=lambda: S.file_flags(_mode()))
+scalar("version_comparison", "part", ["p_partkey"], f"SELECT p_partkey, {op_sql(_MODE)} AS r FROM part", r=lambda: S.version_comparison(_mode()))
 scalar(
     "trigger_type", "part", ["p_partkey"],
     "SELECT p_partkey, CASE WHEN (f & 33554432) <> 0 THEN 'prein' WHEN (f & 65536) <> 0 THEN 'in' WHEN (f & 131072) <> 0 THEN 'un' WHEN (f & 262144) <> 0 THEN 'postun' END AS r FROM (SELECT p_partkey, CAST(p_partkey % 16 * 65536 + p_size % 2 * 33554432 AS INT) AS f FROM part)",
-    r=S.trigger_type((C("p_partkey") % 16 * 65536 + C("p_size") % 2 * 33554432).cast("int")),
+    r=lambda: S.trigger_type((C("p_partkey") % 16 * 65536 + C("p_size") % 2 * 33554432).cast("int")),
 )
-scalar("elf_visibility", "part", ["p_partkey"], "SELECT p_partkey, CASE p_size & 3 WHEN 0 THEN 'default' WHEN 1 THEN 'internal' WHEN 2 THEN 'hidden' ELSE 'protected' END AS r FROM part", r=S.elf_visibility(C("p_size")))
-scalar("has_xsection", "part", ["p_partkey"], "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 65535 ELSE p_size END = 65535 AS r FROM part", r=S.has_xsection(F.when(C("p_size") % 3 == 0, 65535).otherwise(C("p_size"))))
+scalar("elf_visibility", "part", ["p_partkey"], "SELECT p_partkey, CASE p_size & 3 WHEN 0 THEN 'default' WHEN 1 THEN 'internal' WHEN 2 THEN 'hidden' ELSE 'protected' END AS r FROM part", r=lambda: S.elf_visibility(C("p_size")))
+scalar("has_xsection", "part", ["p_partkey"], "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 65535 ELSE p_size END = 65535 AS r FROM part", r=lambda: S.has_xsection(F.when(C("p_size") % 3 == 0, 65535).otherwise(C("p_size"))))
 _ARCH = {(3, 1): "i386", (2, 1): "sparc", (43, 2): "sparc64", (20, 1): "ppc", (21, 2): "ppc64", (22, 1): "s390", (22, 2): "s390x", (62, 2): "x86_64", (40, 1): "arm", (183, 2): "aarch64"}
 scalar(
     "elf_arch", "part", ["p_partkey"], "SELECT p_partkey, CASE " + " ".join(f"WHEN m = {m} AND c = {c} THEN '{n}'" for (m, c), n in _ARCH.items()) + " END AS r FROM (SELECT p_partkey, p_partkey % 190 AS m, 1 + p_size % 2 AS c FROM part)",
-    r=S.elf_arch(1 + C("p_size") % 2, C("p_partkey") % 190),
+    r=lambda: S.elf_arch(1 + C("p_size") % 2, C("p_partkey") % 190),
 )
 _BASE = "CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'http://h/' WHEN 2 THEN '/srv' ELSE 'http://h' END"
 _REL = "CASE WHEN p_size % 4 = 0 THEN '' ELSE p_brand END"
-_base = F.when(C("p_partkey") % 5 == 0, "").when(C("p_partkey") % 5 == 1, "http://h/").when(C("p_partkey") % 5 == 2, "/srv").otherwise("http://h")
-_rel = F.when(C("p_size") % 4 == 0, "").otherwise(C("p_brand"))
+
+
+def _base() -> Column:
+    return F.when(C("p_partkey") % 5 == 0, "").when(C("p_partkey") % 5 == 1, "http://h/").when(C("p_partkey") % 5 == 2, "/srv").otherwise("http://h")
+
+
+def _rel() -> Column:
+    return F.when(C("p_size") % 4 == 0, "").otherwise(C("p_brand"))
+
+
 _COMBINE = "CASE WHEN b = '' THEN r WHEN r = '' THEN b WHEN b LIKE '%/' OR b LIKE '/%' THEN b || r ELSE b || '/' || r END"
-scalar("url_combine", "part", ["p_partkey"], f"SELECT p_partkey, {_COMBINE} AS url FROM (SELECT p_partkey, {_BASE} AS b, {_REL} AS r FROM part)", url=S.url_combine(_base, _rel))
-scalar("location_url", "part", ["p_partkey"], f"SELECT p_partkey, {_COMBINE} AS url FROM (SELECT p_partkey, coalesce(nullif({_BASE}, ''), 'http://repo') AS b, {_REL} AS r FROM part)", url=S.location_url(_base, L("http://repo"), _rel))
+scalar("url_combine", "part", ["p_partkey"], f"SELECT p_partkey, {_COMBINE} AS url FROM (SELECT p_partkey, {_BASE} AS b, {_REL} AS r FROM part)", url=lambda: S.url_combine(_base(), _rel()))
+scalar("location_url", "part", ["p_partkey"], f"SELECT p_partkey, {_COMBINE} AS url FROM (SELECT p_partkey, coalesce(nullif({_BASE}, ''), 'http://repo') AS b, {_REL} AS r FROM part)", url=lambda: S.location_url(_base(), L("http://repo"), _rel()))
 scalar(
     "digest", "documents", ["doc_id"], "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN md5(text) WHEN 3 THEN sha256(text) ELSE sha1(text) END AS r FROM documents",
-    r=S.digest(F.element_at(F.array(*map(L, ("md5", "sha", "sha1", "sha256"))), (C("doc_id") % 4 + 1).cast("int")), BYTES),
+    r=lambda: S.digest(F.element_at(F.array(*map(L, ("md5", "sha", "sha1", "sha256"))), (C("doc_id") % 4 + 1).cast("int")), utf8()),
 )
-scalar("hex_encode", "part", ["p_partkey"], "SELECT p_partkey, lower(hex(encode(p_name))) AS r FROM part", r=S.hex_encode(F.encode(C("p_name"), "UTF-8")))
-scalar("hex_decode", "part", ["p_partkey"], "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name END AS r FROM part", r=F.decode(S.hex_decode(F.when(C("p_partkey") % 3 == 0, F.hex(F.encode(C("p_name"), "UTF-8"))).when(C("p_partkey") % 3 == 1, "abc").otherwise("zz")), "UTF-8"))
+scalar("hex_encode", "part", ["p_partkey"], "SELECT p_partkey, lower(hex(encode(p_name))) AS r FROM part", r=lambda: S.hex_encode(F.encode(C("p_name"), "UTF-8")))
+scalar("hex_decode", "part", ["p_partkey"], "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name END AS r FROM part", r=lambda: F.decode(S.hex_decode(F.when(C("p_partkey") % 3 == 0, F.hex(F.encode(C("p_name"), "UTF-8"))).when(C("p_partkey") % 3 == 1, "abc").otherwise("zz")), "UTF-8"))
 scalar(
     "is_valid_utf8", "documents", ["doc_id"], "SELECT doc_id, doc_id % 2 = 0 OR NOT regexp_matches(text, '[^\\x00-\\x7f]') AS r FROM documents",
-    r=S.is_valid_utf8(F.when(C("doc_id") % 2 == 0, BYTES).otherwise(F.encode(F.regexp_replace("text", r"[^\x00-\xff]", "?"), "ISO-8859-1"))),
+    r=lambda: S.is_valid_utf8(F.when(C("doc_id") % 2 == 0, utf8()).otherwise(F.encode(F.regexp_replace("text", r"[^\x00-\xff]", "?"), "ISO-8859-1"))),
 )
-scalar("latin1_to_utf8", "documents", ["doc_id"], "SELECT doc_id, sha256(regexp_replace(text, '[^\\x00-\\x{ff}]', '?', 'g')) AS r FROM documents", r=F.sha2(S.latin1_to_utf8(F.encode(F.regexp_replace("text", r"[^\x00-\xff]", "?"), "ISO-8859-1")), 256))
-scalar("strip", "part", ["p_partkey"], "SELECT p_partkey, p_name AS r FROM part", r=S.strip(F.concat(L("\t \n"), C("p_name"), L(" \r\n\x01"))))
+scalar("latin1_to_utf8", "documents", ["doc_id"], "SELECT doc_id, sha256(regexp_replace(text, '[^\\x00-\\x{ff}]', '?', 'g')) AS r FROM documents", r=lambda: F.sha2(S.latin1_to_utf8(F.encode(F.regexp_replace("text", r"[^\x00-\xff]", "?"), "ISO-8859-1")), 256))
+scalar("strip", "part", ["p_partkey"], "SELECT p_partkey, p_name AS r FROM part", r=lambda: S.strip(F.concat(L("\t \n"), C("p_name"), L(" \r\n\x01"))))
 scalar(
     "parse_u64", "part", ["p_partkey"],
     "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN CAST(p_partkey AS VARCHAR) WHEN 1 THEN '0' WHEN 3 THEN '18446744073709551615' END AS r FROM part",
-    r=S.parse_u64(F.when(C("p_partkey") % 5 == 0, F.concat(L(" "), C("p_partkey").cast("string"), L("\n"))).when(C("p_partkey") % 5 == 1, "").when(C("p_partkey") % 5 == 2, "12x").when(C("p_partkey") % 5 == 3, "18446744073709551615").otherwise("18446744073709551616")).cast("string"),
+    r=lambda: S.parse_u64(F.when(C("p_partkey") % 5 == 0, F.concat(L(" "), C("p_partkey").cast("string"), L("\n"))).when(C("p_partkey") % 5 == 1, "").when(C("p_partkey") % 5 == 2, "12x").when(C("p_partkey") % 5 == 3, "18446744073709551615").otherwise("18446744073709551616")).cast("string"),
 )
 scalar(
     "quote", "part", ["p_partkey"],
     "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name || '\\\"\\\\\\n' || p_brand ELSE p_name || '\\xc3\\xa9\\x01' END AS r FROM part",
-    r=S.quote(F.when(C("p_partkey") % 3 == 0, C("p_name")).when(C("p_partkey") % 3 == 1, F.concat(C("p_name"), L('"\\\n'), C("p_brand"))).otherwise(F.concat(C("p_name"), L("é\x01")))),
+    r=lambda: S.quote(F.when(C("p_partkey") % 3 == 0, C("p_name")).when(C("p_partkey") % 3 == 1, F.concat(C("p_name"), L('"\\\n'), C("p_brand"))).otherwise(F.concat(C("p_name"), L("é\x01")))),
 )
-scalar("starts_with", "a_file", ["file_id"], "SELECT file_id, starts_with(name, '/etc/') AS r FROM a_file", r=S.starts_with(C("name"), L("/etc/")))
-scalar("ends_with", "a_file", ["file_id"], "SELECT file_id, ends_with(name, '.conf') AS r FROM a_file", r=S.ends_with(C("name"), L(".conf")))
-scalar("array_literal", "part", ["p_partkey"], """SELECT p_partkey, '{"' || p_name || '","a\\"b\\\\","' || p_brand || '"}' AS r FROM part""", r=S.array_literal(F.array(C("p_name"), L('a"b\\'), C("p_brand"))))
-scalar("base_name", "a_file", ["file_id"], "SELECT file_id, regexp_extract(name, '[^/]*$') AS r FROM a_file", r=S.base_name(C("name")))
+scalar("starts_with", "a_file", ["file_id"], "SELECT file_id, starts_with(name, '/etc/') AS r FROM a_file", r=lambda: S.starts_with(C("name"), L("/etc/")))
+scalar("ends_with", "a_file", ["file_id"], "SELECT file_id, ends_with(name, '.conf') AS r FROM a_file", r=lambda: S.ends_with(C("name"), L(".conf")))
+scalar("array_literal", "part", ["p_partkey"], """SELECT p_partkey, '{"' || p_name || '","a\\"b\\\\","' || p_brand || '"}' AS r FROM part""", r=lambda: S.array_literal(F.array(C("p_name"), L('a"b\\'), C("p_brand"))))
+scalar("base_name", "a_file", ["file_id"], "SELECT file_id, regexp_extract(name, '[^/]*$') AS r FROM a_file", r=lambda: S.base_name(C("name")))
 scalar(
     "same_directory", "a_object", ["file_id"], "SELECT file_id, name LIKE '/lib64/%' AS r FROM a_object",
-    r=S.same_directory(C("name"), L("/lib64/x")),
+    r=lambda: S.same_directory(C("name"), L("/lib64/x")),
 )
-scalar("epoch_to_timestamp", "orders", ["o_orderkey"], "SELECT o_orderkey, CAST(TIMESTAMP '1970-01-01' + to_seconds(o_orderkey * 86399) AS VARCHAR) AS r FROM orders", r=S.epoch_to_timestamp(C("o_orderkey") * 86399).cast("string"))
-scalar("regex_match", "a_file", ["file_id"], "SELECT file_id, regexp_matches(name, '^/(etc|opt)/.*[0-9]$') AS r FROM a_file", r=S.regex_match(C("name"), "^/(etc|opt)/.*[0-9]$"))
-scalar("enum_text", "part", ["p_partkey"], "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'require' WHEN 1 THEN 'provide' WHEN 2 THEN 'conflict' WHEN 3 THEN 'obsolete' END AS r FROM part", r=S.enum_text("dependency", C("p_size") % 5))
+scalar("epoch_to_timestamp", "orders", ["o_orderkey"], "SELECT o_orderkey, CAST(TIMESTAMP '1970-01-01' + to_seconds(o_orderkey * 86399) AS VARCHAR) AS r FROM orders", r=lambda: S.epoch_to_timestamp(C("o_orderkey") * 86399).cast("string"))
+scalar("regex_match", "a_file", ["file_id"], "SELECT file_id, regexp_matches(name, '^/(etc|opt)/.*[0-9]$') AS r FROM a_file", r=lambda: S.regex_match(C("name"), "^/(etc|opt)/.*[0-9]$"))
+scalar("enum_text", "part", ["p_partkey"], "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'require' WHEN 1 THEN 'provide' WHEN 2 THEN 'conflict' WHEN 3 THEN 'obsolete' END AS r FROM part", r=lambda: S.enum_text("dependency", C("p_size") % 5))
 
 # Sources and sinks
 
 
-@query("table_catalog")
+_FILLED = ("package", "package_set", "package_set_member", "file", "elf_definition", "elf_reference")
+_COUNTS = " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {v}" for n, v in zip(_FILLED, ("a_package", "a_set", "a_set_member", "a_file", "a_definition", "a_reference"), strict=True))
+_FIELDS = ", ".join(f"('{n}', {k})" for n, k in schemas.widths().items())
+
+
+@query("table_catalog", f"SELECT f.table_name, n_columns, n_rows FROM (VALUES {_FIELDS}) f(table_name, n_columns) LEFT JOIN ({_COUNTS}) c ON c.table_name = f.table_name")
 def _(t: Tables) -> DataFrame:
     """The contract's columns, beside how many rows the registered tables give to those that views fill."""
-    filled = {"package": t.a_package, "package_set": t.a_set, "package_set_member": t.a_set_member, "file": t.a_file, "elf_definition": t.a_definition, "elf_reference": t.a_reference}
+    filled = dict(zip(_FILLED, (t.a_package, t.a_set, t.a_set_member, t.a_file, t.a_definition, t.a_reference), strict=True))
     counts = [df.agg(F.count("*").alias("n_rows")).select(L(name).alias("table_name"), "n_rows") for name, df in filled.items()]
     rows = counts[0]
     for c in counts[1:]:
         rows = rows.unionByName(c)
-    fields = t.spark.createDataFrame([(n, len(s)) for n, s in schemas.schemas().items()], "table_name string, n_columns int")
+    fields = t.spark.createDataFrame(list(schemas.widths().items()), "table_name string, n_columns int")
     return fields.join(rows, "table_name", "left")
 
 
@@ -202,7 +224,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("binary_scan", "SELECT doc_id, sha256(text) AS digest, CAST(octet_length(encode(text)) AS BIGINT) AS length, lower(hex(encode(text)[1:64])) AS preview FROM documents")
 def _(t: Tables) -> DataFrame:
-    rows = readers.binary_fields(t.documents.select("doc_id", BYTES.alias("content")))
+    rows = readers.binary_fields(t.documents.select("doc_id", utf8().alias("content")))
     return rows.select("doc_id", "digest", F.octet_length("content").cast("long").alias("length"), S.hex_encode(C("preview")).alias("preview"))
 
 
@@ -233,7 +255,7 @@ def _(t: Tables) -> DataFrame:
 
 
 def _digested(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", "source", F.sha2("text", 256).alias("digest"), BYTES.alias("data"))
+    return t.documents.select("doc_id", "source", F.sha2("text", 256).alias("digest"), utf8().alias("data"))
 
 
 @query("intern_contents", "SELECT sha256(text) AS digest, count(*) AS copies, NOT bool_or(doc_id IN (SELECT doc_id FROM labels)) AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) AS added FROM documents GROUP BY text")
@@ -247,7 +269,7 @@ _KEEP = "(" + " OR ".join([f"starts_with(name, '{p}')" for p in ingest.KEEP_PREF
 
 @query("contents_preview", f"SELECT contents_id, sha256(CASE WHEN {_KEEP} THEN encode(text) ELSE encode(text)[1:64] END) AS preview FROM a_document JOIN a_file USING (contents_id)")
 def _(t: Tables) -> DataFrame:
-    return ingest.contents_preview(t.a_file, t.a_document.withColumn("contents", BYTES)).select("contents_id", F.sha2("preview", 256).alias("preview"))
+    return ingest.contents_preview(t.a_file, t.a_document.withColumn("contents", utf8())).select("contents_id", F.sha2("preview", 256).alias("preview"))
 
 
 @query("preview_upgrade", "SELECT doc_id AS contents_id, sha256(CASE WHEN doc_id % 3 = 0 THEN text ELSE left(text, 64) END) AS preview FROM documents")
@@ -270,7 +292,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("package_digests", "SELECT doc_id AS package_id, unnest([sha256(text), sha1(text)]) AS digest, CAST(octet_length(encode(text)) AS BIGINT) AS length FROM documents")
 def _(t: Tables) -> DataFrame:
-    return ingest.package_digests(t.documents.select(C("doc_id").alias("package_id"), BYTES.alias("data")))
+    return ingest.package_digests(t.documents.select(C("doc_id").alias("package_id"), utf8().alias("data")))
 
 
 @query("package_by_digest", "WITH d AS (SELECT sha256(text) AS digest, min(doc_id) AS package_id FROM documents WHERE lang = 'en' GROUP BY 1) SELECT doc_id, package_id FROM documents LEFT JOIN d ON sha256(text) = digest")
@@ -289,7 +311,7 @@ def _(t: Tables) -> DataFrame:
 @query("verify_checksums", "SELECT doc_id, md5(text) AS actual FROM documents WHERE doc_id % 10 = 3 OR doc_id % 10 = 5")
 def _(t: Tables) -> DataFrame:
     k = C("doc_id") % 10
-    rows = t.documents.select("doc_id", BYTES.alias("data"), L("md5").alias("kind"), F.upper(F.md5(F.when(k == 3, F.concat("text", L("x"))).otherwise(C("text")))).alias("expected"), (F.octet_length("text") + F.when(k == 5, 1).otherwise(0)).alias("length"))
+    rows = t.documents.select("doc_id", utf8().alias("data"), L("md5").alias("kind"), F.upper(F.md5(F.when(k == 3, F.concat("text", L("x"))).otherwise(C("text")))).alias("expected"), (F.octet_length("text") + F.when(k == 5, 1).otherwise(0)).alias("length"))
     return ingest.verify_checksums(rows, "data", "kind", "expected", "length").select("doc_id", "actual")
 
 
@@ -300,7 +322,7 @@ def _(t: Tables) -> DataFrame:
     return ingest.normalize_text(rows, "text").withColumn("text", F.sha2("text", 256))
 
 
-_LINKED = t_linked = "SELECT l_orderkey AS package_id, l_linenumber % 2 AS inode, CASE WHEN l_linenumber = 5 THEN l_returnflag ELSE 'd' END AS digest, 33188 AS mode, CASE WHEN l_linenumber = 6 THEN 64 ELSE 0 END AS flags, CAST(l_quantity AS BIGINT) AS length, CASE WHEN l_linenumber = 7 THEN 1 ELSE 2 END AS nlinks"
+_LINKED = "SELECT l_orderkey AS package_id, l_linenumber % 2 AS inode, CASE WHEN l_linenumber = 5 THEN l_returnflag ELSE 'd' END AS digest, 33188 AS mode, CASE WHEN l_linenumber = 6 THEN 64 ELSE 0 END AS flags, CAST(l_quantity AS BIGINT) AS length, CASE WHEN l_linenumber = 7 THEN 1 ELSE 2 END AS nlinks"
 
 
 def _linked(t: Tables) -> DataFrame:
@@ -422,9 +444,9 @@ def _(t: Tables) -> DataFrame:
     return rows.groupBy("fact", "contents_id", "name").agg(F.count("*").alias("n"))
 
 
-@query("soname_pick", "WITH f AS (SELECT l_orderkey AS contents_id, min_by(l_returnflag, l_linenumber * 1000000 + l_partkey) AS soname FROM lineitem GROUP BY 1) SELECT contents_id, soname, (SELECT count(*) FROM lineitem WHERE l_orderkey = contents_id AND l_returnflag <> soname) AS others FROM f")
+@query("soname_pick", "WITH f AS (SELECT l_orderkey AS contents_id, min_by(l_returnflag, l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT)) AS soname FROM lineitem GROUP BY 1) SELECT contents_id, soname, (SELECT count(*) FROM lineitem WHERE l_orderkey = contents_id AND l_returnflag <> soname) AS others FROM f")
 def _(t: Tables) -> DataFrame:
-    rows = t.lineitem.select(C("l_orderkey").alias("contents_id"), C("l_returnflag").alias("soname"), (C("l_linenumber") * 1000000 + C("l_partkey")).alias("pos"))
+    rows = t.lineitem.select(C("l_orderkey").alias("contents_id"), C("l_returnflag").alias("soname"), (C("l_linenumber") * L(1000000000000) + C("l_partkey") * 1000000 + C("l_suppkey") * 100 + C("l_quantity").cast("long")).alias("pos"))
     first, errors = extract.soname_pick(rows)
     return first.join(errors.groupBy("contents_id").agg(F.count("*").alias("others")), "contents_id", "left").fillna(0, ["others"])
 
@@ -578,7 +600,7 @@ def libraries(t: Tables) -> dict[str, DataFrame]:
 
 
 def documents(t: Tables) -> dict[str, DataFrame]:
-    return catalog(t) | {"file": t.a_file, "file_attribute": t.a_attribute, "file_contents": t.a_document.select("contents_id", BYTES.alias("contents"), F.octet_length("text").cast("long").alias("length"), F.sha2("text", 256).alias("digest"))}
+    return catalog(t) | {"file": t.a_file, "file_attribute": t.a_attribute, "file_contents": t.a_document.select("contents_id", utf8().alias("contents"), F.octet_length("text").cast("long").alias("length"), F.sha2("text", 256).alias("digest"))}
 
 
 ASIA = "p.package_id IN (SELECT package_id FROM a_set_member WHERE set_id = (SELECT set_id FROM a_set WHERE name = 'ASIA'))"

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from depotscan.functions import scalar as S
 
 from .schemas import WHITELIST
 
 # Every field is text: an inferred schema would turn version 1.0 into a number.
-PACKAGE = StructType.fromDDL("_type string, name string, arch string, version struct<_epoch:string,_ver:string,_rel:string>, checksum struct<_VALUE:string,_type:string>, size struct<_package:string>, location struct<_href:string,`_xml:base`:string>, format struct<`rpm:sourcerpm`:string>")
-ENTRY = StructType.fromDDL("_type string, checksum struct<_VALUE:string,_type:string>, `open-checksum` struct<_VALUE:string,_type:string>, location struct<_href:string>, size string, `open-size` string")
+PACKAGE = "_type string, name string, arch string, version struct<_epoch:string,_ver:string,_rel:string>, checksum struct<_VALUE:string,_type:string>, size struct<_package:string>, location struct<_href:string,`_xml:base`:string>, format struct<`rpm:sourcerpm`:string>"
+ENTRY = "_type string, checksum struct<_VALUE:string,_type:string>, `open-checksum` struct<_VALUE:string,_type:string>, location struct<_href:string>, size string, `open-size` string"
 
 
 def primary_fields(rows: DataFrame, base_url: str = "") -> DataFrame:

@@ -53,6 +53,11 @@ def schemas() -> dict[str, StructType]:
     return {name: StructType.fromDDL(ddl) for name, ddl in _TABLES.items()}
 
 
+def widths() -> dict[str, int]:
+    """How many columns each table has."""
+    return {name: len(ddl.split(", ")) for name, ddl in _TABLES.items()}
+
+
 def create_tables(spark: SparkSession, path: str) -> None:
     """Write every table, empty, as Parquet below a path."""
     for name, schema in schemas().items():
