@@ -1,0 +1,257 @@
+"""Operators against brute force, the libraries, and held-out rows."""
+
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from depotscan.llm import components, decontaminate, exact_dedup, language, licenses, ngram_join, packing, pii, secrets, substring, tokens
+from depotscan.llm.queries import VOCABULARIES
+
+SF = "/root/testdata/sf0.001"
+SPACE = r"[\x20\x09-\x0D]+"
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(documents):
+    return {r.doc_id: r.text for r in documents.collect()}
+
+
+def union_find(nodes, links):
+    parent = {n: n for n in nodes}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return {n: root(n) for n in nodes}
+
+
+def test_exact_dedup_tells_texts_of_one_digest_apart(spark):
+    dice = random.Random(1)
+    rows = [(i, "ab"[dice.randrange(2)] * dice.randrange(1, 4) + " " * dice.randrange(3)) for i in range(40)]
+    weak = lambda t: F.unhex(F.left(F.sha2(t, 256), F.lit(1)))
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), digest=weak)
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[re.sub(SPACE, " ", t)].append(i)
+    want = {i: (min(g), len(g), i == min(g)) for g in groups.values() for i in g}
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in got.collect()} == want
+
+
+def test_exact_dedup_state_goes_on_over_batches(documents, texts):
+    one = {tuple(r) for r in exact_dedup.exact_dedup(documents).drop("locator").collect()}
+    assert one == {tuple(r) for r in exact_dedup.exact_dedup(documents.repartition(6), files_per_batch=2).drop("locator").collect()}
+
+
+def test_language_held_out_accuracy(documents):
+    got = language.language_id(documents).join(documents.select("doc_id", "lang"), "doc_id").where("held_out")
+    assert got.count() > 20 and got.where("lang_pred = lang").count() >= 0.95 * got.count()
+    assert got.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).count() == 0
+
+
+def test_language_counts_are_sums_of_bound_letters():
+    text = "abc é"
+    first, second, last = language.letters()
+    s = [0, *(language.symbols()[ord(c)] for c in text), 0]
+    want = sum(first[a] * second[b] * last[c] for a, b, c in zip(s, s[1:], s[2:], strict=False) if b)
+    assert np.allclose(language.profiles([text])[0][0], want)
+
+
+def plain_spans(text):
+    found = []
+    for kind, pattern in enumerate((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            doubled = [int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits))]
+            if (kind != 1 or max(map(int, m[0].split("."))) <= 255) and (kind != 2 or (12 <= len(digits) <= 19 and sum(doubled) % 10 == 0)) and (kind != 3 or 9 <= len(digits) <= 15):
+                found.append((m.start(), kind, m.end()))
+    return sorted(found)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab@.-+ 0125(%é\n", max_size=60))
+def test_pii_patterns(text):
+    assert pii.base_spans(text) == plain_spans(text)
+
+
+def test_pii_field_adds_written_around_addresses(spark):
+    field = pii.learn(pii.example_table(spark))
+    rows = [(1, "write to jane [at] mail [dot] com please"), (2, "call (743) 555-3824 now"), (3, "plain words with 3 numbers, 2.0. and | signs |"), (4, "é 10.0.0.1 and é jo (at) home.org")]
+    got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"), field).collect()}
+    assert got[1] == "email:9:33" and got[2] == "phone:5:19" and got[3] == "" and got[4] == "ip:2:10,email:17:33"
+
+
+def test_pii_decoding_is_viterbi(spark):
+    field = pii.learn(pii.example_table(spark, copies=6))
+    dice = np.random.default_rng(2)
+    for _ in range(20):
+        n = int(dice.integers(1, 5))
+        emit = dice.normal(size=(n, len(pii.LABELS))).astype(np.float32)
+        best = max(np.ndindex(*[len(pii.LABELS)] * n), key=lambda y: sum(emit[i, k] for i, k in enumerate(y)) + sum(field.move[a, b] for a, b in zip((0, *y), (*y, 0), strict=True))) if n <= 3 else None
+        got = field.decode(np.arange(n), emit, np.zeros(n, int))
+        assert best is None or tuple(got) == best
+
+
+def removed_words(rows, window):
+    seen, gone = set(), defaultdict(set)
+    for i, t in sorted(rows):
+        ws = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        for p in range(len(ws) - window + 1):
+            w = tuple(ws[p : p + window])
+            if w in seen:
+                gone[i].update(range(p, p + window))
+            seen.add(w)
+    return {i: " ".join(w for p, w in enumerate(re.findall(r"[^\x20\x09-\x0D]+", t or "")) if p not in gone[i]) for i, t in rows}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_substring_against_brute_force(spark, seed):
+    dice = random.Random(seed)
+    pool = ["".join(dice.choice("ab") for _ in range(2)) for _ in range(2 + seed * 3)]
+    passages = [[dice.choice(pool) for _ in range(40)] for _ in range(3)]
+    rows = []
+    for i in range(40):
+        ws = [dice.choice(pool) for _ in range(dice.randrange(60))]
+        p = dice.choice(passages)
+        cut = dice.randrange(20)
+        rows.append((i, " ".join(ws[:10] + p[cut:] + ws[10:] + p[: 40 - cut])))
+    got = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.kept for r in got.collect()} == removed_words(rows, 20)
+
+
+def test_tokens_and_packing_against_the_library(spark):
+    odd = ["", " ", "Hello, World!", "a<|endoftext|>b <|startoftext|> x", "it's  they'll\n\nwe've", "ÀÉ ß İ ǅ ﬁ 漢字仮名 🙂👍🏽 é", "tab\tx\x0b y\x85z w v", "1234 5.6.7 a1b2", "x\x1cy \x00 z", "foo \nbar  baz ", "Σσς ΑΣ.", "…—“q”", "a.,b.. c,", "﻿bom"]
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    words = Tokenizer.from_file(f"{VOCABULARIES}/word_bpe_49k.json")
+    assert {r.doc_id: r.n_tokens for r in tokens.token_counts(docs, f"{VOCABULARIES}/word_bpe_49k.json").collect()} == {i: len(words.encode(t, add_special_tokens=False).ids) for i, t in enumerate(odd)}
+    check_packing(docs, dict(enumerate(odd)), 16)
+
+
+def check_packing(docs, texts, window):
+    path = f"{VOCABULARIES}/byte_bpe_50k.json"
+    library = Tokenizer.from_file(path)
+    ids = {i: [*library.encode(t or "", add_special_tokens=False).ids, 0] for i, t in texts.items()}
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in packing.pack(docs, path, window).collect():
+        assert zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id])
+        pieces[r.doc_id].append((r.start, r.length))
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for parts, most in [(sorted(p), len(ids[i])) for i, p in pieces.items()] + [(sorted(s), None) for s in sequences.values()]:
+        assert [a for a, _ in parts] == [0, *np.cumsum([n for _, n in parts])[:-1].tolist()]
+        assert most is None or sum(n for _, n in parts) == most
+        assert most is not None or sum(n for _, n in parts) <= window
+    assert pieces.keys() == ids.keys()
+    return len(sequences), sum(map(len, ids.values()))
+
+
+def test_packing_of_documents(documents, texts):
+    n, total = check_packing(documents, texts, 1024)
+    assert n * 1024 < total * 1.02
+
+
+def test_best_fill_is_optimal():
+    dice = random.Random(4)
+    for _ in range(200):
+        left = {dice.randrange(1, 12): dice.randrange(1, 4) for _ in range(4)}
+        capacity = dice.randrange(0, 30)
+        sums = {0}
+        for x, n in left.items():
+            sums = {s + x * k for s in sums for k in range(n + 1) if s + x * k <= capacity}
+        found = packing.best_fill(left, capacity)
+        assert sum(x * n for x, n in found.items()) == max(sums) and all(n <= left[x] for x, n in found.items())
+
+
+def shingle_set(text, n):
+    ws = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)} if len(ws) >= n else {tuple(ws)} if ws else set()
+
+
+def check_join(got, texts, n, num):
+    sets = {i: shingle_set(t, n) for i, t in texts.items()}
+    ids = sorted(sets)
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
+    want = union_find(ids, links)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == {i: (len(sets[i]), want[i]) for i in ids}
+    return len(links)
+
+
+@pytest.mark.parametrize(("n", "num"), [(4, 85), (5, 80)])
+def test_ngram_join_against_brute_force(spark, n, num):
+    dice = random.Random(n)
+    texts = {}
+    for i in range(150):
+        base = random.Random(dice.randrange(4))
+        ws = [f"W{base.randrange(400)}" for _ in range(60)]
+        for _ in range(dice.randrange(5)):
+            ws[dice.randrange(60)] = f"x{dice.randrange(999)}"
+        texts[i] = " ".join(ws[: dice.choice([60, 60, 60, 55, 30, 3])])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert check_join(ngram_join.ngram_join(docs, n, num, 100), texts, n, num) > 100
+
+
+def test_components(spark):
+    dice = random.Random(9)
+    links = [(dice.randrange(60), dice.randrange(60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 130)]
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
+    nodes = {x for a, b in links if a != b for x in (a, b)}
+    assert got == {k: v for k, v in union_find(sorted({x for e in links for x in e}), links).items() if k in nodes}
+
+
+def least_edits(item, text):
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def test_decontamination_against_brute_force(spark):
+    dice = random.Random(6)
+    letters = "etaoin shrdlu"
+    make = lambda n: "".join(dice.choice(letters) for _ in range(n)).strip() or "x"
+    items = {i: re.sub(" +", " ", make(dice.choice([60, 100, 150]))) for i in range(12)}
+    texts = {}
+    for d in range(60):
+        item = list(items[dice.randrange(12)])
+        for _ in range(dice.randrange(12)):
+            at = dice.randrange(len(item))
+            item[at : at + 1] = dice.choice([[], [dice.choice("xyz")], [item[at], "q"]])
+        texts[d] = make(dice.randrange(1, 80)) + " " + "".join(item).upper() + dice.choice(["", " " + make(50)])
+    norm = lambda t: re.sub(" +", " ", t.lower())
+    q, rate = 12, 0.06
+    budget = {i: max(0, min(int(len(t) * rate), (len(t) + 1) // q - 2)) for i, t in items.items()}
+    want = {(d, i): e for d, t in texts.items() for i, x in items.items() if (e := least_edits(x, norm(t))) <= budget[i]}
+    got = decontaminate.contaminated(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"), q, rate)
+    assert {(r.doc_id, r.item_id): r.edits for r in got.collect()} == want and len(want) > 15
+
+
+def test_secrets_separates_secrets_from_look_alikes(spark):
+    model = secrets.learn(secrets.labelled_findings(spark))
+    rows = [(1, 'x token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" y', "src1"), (2, "see commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff for it", "src1"), (3, "on 19@mail5.example.com or http://page/index/table-12.html", "src1"), (4, "plain text", None)]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"), *model).collect()
+    assert {r.doc_id for r in got if r.is_secret} == {1} and next((r.start, r.stop) for r in got if r.doc_id == 1) == (11, 51)
+
+
+def test_licences_are_inherited_from_the_nearest_directory(spark):
+    rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c/x.py", "code"), (3, "a/b/LICENSE", "This work is licensed under the GNU General Public License, version 3."), (4, "a/d/y.py", "# Licensed under the Apache License, Version 2.0.\ncode"), (5, "a/z.py", None), (6, "other/w.py", "x"), (7, None, "Licensed under CC BY-NC 4.0."), (8, "a/bb/v.py", "talks of a license in passing and of many other unrelated things here")]
+    got = {r.doc_id: (r.licence, r.inherited_from) for r in licenses.licence_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {1: ("MIT", None), 2: ("GPL-3.0", "a/b"), 3: ("GPL-3.0", None), 4: ("Apache-2.0", None), 5: ("MIT", "a"), 6: (None, None), 7: ("CC-BY-NC-4.0", None), 8: ("MIT", "a")}
