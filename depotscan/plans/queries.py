@@ -472,14 +472,13 @@ def _(t: Tables) -> DataFrame:
 
 _LATEST = "SELECT * FROM a_package QUALIFY row_number() OVER (PARTITION BY arch, name ORDER BY coalesce(epoch, 0) DESC, v1 DESC, v2 DESC, r1 DESC, r2 DESC, ordinal) = 1"
 query("latest_per_name_arch", f"SELECT name, arch, package_id FROM ({_LATEST})")(lambda t: sets.latest_per_name_arch(t.a_package).select("name", "arch", "package_id"))
-query("version_key", "SELECT package_id, dense_rank() OVER (ORDER BY v1, v2) AS r FROM a_package")(lambda t: _ranked(t))
 
 
-def _ranked(t: Tables) -> DataFrame:
-    """The rank of each distinct version: versions are few and counted first, so the sort is over them alone."""
-    versions = t.a_package.groupBy("version").agg(F.count("*").alias("n")).withColumn("k", version_key(C("version")))
-    below = versions.alias("a").join(versions.alias("b"), C("a.k") >= C("b.k")).groupBy(C("a.version").alias("version")).agg(F.count("*").alias("r"))
-    return t.a_package.join(below, "version").select("package_id", "r")
+@query("version_key", "SELECT a.package_id, (a.v1, a.v2) < (b.v1, b.v2) AS less, (a.v1, a.v2) = (b.v1, b.v2) AS same FROM a_package a JOIN a_package b ON b.package_id = a.package_id + 1")
+def _(t: Tables) -> DataFrame:
+    keyed = t.a_package.select("package_id", version_key(C("version")).alias("k"))
+    after = keyed.select((C("package_id") - 1).alias("package_id"), C("k").alias("k2"))
+    return keyed.join(after, "package_id").select("package_id", (C("k") < C("k2")).alias("less"), (C("k") == C("k2")).alias("same"))
 
 
 @query("evr_compare", "SELECT a.package_id, (coalesce(a.epoch, 0), a.v1, a.v2, a.r1, a.r2) < (coalesce(b.epoch, 0), b.v1, b.v2, b.r1, b.r2) AS less FROM a_package a JOIN a_package b ON b.package_id = a.package_id + 1")
@@ -488,10 +487,10 @@ def _(t: Tables) -> DataFrame:
     return t.a_package.join(b, "package_id").select("package_id", evr_less(C("epoch"), C("version"), C("release"), C("e2"), C("v2_"), C("r2_")).alias("less"))
 
 
-@query("exclude_names", "SELECT package_id, (SELECT count(*) FROM a_package WHERE regexp_full_match(name, '(red.*)|(.*ring)')) AS n_excluded FROM a_package WHERE NOT regexp_full_match(name, '(red.*)|(.*ring)')")
+@query("exclude_names", "SELECT 'kept' AS kind, package_id AS n FROM a_package WHERE NOT regexp_full_match(name, '(red.*)|(.*ring)') UNION ALL SELECT 'excluded', count(*) FROM a_package WHERE regexp_full_match(name, '(red.*)|(.*ring)')")
 def _(t: Tables) -> DataFrame:
     kept, n = sets.exclude_names(t.a_package, ["red.*", ".*ring"])
-    return kept.select("package_id").join(F.broadcast(n))  # one row
+    return kept.select(L("kept").alias("kind"), C("package_id").alias("n")).unionByName(n.select(L("excluded").alias("kind"), C("n_excluded").alias("n")))
 
 
 @query("set_lookup", "SELECT set_id, count(*) AS n FROM a_set_member WHERE set_id = (SELECT set_id FROM a_set WHERE name = 'ASIA') GROUP BY set_id")
