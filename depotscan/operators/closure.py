@@ -88,10 +88,12 @@ def transitive_closure(edges: DataFrame, src: str = "src", dst: str = "dst", max
     for _ in range(max_rounds):
         ahead = fresh.alias("a").join(known.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
         behind = known.alias("a").join(fresh.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        fresh = storage.store(ahead.unionByName(behind).distinct().join(known, ["src", "dst"], "left_anti"), "closure")
-        if fresh.isEmpty():
+        newer = storage.store(ahead.unionByName(behind).distinct().join(known, ["src", "dst"], "left_anti"), "closure")
+        if newer.isEmpty():
             return known
-        known = storage.store(known.unionByName(fresh), "closure")
+        before, known = known, storage.store(known.unionByName(newer), "closure")
+        storage.discard(before, *([fresh] if fresh is not before else []))
+        fresh = newer
     raise RuntimeError(f"the closure did not end in {max_rounds} rounds")
 
 
