@@ -26,6 +26,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 #: Rows of the labelled table that are read; it is meant to be small.
 MOST_LABELLED = 2_000
+#: Words, padding included, that are decoded at a time; bounds memory.
+TABLE = 200_000
 
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -127,9 +129,15 @@ class Field:
             return best
         cut = np.flatnonzero((np.diff(open_) != 1) | (row[open_[1:]] != row[open_[:-1]])) + 1
         first, stop = np.concatenate([[0], cut]), np.concatenate([cut, [len(open_)]])
-        order = np.argsort(stop - first, kind="stable")
-        for some in np.array_split(order, max(1, len(order) // 512)):
-            size = (stop - first)[some]
+        sizes = stop - first
+        order = np.argsort(sizes, kind="stable")
+        groups, at = [], 0
+        for i, n in enumerate(sizes[order].tolist()):  # a group's longest run is its last: bound the padded table
+            if i > at and n * (i + 1 - at) > TABLE:
+                groups.append(order[at:i])
+                at = i
+        for some in [*groups, order[at:]]:
+            size = sizes[some]
             long = size.max()
             at = np.minimum(first[some, None] + np.arange(long), len(open_) - 1)
             score = self.move[0] + emit[at[:, 0]]
