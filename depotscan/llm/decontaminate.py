@@ -153,7 +153,7 @@ class Items:
             yield r, int(i), edits, int(lead[place[start] - whole_rows[r]]), int(lead[stop - whole_rows[r]])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 12, rate: float = 0.06, least: int = 40, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 12, rate: float = 0.08, least: int = 40, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item, edits, start, stop): each text and item that occurs in it with at most rate * length edits, at its best place."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).where("text is not null")
