@@ -25,7 +25,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     prototypes = language.learn(docs.where(~language.held_out("doc_id")))
     if not prototypes:  # nothing to learn from: a letter decides
         return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
-    return language.identify(docs, prototypes).where("lang_pred <> 'und'").select(docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    return language.identify(whole, prototypes).where("lang_pred <> 'und'").select("doc.*")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
