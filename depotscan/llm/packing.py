@@ -18,10 +18,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,24 +31,47 @@ from . import _store
 #: Rows in a ranking block, about; it sets the size of sort groups and changes no result's validity.
 BLOCK = 20_000
 #: Chunks that a worker remembers before it starts anew; changes no result.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
+
+_letters = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+").fullmatch
+
+
+class ByteLetters(dict):
+    """A character as the letters that byte-level vocabularies write for its UTF-8 bytes, by str.translate."""
+
+    def __missing__(self, point: int) -> str:
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        found = self[point] = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(point))[0][0]
+        return found
 
 
 class Chunks(dict):
-    """Token ids, as little-endian 32-bit bytes, of ' ' + chunk; asks the tokenizer on first sight."""
+    """Token ids, as little-endian 32-bit bytes, of ' ' + chunk; asks the tokenizer on first sight.
+
+    A chunk of letters is one pre-token and goes to the tokenizer's merge model alone; a closing mark is the next one.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge, self.letters = self.tokenizer.model.tokenize, ByteLetters()
+        self.marks = {c: self.ids(c) for c in ".,"}
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        found = self[chunk] = self.ids(" " + chunk)
+        if _letters(chunk):
+            found = array("I", [t.id for t in self.merge((" " + chunk).translate(self.letters))]).tobytes()
+        elif chunk[-1:] in self.marks and _letters(chunk[:-1]):
+            found = self[chunk[:-1]] + self.marks[chunk[-1]]
+        else:
+            found = self.ids(" " + chunk)
+        self[chunk] = found
         return found
 
 
