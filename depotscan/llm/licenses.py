@@ -43,10 +43,11 @@ LICENCE_FILE = r"(?i)^(un)?licen[cs]e|^copying|^notice"
 
 
 def terms(text: Column) -> Column:
-    """Lower-case words and numbers; adjacent ones also in pairs."""
+    """Lower-case words and numbers, and pairs of adjacent ones; each part is evaluated once per row, not per word."""
     words = F.filter(F.split(F.lower(text), r"[^a-z0-9.]+|\.+(?=[^0-9]|$)"), lambda w: w != "")
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), lambda i: F.concat_ws(" ", F.try_element_at(words, i), F.try_element_at(words, i + 1)))
-    return F.concat(words, F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>")))
+    more = F.greatest(F.size(words) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(words, F.lit(1), more), F.slice(words, F.lit(2), more), lambda a, b: F.concat_ws(" ", a, b))
+    return F.concat(words, pairs)
 
 
 def classify(headers: DataFrame, templates: list[tuple[str, str]], spark: SparkSession) -> DataFrame:
