@@ -1,49 +1,22 @@
-"""Tables in the shared folder that the session names in spark.checkpoint.dir, and size-checked semi-joins."""
+"""Tables in the shared folder, and joins whose key side is broadcast only when its counted size allows."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of 8-byte keys that may be broadcast: at most about 16 MB of keys on each executor.
-BROADCAST_KEYS = 1_000_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. A local one is made only where the setting is absent (tests, local mode)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="depotscan-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
+from depotscan.storage import discard, new_path, store
 
+__all__ = ["BROADCAST_KEYS", "discard", "new_path", "semi", "small", "store"]
 
-def store(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+#: Keys that may be broadcast: as a hash table about 110 MB on each executor for 8-byte keys, 250 MB for digests.
+BROADCAST_KEYS = 2_000_000
 
 
 def semi(rows: DataFrame, keys: DataFrame, on: list[str], n_keys: int, how: str = "left_semi") -> DataFrame:
     """rows whose key is in keys (left_anti: is not). The keys are broadcast only when n_keys, their counted number, is within BROADCAST_KEYS; else both sides shuffle."""
-    return rows.join(F.broadcast(keys) if n_keys <= BROADCAST_KEYS else keys, on, how)
+    return rows.join(small(keys, n_keys), on, how)
+
+
+def small(keys: DataFrame, n_keys: int) -> DataFrame:
+    return F.broadcast(keys) if n_keys <= BROADCAST_KEYS else keys

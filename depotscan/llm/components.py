@@ -28,7 +28,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = _store.store(small, "components")
+        older, edges = edges, _store.store(small, "components")
+        _store.discard(older)
         after = _mark(edges)
         if after == before:
             break

@@ -25,6 +25,8 @@ from ._text import pieces
 DIMENSIONS = 1024
 SYMBOLS = 64  # 0: no letter; 1 to 26: a to z; the rest: other letters by code point
 SEED = 20_061
+#: Text bytes that a task counts at a time; bounds memory, cuts no text.
+BLOCK = 1 << 18
 
 
 @lru_cache(maxsize=1)
@@ -47,7 +49,10 @@ def letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def trigram_vectors(codes: np.ndarray) -> np.ndarray:
     first, second, last = letters()
-    return first[codes // SYMBOLS**2] * second[codes // SYMBOLS % SYMBOLS] * last[codes % SYMBOLS]
+    found = first[codes // SYMBOLS**2]
+    found *= second[codes // SYMBOLS % SYMBOLS]
+    found *= last[codes % SYMBOLS]
+    return found
 
 
 def profiles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +83,7 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "lang")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", BLOCK):
                 vectors, _ = profiles([x or "" for x in part.column(0).to_pylist()])
                 labels = np.array(part.column(1).to_pylist(), object)
                 for label in set(labels):
@@ -102,7 +107,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, text_col):
+            for part in pieces(batch, text_col, BLOCK):
                 texts = [x or "" for x in part.column(text_col).to_pylist()]
                 label, score = ["und"] * len(texts), np.zeros(len(texts))
                 if names:

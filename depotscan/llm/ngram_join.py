@@ -90,8 +90,8 @@ def frequency_classes(counts: np.ndarray) -> np.ndarray:
     return np.clip(np.round(2 * np.log2(np.maximum(counts / max(counts.mean(), 1e-9), 1))), 0, 100).astype(np.uint8)
 
 
-def _similar(overlap: Column, a: str, b: str, num: int, den: int) -> Column:
-    return overlap * (num + den) >= (F.col(a) + F.col(b)) * num
+def _similar(overlap: Column, a: Column, b: Column, num: int, den: int) -> Column:
+    return overlap * (num + den) >= (a + b) * num
 
 
 def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,26 +125,33 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
                     orders.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in order])]), pa.int32()), flat))
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(size, pa.int64()), pa.array(np.array(low, np.uint64).view(np.int64)), pa.array(np.array(high, np.uint64).view(np.int64)), *orders], names=["id", "size", "low", "high", "p0", "p1", "p2"])
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([x.view(np.int64) for x in ngram_sets(part.column(0), n)], pa.list_(pa.int64()))], names=["id", "grams"])
+                good = []
+                for x, y in zip(ngram_sets(part.column(2), n), ngram_sets(part.column(3), n), strict=True):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    good.append(den * both >= num * (len(x) + len(y) - both))
+                yield part.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     rows = _store.store(slim.mapInArrow(prefixes, f"id {id_type}, size long, low long, high long, p0 array<long>, p1 array<int>, p2 array<int>"), "join-sets")
+    # Stored, so that the join below is between plain exchanges and a hot class can be split.
     copies = rows.where("size > 0").groupBy("size", "low", "high").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"))
+    copies = _store.store(copies, "join-copies")
     members = rows.select("id", "size", "low", "high").join(copies, ["size", "low", "high"], "left").select("id", "low", F.col("size").alias("n_shingles"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("rep", "id").alias("rep"))
     members = _store.store(members, "join-members")
     later = members.where("id <> rep").select("id", "low")
     reps = _store.semi(rows.where("size > 0 and id is not null"), later, ["id", "low"], later.count(), "left_anti")
 
     lists = reps.select("id", "size", F.posexplode("p0").alias("pos", "token"))
-    shared = lists.join(lists.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "token", "left_semi")
-    shared = _store.store(shared, "join-lists")
+    tokens = _store.store(lists.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "join-tokens")
+    shared = _store.store(_store.semi(lists, tokens, ["token"], tokens.count()), "join-lists")
+    _store.discard(tokens)
 
     def bounded(pairs: DataFrame) -> DataFrame:
         """Only pairs whose first common token could still begin a large enough overlap; the first one of every similar pair passes."""
         rest = F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos"))
-        return pairs.where(_similar(rest, "a_size", "b_size", num, den))
+        return pairs.where(_similar(rest, F.col("a_size"), F.col("b_size"), num, den))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that pass the other orders' filters and link."""
@@ -154,10 +161,15 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
         other = _store.semi(reps.select("id", "p1", "p2"), ids, ["id"], n_ids)
         a, b = (other.select(F.col("id").alias(x), F.col("p1").alias(f"{x}1"), F.col("p2").alias(f"{x}2")) for x in "ab")
         met = pairs.join(a, "a").join(b, "b").where(F.arrays_overlap("a1", "b1") & F.arrays_overlap("a2", "b2")).select("a", "b").distinct()
-        sets = _store.store(_store.semi(slim, ids, ["id"], n_ids).select("text", "id").mapInArrow(hashes, f"id {id_type}, grams array<long>"), "join-grams")
-        a, b = (sets.select(F.col("id").alias(x), F.col("grams").alias(f"{x}g"), F.size("grams").alias(f"{x}n")) for x in "ab")
-        linked = met.join(a, "a").join(b, "b").where(_similar(F.size(F.array_intersect("ag", "bg")), "an", "bn", num, den))
-        return _store.store(linked.select("a", "b").distinct(), "join-links")
+        met = _store.store(met, "join-met")
+        # Each pair goes to its first member with the second one's text: compressed, that is less than half of its set.
+        second = slim.join(_store.small(met.withColumnRenamed("b", "id"), met.count()), "id").select("a", F.col("id").alias("b"), "text")
+        centres = met.select(F.col("a").alias("id")).distinct()
+        first = _store.semi(slim, centres, ["id"], centres.count()).select(F.col("id").alias("a"), F.col("text").alias("other"))
+        linked = second.join(first, "a").select("a", "b", "text", "other").mapInArrow(judge, f"a {id_type}, b {id_type}")
+        found = _store.store(linked.select("a", "b").distinct(), "join-links")
+        _store.discard(pairs, met)
+        return found
 
     # The member whose token comes earliest has the fewest rarer n-grams: the copy with the fewest changes.
     centre = shared.groupBy("token").agg(F.min(F.struct("pos", "size", "id")).alias("c"))
@@ -173,5 +185,7 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     across = bounded(few.join(all_, "token").where((F.col("a_part") != F.col("b_part")) & ((F.col("b_part") == F.col("main")) | (F.col("a") < F.col("b")))))
     links = links.unionByName(verified(across.select("a", "b").distinct()))
 
-    final = components(links, "a", "b").select(F.col("node").alias("rep"), "component")
+    final = components(links, "a", "b")
+    _store.discard(rows, copies, shared, labelled)
+    final = final.select(F.col("node").alias("rep"), "component")
     return members.join(final, "rep", "left").select(F.col("id").alias(id_col), "n_shingles", "n_copies", F.coalesce("component", "rep").alias("component_id"))

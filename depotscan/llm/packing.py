@@ -36,6 +36,12 @@ REMEMBERED = 250_000
 _letters = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+").fullmatch
 
 
+#: A line feed with a blank, or nothing, on one side.
+_odd_feed = re.compile(r"^\n|\s\n|\n\s|\n$").search
+#: How byte-level vocabularies write a blank.
+BLANK = "\u0120"
+
+
 class ByteLetters(dict):
     """A character as the letters that byte-level vocabularies write for its UTF-8 bytes, by str.translate."""
 
@@ -47,9 +53,10 @@ class ByteLetters(dict):
 
 
 class Chunks(dict):
-    """Token ids, as little-endian 32-bit bytes, of ' ' + chunk; asks the tokenizer on first sight.
+    """Token ids, as little-endian 32-bit bytes, of ' ' + chunk, or of a chunk that starts a line; asks the tokenizer on first sight.
 
-    A chunk of letters is one pre-token and goes to the tokenizer's merge model alone; a closing mark is the next one.
+    A word of letters is one pre-token and goes to the tokenizer's merge model alone; a closing mark is the next one.
+    A single line feed between two non-blanks is one as well, so what follows it is a chunk of its own.
     """
 
     def __init__(self, path: str):
@@ -58,19 +65,35 @@ class Chunks(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.merge, self.letters = self.tokenizer.model.tokenize, ByteLetters()
         self.marks = {c: self.ids(c) for c in ".,"}
+        self.feed = self.ids("\n")
 
     def ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def word(self, blank: str, word: str) -> bytes | None:
+        """The ids of blank + word if the word is all letters."""
+        if word.isascii() and word.isalpha():
+            text = (BLANK if blank else "") + word
+        elif _letters(word):
+            text = (blank + word).translate(self.letters)
+        else:
+            return None
+        return array("I", [t.id for t in self.merge(text)]).tobytes()
+
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        if _letters(chunk):
-            found = array("I", [t.id for t in self.merge((" " + chunk).translate(self.letters))]).tobytes()
-        elif chunk[-1:] in self.marks and _letters(chunk[:-1]):
-            found = self[chunk[:-1]] + self.marks[chunk[-1]]
+        blank, rest = ("", chunk[1:]) if chunk[:1] == " " else (" ", chunk)  # no chunk has a blank: it marks lines
+        found = self.word(blank, rest)
+        if found is not None:
+            found = found if blank else self.feed + found
+        elif rest[-1:] in self.marks and _letters(rest[:-1]):
+            found = self[chunk[:-1]] + self.marks[rest[-1]]
+        elif "\n" in rest and not _odd_feed(rest):
+            head, *lines = rest.split("\n")
+            found = self[chunk[: len(chunk) - len(rest)] + head] + b"".join([self[" " + x] for x in lines])
         else:
-            found = self.ids(" " + chunk)
+            found = self.ids(" " + chunk) if blank else self.feed + self.ids(rest)
         self[chunk] = found
         return found
 

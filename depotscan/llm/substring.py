@@ -68,7 +68,7 @@ def longs(x: np.ndarray) -> pa.Array:
 
 
 def repeated_ranges(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """(id, start, stop) word ranges of docs (id, text) whose windows all start earlier elsewhere."""
+    """(id, removed) word ranges of docs (id, text) whose windows all start earlier elsewhere; the arrays are bounded by the text's length."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,8 +100,11 @@ def repeated_ranges(docs: DataFrame, window: int, k: int) -> DataFrame:
     seeded = docs.select("id", "text").mapInArrow(seeds, "id long, anchor long, extension long, at int, n int, again boolean")
     seeded = _store.store(_store.semi(seeded, found, ["anchor"], found.count()), "repeat-seeds")
 
-    judged = seeded.join(seeded.groupBy("extension").agg(F.min("id").alias("first")), "extension")
-    judged = _store.store(judged.select("id", "anchor", "at", "n", (F.col("again") | (F.col("id") > F.col("first"))).alias("late")), "repeat-judged")
+    # Minima are stored, so that the joins with them are between plain exchanges and a hot key can be split.
+    repeated = seeded.groupBy("extension").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").select("extension", "first")
+    repeated = _store.store(repeated, "repeat-firsts")
+    judged = seeded.join(repeated, "extension", "left")
+    judged = _store.store(judged.select("id", "anchor", "at", "n", (F.col("again") | F.coalesce(F.col("id") > F.col("first"), F.lit(False))).alias("late")), "repeat-judged")
     whole = judged.where("late").select("id", F.col("at").alias("start"), (F.col("at") + F.col("n") + window - 1).alias("stop"))
 
     firsts = judged.where("not late")
@@ -110,15 +113,17 @@ def repeated_ranges(docs: DataFrame, window: int, k: int) -> DataFrame:
     touched = _store.semi(docs.select("id", "text"), edges.select("id"), ["id"], edges.count())
     single = _store.store(touched.join(edges, "id").select("id", "text", "spans").mapInArrow(windows, "id long, hash long, at int"), "repeat-windows")
     least = single.groupBy("hash").agg(F.min(F.struct("id", "at")).alias("least"), F.count("*").alias("c")).where("c > 1").select("hash", "least")
+    least = _store.store(least, "repeat-least")
     part = single.join(least, "hash").where(F.struct("id", "at") > F.col("least")).select("id", F.col("at").alias("start"), (F.col("at") + window).alias("stop"))
-    return whole.unionByName(part)
+    ranges = _store.store(whole.unionByName(part).groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("removed")), "repeat-ranges")
+    _store.discard(found, seeded, repeated, judged, edges, single, least)
+    return ranges
 
 
 def substring_dedup(docs: DataFrame, window: int = 20, k: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_removed, kept, removed): kept words joined by a blank, and the removed word ranges."""
     keyed = docs.select(F.coalesce(F.col(id_col), F.lit(LAST)).cast("long").alias("id"), F.col(id_col).alias("given"), F.col(text_col).alias("text"))
-    ranges = repeated_ranges(keyed, window, k).groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("removed"))  # bounded by the text's length
-    ranges = _store.store(ranges, "repeat-ranges")
+    ranges = repeated_ranges(keyed, window, k)
     n_ranges = ranges.count()
 
     clean = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), "^ | $", "")
