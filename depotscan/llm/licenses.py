@@ -1,18 +1,24 @@
 """Licence scan, native: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-A file's header is its lines that speak of licences; a licence file (by its name) is read whole. Their terms are
-weighted by term frequency times inverse document frequency over all headers of the corpus, and joined by term
-with the templates' weights, a table whose size the templates fix. A file without a licence of its own takes
-that of the closest directory above it with a licence file: directories, not files, are joined with their
-ancestors' paths, so a directory of many files counts once.
+A file's header is its lines that speak of licences; a licence file (by its name) is read whole, whatever its words.
+A header is scored whole and by passage: its runs of 8, 16 and 32 words, 4 words apart, that speak of licences. The
+best score wins, so words around a notice take nothing from it. Terms are weighted by term frequency times inverse
+document frequency over all headers of the corpus, counted for every term, and joined by term with the weights of
+the templates (notices and full texts), a table whose size the templates fix. Long texts in one language are alike by
+their common words, so full texts need a larger score than notices. A file without a licence of its own takes that of
+the closest directory above it with a licence file: directories, not files, are joined with their ancestors' paths,
+so a directory of many files counts once.
 
 Nulls and edge cases: null texts have no header; files without a path are in no directory; of equal scores the
 alphabetically first licence wins; of several licence files in a directory the best score wins, then the first
 licence; an empty table gives an empty result; texts are read whole; other columns are ignored.
+Terms are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +44,17 @@ TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, MIT License"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 ]
-MARK = r"(?i)licen[cs]e|spdx-|copying|public domain"
+#: Full texts by licence. The GNU Affero text is that of GPL-3.0 with its own name and section 13; Creative Commons has no text but CC0's here.
+TEXTS = {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
+_remote = """13. Remote Network Interaction; Use with the GNU General Public License. Notwithstanding any other provision of this License, if you modify the Program, your modified version must prominently offer all users interacting with it remotely through a computer network (if your version supports such interaction) an opportunity to receive the Corresponding Source of your version by providing access to the Corresponding Source from a network server at no charge, through some standard or customary means of facilitating copying of software.
+
+"""
+_named = TEXTS["GPL-3.0"].replace("GNU GENERAL PUBLIC", "GNU AFFERO GENERAL PUBLIC").replace("GNU General Public", "GNU Affero General Public")
+TEXTS["AGPL-3.0"] = _named[: _named.index("13. Use with")] + _remote + _named[_named.index("14. Revised Versions") :]
+TEMPLATES += sorted(TEXTS.items())
+#: Templates of more words are full texts.
+NOTICE_WORDS = 64
+MARK = r"(?i)licen[cs]e|spdx-|copying|public domain|permission is hereby granted"
 LICENCE_FILE = r"(?i)^(un)?licen[cs]e|^copying|^notice"
 
 
@@ -50,22 +66,44 @@ def terms(text: Column) -> Column:
     return F.concat(words, pairs)
 
 
-def classify(headers: DataFrame, templates: list[tuple[str, str]], spark: SparkSession) -> DataFrame:
-    """(key, licence, score) of headers (key, header): the template with the largest cosine."""
-    known = spark.createDataFrame([(i, *t) for i, t in enumerate(templates)], "notice int, licence string, header string").select("notice", "licence", F.explode(terms(F.col("header"))).alias("term"))
+def passages(headers: DataFrame) -> DataFrame:
+    """(key, part, passage, whole) of headers (key, header): the header itself, whose part is its key, and its runs of words that speak of licences."""
+    runs = headers.where(F.col("header").rlike(MARK)).select("key", F.regexp_extract_all("header", F.lit(r"(?:\S++\s*+){1,4}+"), F.lit(0)).alias("c4"))
+    for n in (8, 16, 32):  # each size joins two of the one before; a column of its own, so that it is evaluated once
+        half = F.col(f"c{n // 2}")
+        runs = runs.withColumn(f"c{n}", F.zip_with(half, F.slice(half, n // 8 + 1, F.greatest(F.size(half) - n // 8, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
+    parts = runs.select("key", F.explode(F.array_distinct(F.filter(F.concat("c8", "c16", "c32"), lambda x: x.rlike(MARK)))).alias("passage"))
+    parts = parts.select("key", digest(F.col("passage")).alias("part"), "passage", F.lit(False).alias("whole"))
+    return parts.where("part <> key").unionByName(headers.select("key", F.col("key").alias("part"), F.col("header").alias("passage"), F.lit(True).alias("whole")))
+
+
+def digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def classify(headers: DataFrame, templates: list[tuple[str, str]], spark: SparkSession, least: float, least_full: float) -> DataFrame:
+    """(key, licence, score) of headers (key, header): the template with the largest cosine of a passage, if it reaches `least`, or `least_full` for full texts."""
+    hashed = F.transform(terms(F.col("text")), lambda t: F.xxhash64(t))
+    known = spark.createDataFrame([(i, *t, len(t[1].split()) > NOTICE_WORDS) for i, t in enumerate(templates)], "notice int, licence string, text string, full boolean").select("notice", "licence", "full", F.explode(hashed).alias("term"))
     vocabulary = known.select("term").distinct()  # the templates fix its size, so it may be broadcast
-    rows = headers.select("key", F.explode(terms(F.col("header"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("n"))
+    parts = _store.store(passages(headers), "licence-passages")
+    distinct = parts.groupBy("part").agg(F.first("passage").alias("text"), F.max("whole").alias("whole"))
+    rows = _store.store(distinct.select("part", "whole", F.explode(hashed).alias("term")).groupBy("part", "whole", "term").agg(F.count("*").alias("n")), "licence-terms")
     total = headers.count() + 1.0
-    seen = rows.join(F.broadcast(vocabulary), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    idf = vocabulary.join(seen, "term", "left").select("term", (F.log(F.lit(total) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf"))
-    unseen = F.log(F.lit(total)) + 1
-    a = rows.join(F.broadcast(idf), "term", "left").select("key", "term", (F.col("n") * F.coalesce("idf", unseen)).alias("w"))
-    b = known.groupBy("notice", "licence", "term").agg(F.count("*").alias("n")).join(F.broadcast(idf), "term").select("notice", "licence", "term", (F.col("n") * F.col("idf")).alias("v"))
-    b = b.join(b.groupBy("notice").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length")), "notice").select("notice", "licence", "term", (F.col("v") / F.col("length")).alias("v"))
-    lengths = a.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    dots = a.join(F.broadcast(b), "term").groupBy("key", "notice", "licence").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    scored = dots.join(lengths, "key").select("key", "licence", F.round(F.col("dot") / F.col("length"), 6).alias("score"))
-    return scored.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("best")).select("key", F.col("best.licence").alias("licence"), (-F.col("best.s")).alias("score"))
+    idf = lambda df: F.log(F.lit(total) / (1 + df)) + 1
+    seen = _store.store(rows.where("whole").groupBy("term").agg(F.count("*").alias("df")), "licence-df")
+    # A term of one header only needs no row: a term without one has that count, or is in passages across lines and gets it.
+    common = seen.where("df > 1")
+    weight = F.col("n") * idf(F.coalesce("df", F.lit(1)))
+    lengths = rows.join(_store.small(common, common.count()), "term", "left").groupBy("part").agg(F.sqrt(F.sum(weight * weight)).alias("length"))
+    met = vocabulary.join(seen, "term", "left").select("term", F.coalesce("df", F.lit(1)).alias("df"))
+    b = known.groupBy("notice", "licence", "full", "term").agg(F.count("*").alias("n")).join(F.broadcast(met), "term").select("notice", "licence", "full", "term", weight.alias("v"), idf(F.col("df")).alias("idf"))
+    b = b.join(b.groupBy("notice").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("size")), "notice").select("notice", "licence", "full", "term", (F.col("v") / F.col("size") * F.col("idf")).alias("v"))
+    dots = rows.join(F.broadcast(b), "term").groupBy("part", "notice", "licence", "full").agg(F.sum(F.col("n") * F.col("v")).alias("dot"))
+    scored = dots.join(lengths, "part").withColumn("score", F.round(F.col("dot") / F.col("length"), 6)).where(F.col("score") >= F.when(F.col("full"), F.lit(least_full)).otherwise(F.lit(least)))
+    best = F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("best")
+    scored = scored.groupBy("part").agg(best).select("part", F.col("best.licence").alias("licence"), (-F.col("best.s")).alias("score"))
+    return parts.select("key", "part").join(scored, "part").groupBy("key").agg(best).select("key", F.col("best.licence").alias("licence"), (-F.col("best.s")).alias("score"))
 
 
 def directory(path: Column) -> Column:
@@ -73,19 +111,20 @@ def directory(path: Column) -> Column:
     return F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
 
 
-def licence_scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = 0.35, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
+def licence_scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = 0.35, least_full: float = 0.8, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
     """(id, path, licence, score, inherited_from), one row per file. licence is the file's own where its score reaches
-    `least`, else that of the nearest directory, named by inherited_from; both are null where there is none."""
+    `least` (`least_full` for a full text), else that of the nearest directory, named by inherited_from; both are null where there is none."""
     spark = files.sparkSession
     name = F.regexp_extract("path", "[^/]*$", 0)
     slim = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    speaks = slim.where(F.col("text").rlike(MARK)).withColumn("is_file", F.coalesce(name.rlike(LICENCE_FILE), F.lit(False)))
+    named = slim.where("text is not null").withColumn("is_file", F.coalesce(name.rlike(LICENCE_FILE), F.lit(False)))
+    speaks = named.where(F.col("is_file") | F.col("text").rlike(MARK))
     header = F.when(F.col("is_file"), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x: x.rlike(MARK)), "\n"))
     headers = speaks.select("id", "path", "is_file", header.alias("header"))
     # Equal headers are one: a notice that a third of all files carry is weighed once.
-    headers = _store.store(headers.withColumn("key", F.sha2("header", 256)), "licence-headers")
+    headers = _store.store(headers.withColumn("key", digest(F.col("header"))), "licence-headers")
     distinct = headers.groupBy("key").agg(F.first("header").alias("header"))
-    own = classify(distinct, templates, spark).where(F.col("score") >= least)
+    own = classify(distinct, templates, spark, least, least_full)
     own = _store.store(headers.select("id", "path", "is_file", "key").join(own, "key").select("id", "path", "is_file", "licence", "score"), "licence-own")
 
     given = own.where("is_file").withColumn("above", directory(F.col("path")))

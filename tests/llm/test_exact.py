@@ -255,3 +255,17 @@ def test_licences_are_inherited_from_the_nearest_directory(spark):
     rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c/x.py", "code"), (3, "a/b/LICENSE", "This work is licensed under the GNU General Public License, version 3."), (4, "a/d/y.py", "# Licensed under the Apache License, Version 2.0.\ncode"), (5, "a/z.py", None), (6, "other/w.py", "x"), (7, None, "Licensed under CC BY-NC 4.0."), (8, "a/bb/v.py", "talks of a license in passing and of many other unrelated things here")]
     got = {r.doc_id: (r.licence, r.inherited_from) for r in licenses.licence_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
     assert got == {1: ("MIT", None), 2: ("GPL-3.0", "a/b"), 3: ("GPL-3.0", None), 4: ("Apache-2.0", None), 5: ("MIT", "a"), 6: (None, None), 7: ("CC-BY-NC-4.0", None), 8: ("MIT", "a")}
+
+
+def test_long_licence_files_are_recognised_and_inherited(spark):
+    dice = random.Random(7)
+    prose = lambda n: " ".join("".join(dice.choice("abdeiklmnorstu") for _ in range(dice.randrange(2, 8))) for _ in range(n))
+    gpl, bsd = licenses.TEXTS["GPL-3.0"], licenses.TEXTS["BSD-3-Clause"].replace("Regents of the University of California", "Foo Bar Authors")
+    header = "Copyright 2021 Foo Bar and contributors. Released under the MIT License."
+    rows = [(1, "g/COPYING", gpl), (2, "g/x.py", "code"), (3, "b/LICENSE", bsd), (4, "b/c/x.py", None), (5, "m/LICENSE", f"{prose(900)}\nReleased under the MIT License.\n{prose(900)}"), (6, "m/d/x.py", "code"), (7, "p/LICENSE", prose(500)), (8, "p/x.py", "code"), (9, "q/x.py", header), (10, "r/LICENSE", f"{prose(300)} released under the MIT License {prose(300)}"), (11, "r/y.py", "code")]
+    rows += [(100 + i, f"z/{i}.py", f"Licensed under the Apache License, Version 2.0. {prose(3)} license") for i in range(300)]
+    got = {r.doc_id: r for r in licenses.licence_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert {i: (got[i].licence, got[i].inherited_from) for i in range(1, 12)} == {1: ("GPL-3.0", None), 2: ("GPL-3.0", "g"), 3: ("BSD-3-Clause", None), 4: ("BSD-3-Clause", "b"), 5: ("MIT", None), 6: ("MIT", "m"), 7: (None, None), 8: (None, None), 9: ("MIT", None), 10: ("MIT", None), 11: ("MIT", "r")}
+    assert got[9].score > 0.6 and all(got[100 + i].licence == "Apache-2.0" for i in range(300))
+    alone = licenses.licence_scan(spark.createDataFrame([(t, f"{t}/LICENSE", text) for t, text in licenses.TEXTS.items()], "doc_id string, path string, text string"))
+    assert all(r.doc_id == r.licence for r in alone.collect())
