@@ -9,9 +9,11 @@ A-Z lower-cased and runs of white space as one blank.
 The benchmark is a stated query set: it is read in blocks of BLOCK_BYTES at most, each block is broadcast and meets
 every text once.
 
-Nulls and edge cases: null or empty texts and items match nothing; an item with fewer characters than q must occur
-unchanged and is not searched for if it has fewer than `least`; repeated rows match each; empty tables give an
-empty result; texts are read whole; other columns are ignored.
+So that the lemma bounds something, an item's q is `q` or less: the longest with m >= q * (e + 1).
+
+Nulls and edge cases: null or empty texts and items match nothing; an item too short for an edit at the given rate must
+occur unchanged, not inside a longer word; items with fewer than `least` bytes are left out (the queries leave out
+none); repeated rows match each; empty tables give an empty result; texts are read whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,13 +45,18 @@ def normalised(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def grams(data: np.ndarray, q: int) -> np.ndarray:
-    """A hash of each run of q bytes (8 to 16): two overlapping runs of 8 decide it."""
+    """A hash of each run of q bytes (1 to 16): two overlapping runs of up to 8 decide it."""
     if len(data) < q:
         return np.zeros(0, np.uint64)
-    x = data.astype(np.uint64)
-    for shift, step in ((8, 1), (16, 2), (32, 4)):
-        x = x[:-step] << np.uint64(shift) | x[step:]
-    return x[: len(data) - q + 1] * _A + x[q - 8 :] * _B
+    x, run = data.astype(np.uint64), 1
+    while run < 8 and 2 * run <= q:
+        x = x[:-run] << np.uint64(8 * run) | x[run:]
+        run *= 2
+    return x[: len(data) - q + 1] * _A + x[q - run :] * _B
+
+
+def inside_word(byte: int) -> bool:
+    return byte >= 128 or chr(byte).isalnum()
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -65,53 +72,65 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(row[best]), len(item) + best
 
 
-class Items:
-    """A block of items, ready to be searched for."""
+class Table:
+    """The q-grams of those items that have this q."""
 
-    def __init__(self, rows: list[tuple], q: int, rate: float, least: int):
-        self.q, self.ids, self.text = q, [], []
-        for item, text in rows:
-            data, _, _ = normalised(*raw(pa.array([(text or "").strip("\t\n\v\f\r ")])))
-            if len(data) >= least:
-                self.ids.append(item)
-                self.text.append(data)
-        size = np.array([len(t) for t in self.text], np.int64)
-        self.edits = np.maximum(np.minimum((size * rate).astype(np.int64), (size + 1) // q - 2), 0)
-        self.need = np.maximum(size + 1 - q * (self.edits + 1), 1)
-        gram = [grams(t, q) for t in self.text]
-        owner = np.repeat(np.arange(len(gram)), [len(g) for g in gram])
-        at = np.concatenate([np.arange(len(g)) for g in gram]) if gram else np.zeros(0, np.int64)
-        gram = np.concatenate(gram) if gram else np.zeros(0, np.uint64)
+    def __init__(self, q: int, items: np.ndarray, text: list[np.ndarray]):
+        self.q, gram = q, [grams(text[i], q) for i in items]
+        owner = np.repeat(items, [len(g) for g in gram])
+        at, gram = np.concatenate([np.arange(len(g)) for g in gram]), np.concatenate(gram)
         order = np.argsort(gram, kind="stable")
         self.gram, self.first, self.times = np.unique(gram[order], return_index=True, return_counts=True)
         self.owner, self.at = owner[order], at[order]
         self.seen = np.zeros(1 << TABLE_BITS, bool)
         self.seen[self.bucket(self.gram)] = True
-        self.short = [i for i, t in enumerate(self.text) if len(t) < q]
 
     @staticmethod
     def bucket(gram: np.ndarray) -> np.ndarray:
         return (gram >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
-    def search(self, column: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
-        """(row, item's index, edits, start, end) with places in code points of the text."""
-        whole, whole_rows = raw(column)
-        data, rows, place = normalised(whole, whole_rows)
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    def hits(self, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(item, row, place in the texts, place in the item) of each shared q-gram."""
         gram = grams(data, self.q)
         at = np.flatnonzero(self.seen[self.bucket(gram)])
-        found = np.searchsorted(self.gram, gram[at]) if len(self.gram) else at
-        exact = self.gram[np.minimum(found, len(self.gram) - 1)] == gram[at] if len(self.gram) else np.zeros(0, bool)
+        found = np.searchsorted(self.gram, gram[at])
+        exact = self.gram[np.minimum(found, len(self.gram) - 1)] == gram[at]
         at, found = at[exact], found[exact]
         row = np.searchsorted(rows, at, side="right") - 1
         inside = at + self.q <= rows[row + 1]
         at, found, row = at[inside], found[inside], row[inside]
-        if len(at):
-            times = self.times[found]
-            hit = np.repeat(self.first[found] - np.cumsum(times) + times, times) + np.arange(times.sum())
-            item, row, at = self.owner[hit], np.repeat(row, times), np.repeat(at, times)
+        times = self.times[found]
+        hit = np.repeat(self.first[found] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        return self.owner[hit], np.repeat(row, times), np.repeat(at, times), self.at[hit]
+
+
+class Items:
+    """A block of items, ready to be searched for."""
+
+    def __init__(self, rows: list[tuple], q: int, rate: float, least: int):
+        self.ids, self.text = [], []
+        for item, text in rows:
+            data, _, _ = normalised(*raw(pa.array([(text or "").strip("\t\n\v\f\r ")])))
+            if len(data) >= max(least, 1):
+                self.ids.append(item)
+                self.text.append(data)
+        size = np.array([len(t) for t in self.text], np.int64)
+        self.edits = (size * rate).astype(np.int64)
+        own = np.minimum(size // (self.edits + 1), q)
+        self.need = size + 1 - own * (self.edits + 1)
+        self.short = [i for i, t in enumerate(self.text) if len(t) < q and not self.edits[i]]
+        own[self.short] = 0
+        self.tables = [Table(int(n), np.flatnonzero(own == n), self.text) for n in np.unique(own) if n]
+
+    def search(self, column: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
+        """(row, item's index, edits, start, end) with places in code points of the text."""
+        whole, whole_rows = raw(column)
+        data, rows, place = normalised(whole, whole_rows)
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for table in self.tables:
+            item, row, at, place_in = table.hits(data, rows)
             width = self.edits[item] + 1
-            band = (at - self.at[hit] + len(data)) // width  # lengthened, so that none is negative
+            band = (at - place_in + len(data)) // width  # lengthened, so that none is negative
             span = 3 * len(data) + 2
             key = (row * len(self.ids) + item) * span + band
             keys, counts = np.unique(np.concatenate([key, key - 1]), return_counts=True)
@@ -140,12 +159,16 @@ class Items:
                     match = (edits, a + start, a + end)
                 if (r, i) not in best or match < best[r, i]:
                     best[r, i] = match
+        blob = data.tobytes() if self.short else b""
         for i in self.short:
-            text = self.text[i].tobytes()
-            for r in range(len(column)):
-                spot = data[rows[r] : rows[r + 1]].tobytes().find(text)
-                if spot >= 0:
-                    best[r, i] = (0, int(rows[r]) + spot, int(rows[r]) + spot + len(text))
+            text, spot = self.text[i].tobytes(), -1
+            while (spot := blob.find(text, spot + 1)) >= 0:
+                r, end = int(np.searchsorted(rows, spot, side="right")) - 1, spot + len(text)
+                before = spot > rows[r] and inside_word(blob[spot - 1]) and inside_word(text[0])
+                after = end < rows[r + 1] and inside_word(blob[end]) and inside_word(text[-1])
+                if end <= rows[r + 1] and not before and not after:
+                    best[r, i] = (0, spot, end)
+                    spot = int(rows[r + 1]) - 1  # the first place in each text
         for (r, i), (edits, start, end) in sorted(best.items()):
             here = whole[whole_rows[r] : whole_rows[r + 1]]
             lead = np.concatenate([[0], np.cumsum((here & 0xC0) != 0x80)])

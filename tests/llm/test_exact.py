@@ -269,3 +269,33 @@ def test_long_licence_files_are_recognised_and_inherited(spark):
     assert got[9].score > 0.6 and all(got[100 + i].licence == "Apache-2.0" for i in range(300))
     alone = licenses.licence_scan(spark.createDataFrame([(t, f"{t}/LICENSE", text) for t, text in licenses.TEXTS.items()], "doc_id string, path string, text string"))
     assert all(r.doc_id == r.licence for r in alone.collect())
+
+
+def test_decontamination_searches_short_items_and_holds_the_rate(spark):
+    dice = random.Random(16)
+    make = lambda n: "".join(dice.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    items = {i: make(n) for i, n in enumerate([13, 24, 25, 37, 38, 50, 60, 63, 75, 88, 100, 233, 394])}
+    texts = {}
+    for i, t in items.items():
+        for edits in range(int(len(t) * 0.08) + 2):  # as far apart as can be, so that the longest unchanged run is the shortest
+            chars = list(t)
+            for k in range(edits):
+                chars[(k + 1) * len(t) // (edits + 1) - (k + 1 == edits + 1)] = "#"
+            texts[1000 * i + edits] = f"{make(30)} {''.join(chars)} {make(30)}"
+    want = {(d, i): e for d, t in texts.items() for i, x in items.items() if (e := least_edits(x, t)) <= int(len(x) * 0.08)}
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string")
+    got = decontaminate.contaminated(frame(list(texts.items()), "doc_id"), frame(list(items.items()), "item_id"), least=1)
+    assert {(r.doc_id, r.item_id): r.edits for r in got.collect()} == want
+    assert all((1000 * i + int(len(t) * 0.08), i) in want for i, t in items.items())
+    short = frame([(1, "What is the capital of France?"), (2, "cat"), (3, " "), (4, "C++"), (5, None)], "item_id")
+    rows = frame([(1, "Q: what is the  capital of France? A: Paris"), (2, "concatenate"), (3, "a bobcat, a Cat."), (4, "in C++11"), (5, "catcat"), (6, "cat"), (7, "scat"), (8, "\u00e9cat")], "doc_id")
+    got = decontaminate.contaminated(rows, short, least=1)
+    assert {(r.doc_id, r.item_id, r.start, r.stop) for r in got.collect()} == {(1, 1, 3, 34), (3, 2, 12, 15), (4, 4, 3, 6), (6, 2, 0, 3)}
+
+
+def test_registered_decontamination_leaves_out_no_short_item(spark, tmp_path):
+    from depotscan.llm.queries import op7_decontamination
+
+    spark.createDataFrame([(1, "Q: What is the capital of France?"), (2, "else")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "What is the capital of France?")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [(r.doc_id, r.item_id) for r in op7_decontamination(spark, str(tmp_path)).collect()] == [(1, 7)]
