@@ -12,8 +12,10 @@ words stands for the anchor extended both ways, as far as its windows reach.
 The removed ranges are the unions of repeated windows, that is the maximal repeats of at least `window` words.
 
 Nulls and edge cases: null texts have no words; texts with fewer words than `window` lose none; a null identifier
-comes after every other one; rows that share an identifier do not remove each other's words, and of repeats within
-a text the first stays; an empty table gives an empty result; texts are read whole; other columns are ignored.
+comes after every other one; rows that share both identifier and text are one row and lose the same words, none to
+each other; rows that share only an identifier, or have none, are rows of their own, in the order of a digest of
+their texts; of repeats within a text the first stays; an empty table gives an empty result; texts are read whole;
+other columns are ignored.
 Equality is that of 64-bit hashes of word hashes.
 """
 
@@ -68,7 +70,7 @@ def longs(x: np.ndarray) -> pa.Array:
 
 
 def repeated_ranges(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """(id, removed) word ranges of docs (id, text) whose windows all start earlier elsewhere; the arrays are bounded by the text's length."""
+    """(id, key, removed) word ranges of docs (id, key, text), each (id, key) once, whose windows all start earlier elsewhere; the arrays are bounded by the text's length."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,7 +81,7 @@ def repeated_ranges(docs: DataFrame, window: int, k: int) -> DataFrame:
         for batch in batches:
             for part in pieces(batch, "text"):
                 owner, anchor, extension, at, n, again = segments(part.column("text"), window, k)
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(owner)), longs(anchor), longs(extension), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again.astype(bool))], names=["id", "anchor", "extension", "at", "n", "again"])
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(owner)), part.column("key").take(pa.array(owner)), longs(anchor), longs(extension), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again.astype(bool))], names=["id", "key", "anchor", "extension", "at", "n", "again"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,29 +95,29 @@ def repeated_ranges(docs: DataFrame, window: int, k: int) -> DataFrame:
                 flat = spans.flatten()
                 at, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
                 owner, at = np.repeat(owner, n), np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(owner)), longs(run[base[owner] + at]), pa.array(at.astype(np.int32))], names=["id", "hash", "at"])
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(owner)), part.column("key").take(pa.array(owner)), longs(run[base[owner] + at]), pa.array(at.astype(np.int32))], names=["id", "key", "hash", "at"])
 
     found = docs.select("text").mapInArrow(anchors, "anchor long").groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     found = _store.store(found, "repeat-anchors")
-    seeded = docs.select("id", "text").mapInArrow(seeds, "id long, anchor long, extension long, at int, n int, again boolean")
+    seeded = docs.select("id", "key", "text").mapInArrow(seeds, "id long, key long, anchor long, extension long, at int, n int, again boolean")
     seeded = _store.store(_store.semi(seeded, found, ["anchor"], found.count()), "repeat-seeds")
 
     # Minima are stored, so that the joins with them are between plain exchanges and a hot key can be split.
-    repeated = seeded.groupBy("extension").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").select("extension", "first")
+    repeated = seeded.groupBy("extension").agg(F.min(F.struct("id", "key")).alias("first"), F.count("*").alias("c")).where("c > 1").select("extension", "first")
     repeated = _store.store(repeated, "repeat-firsts")
     judged = seeded.join(repeated, "extension", "left")
-    judged = _store.store(judged.select("id", "anchor", "at", "n", (F.col("again") | F.coalesce(F.col("id") > F.col("first"), F.lit(False))).alias("late")), "repeat-judged")
-    whole = judged.where("late").select("id", F.col("at").alias("start"), (F.col("at") + F.col("n") + window - 1).alias("stop"))
+    judged = _store.store(judged.select("id", "key", "anchor", "at", "n", (F.col("again") | F.coalesce(F.struct("id", "key") > F.col("first"), F.lit(False))).alias("late")), "repeat-judged")
+    whole = judged.where("late").select("id", "key", F.col("at").alias("start"), (F.col("at") + F.col("n") + window - 1).alias("stop"))
 
     firsts = judged.where("not late")
     several = firsts.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    edges = _store.store(firsts.join(several, "anchor", "left_semi").groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("spans")), "repeat-edges")  # bounded by the text's length
-    touched = _store.semi(docs.select("id", "text"), edges.select("id"), ["id"], edges.count())
-    single = _store.store(touched.join(edges, "id").select("id", "text", "spans").mapInArrow(windows, "id long, hash long, at int"), "repeat-windows")
-    least = single.groupBy("hash").agg(F.min(F.struct("id", "at")).alias("least"), F.count("*").alias("c")).where("c > 1").select("hash", "least")
+    edges = _store.store(firsts.join(several, "anchor", "left_semi").groupBy("id", "key").agg(F.collect_list(F.struct("at", "n")).alias("spans")), "repeat-edges")  # bounded by the text's length
+    touched = _store.semi(docs.select("id", "key", "text"), edges.select("id", "key"), ["id", "key"], edges.count())
+    single = _store.store(touched.join(edges, ["id", "key"]).select("id", "key", "text", "spans").mapInArrow(windows, "id long, key long, hash long, at int"), "repeat-windows")
+    least = single.groupBy("hash").agg(F.min(F.struct("id", "key", "at")).alias("least"), F.count("*").alias("c")).where("c > 1").select("hash", "least")
     least = _store.store(least, "repeat-least")
-    part = single.join(least, "hash").where(F.struct("id", "at") > F.col("least")).select("id", F.col("at").alias("start"), (F.col("at") + window).alias("stop"))
-    ranges = _store.store(whole.unionByName(part).groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("removed")), "repeat-ranges")
+    part = single.join(least, "hash").where(F.struct("id", "key", "at") > F.col("least")).select("id", "key", F.col("at").alias("start"), (F.col("at") + window).alias("stop"))
+    ranges = _store.store(whole.unionByName(part).groupBy("id", "key").agg(F.collect_list(F.struct("start", "stop")).alias("removed")), "repeat-ranges")
     _store.discard(found, seeded, repeated, judged, edges, single, least)
     return ranges
 
@@ -123,11 +125,19 @@ def repeated_ranges(docs: DataFrame, window: int, k: int) -> DataFrame:
 def substring_dedup(docs: DataFrame, window: int = 20, k: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_removed, kept, removed): kept words joined by a blank, and the removed word ranges."""
     keyed = docs.select(F.coalesce(F.col(id_col), F.lit(LAST)).cast("long").alias("id"), F.col(id_col).alias("given"), F.col(text_col).alias("text"))
-    ranges = repeated_ranges(keyed, window, k)
+    # Rows are told apart by (id, key). An identifier of one row needs no key; rows of the others are made distinct.
+    reused = _store.store(keyed.where("given is not null").groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id", F.lit(True).alias("again")), "repeat-ids")
+    n_reused = reused.count()
+    keyed = keyed.join(_store.small(reused, n_reused), "id", "left") if n_reused else keyed.withColumn("again", F.lit(None).cast("boolean"))
+    digest = F.xxhash64(F.col("given").isNull(), F.coalesce("text", F.lit("")), F.md5(F.coalesce("text", F.lit(""))))
+    keyed = keyed.withColumn("key", F.when(F.col("given").isNull() | F.col("again"), F.when(digest == 0, 1).otherwise(digest)).otherwise(F.lit(0).cast("long")))
+    several = _store.store(keyed.where("key <> 0").groupBy("id", "key").agg(F.first("text").alias("text")), "repeat-rows")
+    ranges = repeated_ranges(keyed.where("key = 0").select("id", "key", "text").unionByName(several), window, k)
+    _store.discard(several)
     n_ranges = ranges.count()
 
     clean = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), "^ | $", "")
-    plain = keyed.select("id", "given", clean.alias("kept"))
+    plain = keyed.select("id", "key", "given", clean.alias("kept"))
     n_words = F.when(F.col("kept") == "", 0).otherwise(F.length("kept") - F.length(F.replace("kept", F.lit(" "))) + 1).cast("long")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +159,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, k: int = 8, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column("given"), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, kind)], names=["given", "n_words", "n_removed", "kept", "removed"])
 
     given = dict(keyed.dtypes)["given"]
-    touched = _store.semi(plain, ranges.select("id"), ["id"], n_ranges).join(ranges, "id").select("given", "kept", "removed")
+    touched = _store.semi(plain, ranges.select("id", "key"), ["id", "key"], n_ranges).join(ranges, ["id", "key"]).select("given", "kept", "removed")
     touched = touched.mapInArrow(cut, f"given {given}, n_words long, n_removed long, kept string, removed array<struct<start:int,stop:int>>")
-    rest = _store.semi(plain, ranges.select("id"), ["id"], n_ranges, "left_anti").select("given", n_words.alias("n_words"), F.lit(0).cast("long").alias("n_removed"), "kept", F.array().cast("array<struct<start:int,stop:int>>").alias("removed"))
+    rest = _store.semi(plain, ranges.select("id", "key"), ["id", "key"], n_ranges, "left_anti").select("given", n_words.alias("n_words"), F.lit(0).cast("long").alias("n_removed"), "kept", F.array().cast("array<struct<start:int,stop:int>>").alias("removed"))
     return touched.unionByName(rest).withColumnRenamed("given", id_col)

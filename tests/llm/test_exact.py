@@ -299,3 +299,17 @@ def test_registered_decontamination_leaves_out_no_short_item(spark, tmp_path):
     spark.createDataFrame([(1, "Q: What is the capital of France?"), (2, "else")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(7, "What is the capital of France?")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [(r.doc_id, r.item_id) for r in op7_decontamination(spark, str(tmp_path)).collect()] == [(1, 7)]
+
+
+def test_substring_tells_rows_of_one_identifier_apart(spark):
+    dice = random.Random(12)
+    some = lambda n: [f"w{dice.randrange(10**6)}" for _ in range(n)]
+    shared, three, a, b, c = some(50), some(30), some(70), some(300), some(40)
+    rows = [(3, " ".join(three + shared)), (None, " ".join(shared + a)), (None, " ".join(b)), (None, " ".join(b[:25] + c)), (7, " ".join(c[:35])), (7, " ".join(some(90) + a[:45])), (7, " ".join(shared[:30] + some(5))), *[(9, " ".join(some(60)))] * 3, (None, " ".join(three)), (None, " ".join(three)), (None, None)]
+    got = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted((r.doc_id or 0, r.n_words, r.kept) for r in got.collect())
+    # b and its copy are both without an identifier: one of the two, by digest, keeps the 25 words.
+    texts = {t: i for i, t in rows}
+    fixed = [(3, 80, rows[0][1]), (0, 120, " ".join(a[45:])), (7, 35, rows[4][1]), (7, 135, rows[5][1]), (7, 35, " ".join(rows[6][1].split()[30:])), *[(9, 60, rows[7][1])] * 3, (0, 30, ""), (0, 30, ""), (0, 0, "")]
+    either = [[(0, 300, " ".join(b)), (0, 65, " ".join(c[35:]))], [(0, 300, " ".join(b[25:])), (0, 65, " ".join(b[:25] + c[35:]))]]
+    assert len(texts) > 8 and got in [sorted(fixed + e) for e in either]
