@@ -1,6 +1,7 @@
 """Secret scan: candidates from texts, a random forest that removes false positives.
 
-Candidates are runs of 16 or more token characters with a letter and a digit, and values assigned to names such as
+Candidates are runs of 16 or more token characters with a letter and a digit, cut at each '=' (padding is no part of a
+candidate, every part of 16 characters or more is one), and values assigned to names such as
 password. Each has a row of features: length, character transitions (rate of changes between lower case, upper
 case, digits and signs, and mean likelihood of its letter pairs among harmless values), entropy, dictionary
 coverage, path, and neighbouring words. The forest is Spark ML's, trained on a table of labelled findings; the
@@ -35,6 +36,7 @@ MOST_LABELLED = 5_000
 DICTIONARY = ("account", "address", "author", "branch", "build", "class", "client", "cluster", "commit", "config", "content", "count", "data", "date", "default", "document", "domain", "download", "example", "field", "file", "files", "group", "home", "host", "html", "http", "https", "image", "index", "item", "library", "list", "local", "main", "master", "method", "model", "module", "name", "number", "object", "output", "package", "page", "path", "pattern", "port", "project", "query", "release", "result", "sample", "server", "service", "source", "string", "system", "table", "target", "test", "text", "title", "type", "user", "value", "version", "window")
 
 _run = re.compile(r"[A-Za-z0-9_+/=.\-]{16,}")
+_part = re.compile(r"[^=]+")
 _assigned = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?[\t ]{0,3}[:=][\t ]{0,3}[\"']?([^\s\"',;]{6,})")
 _name = re.compile(r"(?i)(pass(word|wd)?|pwd|secret|token|key|auth|bearer|credential)[\"'\s]*[:=]?[\"'\s]*$")
 _digest = re.compile(r"(?i)(sha-?\d*|md5|commit|digest|checksum|revision|etag|uuid|hash)[\"'\s]*[:=]?[\"'\s]*$")
@@ -47,11 +49,11 @@ FEATURES = 14
 def candidates(text: str) -> list[tuple[int, int]]:
     """(start, end) of each candidate, sorted, without overlaps (the earlier and longer one stays)."""
     found = [(m.start(1), m.end(1)) for m in _assigned.finditer(text)]
-    for m in _run.finditer(text):
-        value = m[0].rstrip("=.-") if "=" not in m[0][:-2] else m[0].rpartition("=")[2]
-        start = m.end() - len(value) if "=" in m[0][:-2] else m.start()
-        if len(value) >= 16 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value):
-            found.append((start, start + len(value)))
+    for run in _run.finditer(text):
+        for m in _part.finditer(text, *run.span()):
+            value = m[0].rstrip(".-")
+            if len(value) >= 16 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value):
+                found.append((m.start(), m.start() + len(value)))
     spans, free = [], 0
     for start, end in sorted(found, key=lambda x: (x[0], -x[1])):
         if start >= free:

@@ -313,3 +313,15 @@ def test_substring_tells_rows_of_one_identifier_apart(spark):
     fixed = [(3, 80, rows[0][1]), (0, 120, " ".join(a[45:])), (7, 35, rows[4][1]), (7, 135, rows[5][1]), (7, 35, " ".join(rows[6][1].split()[30:])), *[(9, 60, rows[7][1])] * 3, (0, 30, ""), (0, 30, ""), (0, 0, "")]
     either = [[(0, 300, " ".join(b)), (0, 65, " ".join(c[35:]))], [(0, 300, " ".join(b[25:])), (0, 65, " ".join(b[:25] + c[35:]))]]
     assert len(texts) > 8 and got in [sorted(fixed + e) for e in either]
+
+
+def test_secrets_before_and_behind_padding(spark):
+    found = lambda t: [t[a:b] for a, b in secrets.candidates(t)]
+    assert found("AUTH=QWxhZGRpbjpvcGVuIHNlc2FtZTEyMw==") == ["QWxhZGRpbjpvcGVuIHNlc2FtZTEyMw"]
+    assert found("SIGNING_KEY=9f8Ab3Kd02LmZq7Tt1Vw4Xy6==\nB=1") == ["9f8Ab3Kd02LmZq7Tt1Vw4Xy6"]
+    assert found("A=9f8Ab3Kd02LmZq7Tt1Vw4Xy6=x") == ["9f8Ab3Kd02LmZq7Tt1Vw4Xy6"]
+    assert found("A=9f8Ab3Kd02LmZq7Tt1Vw4Xy6=B=QWxhZGRpbjpvcGVuIHNlc2FtZTEyMw=") == ["9f8Ab3Kd02LmZq7Tt1Vw4Xy6", "QWxhZGRpbjpvcGVuIHNlc2FtZTEyMw"]
+    assert found("see QWxhZGRpbjpvcGVuIHNlc2FtZTEyMw== there") == ["QWxhZGRpbjpvcGVuIHNlc2FtZTEyMw"]
+    model = secrets.learn(secrets.labelled_findings(spark))
+    rows = [(1, "x SIGNING_KEY=9f8Ab3Kd02LmZq7Tt1Vw4Xy6pQ0sRu5vWz7yC1dE== y", "deploy/prod")]
+    assert [(r.doc_id, r.start, r.stop, r.is_secret) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"), *model).collect()] == [(1, 14, 54, True)]
