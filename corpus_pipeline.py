@@ -1,8 +1,9 @@
 """From documents to packed training sequences: language, exact copies, near copies, benchmark leaks, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of docs, for the documents that they keep. A document without an
-identifier is never dropped as a copy or a leak, since nothing could name it.
+stage's docs. All but the last return the columns of docs, for the documents that they keep. Stages decide for each row:
+rows that share an identifier, or have none, get numbers of their own, so of repeated rows one stays, and of two texts
+with one identifier each stays or goes by itself. Identifiers are whole numbers; rows without one come last.
 """
 
 from __future__ import annotations
@@ -14,10 +15,40 @@ from depotscan.llm import _store, decontaminate, exact_dedup, language, ngram_jo
 from depotscan.llm.queries import VOCABULARIES, table
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs whose doc_id isn't among the dropped ones."""
-    dropped = _store.store(dropped.select("doc_id").where("doc_id is not null").distinct(), "dropped")
-    return _store.semi(docs, dropped, ["doc_id"], dropped.count(), "left_anti")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(rows (row, doc_id, text, doc) of docs with a number each, those of them whose number isn't their doc_id, or None).
+
+    The latter are rows with a null or repeated doc_id; they are stored, so that their numbers stay."""
+    slim = docs.select("doc_id", "text", F.struct(*docs.columns).alias("doc"))
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").select("doc_id")
+    again = _store.store(again, "repeated-ids")
+    n_again = again.count()
+    if not n_again:
+        return slim.withColumn("row", F.col("doc_id")), None
+    keys = _store.small(again.withColumnRenamed("doc_id", "again"), n_again)
+    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    top = docs.agg(F.max("doc_id")).first()[0]
+    numbers = F.monotonically_increasing_id() + F.lit(0 if top is None else max(top + 1, 0))
+    others = _store.store(slim.join(keys, same, "left_semi").withColumn("row", numbers), "numbered-rows")
+    return slim.join(keys, same, "left_anti").withColumn("row", F.col("doc_id")).unionByName(others), others
+
+
+def _later(groups: DataFrame, others: DataFrame | None, least: str) -> DataFrame:
+    """The rows of groups (row, group) but the one with the smallest doc_id of each group; the column `least` names is its smallest row."""
+    if others is None:
+        return groups.where(F.col("row") != F.col(least)).select("row")
+    known = others.select("row", F.col("doc_id").alias("given"), F.lit(True).alias("other"))
+    value = F.when(F.col("other"), F.col("given")).otherwise(F.col("row"))
+    placed = groups.join(_store.small(known, others.count()), "row", "left").select("row", "group", F.struct(value.isNull().alias("none"), value.alias("doc_id"), "row").alias("place"))
+    placed = _store.store(placed, "group-places")
+    first = _store.store(placed.groupBy("group").agg(F.min("place").alias("first"), F.count("*").alias("c")).where("c > 1").select("group", "first"), "group-firsts")
+    return placed.join(first, "group").where(F.col("place") > F.col("first")).select("row")
+
+
+def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The documents of numbered rows that aren't among the dropped ones."""
+    dropped = _store.store(dropped.select("row").distinct(), "dropped")
+    return _store.semi(rows, dropped, ["row"], dropped.count(), "left_anti").select("doc.*")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,18 +61,23 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest doc_id stays."""
-    return _without(docs, exact_dedup.exact_dedup(docs).where("not kept"))
+    """Of equal texts one row stays, with the smallest doc_id."""
+    rows, others = _numbered(docs)
+    copies = exact_dedup.exact_dedup(rows, id_col="row", locator=F.lit("")).where("group_size > 1")
+    return _without(rows, _later(copies.select("row", "keep_id", F.col("text_sha256").alias("group")), others, "keep_id"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by a 5-word shingle Jaccard of 0.8 or more the smallest doc_id stays."""
-    return _without(docs, ngram_join.ngram_join(docs, n=5, num=80, den=100).where("doc_id <> component_id"))
+    """Of texts linked by a 5-word shingle Jaccard of 0.8 or more one row stays, with the smallest doc_id."""
+    rows, others = _numbered(docs)
+    found = ngram_join.ngram_join(rows, n=5, num=80, den=100, id_col="row")
+    return _without(rows, _later(found.select("row", F.col("component_id").alias("group")), others, "group"))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), least=1))
+    rows, _ = _numbered(docs)
+    return _without(rows, decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), least=1, id_col="row"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

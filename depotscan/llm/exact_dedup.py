@@ -62,12 +62,12 @@ def dedup_stream(fingerprints: DataFrame, path: str, checkpoint: str) -> None:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, files_per_batch: int = 10_000) -> DataFrame:
-    """(id, keep_id, group_size, kept, text_sha256, locator), one row per input row; locator is the file of the kept row."""
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, files_per_batch: int = 10_000, locator: Column | None = None) -> DataFrame:
+    """(id, keep_id, group_size, kept, text_sha256, locator), one row per input row; locator is the kept row's, its file unless another column is given (docs of several sources need one)."""
     spark = docs.sparkSession
     text = normalised(F.col(text_col))
     prints = _store.new_path(spark, "dedup-prints")
-    docs.select(F.col(id_col).alias("id"), text.alias("t"), F.input_file_name().alias("locator")).select("id", digest(F.col("t")).alias("digest"), F.sha2("t", 256).alias("text_sha256"), "locator").write.parquet(prints)
+    docs.select(F.col(id_col).alias("id"), text.alias("t"), (F.input_file_name() if locator is None else locator).alias("locator")).select("id", digest(F.col("t")).alias("digest"), F.sha2("t", 256).alias("text_sha256"), "locator").write.parquet(prints)
     table = spark.read.parquet(prints)
 
     out, checkpoint = _store.new_path(spark, "dedup-state"), _store.new_path(spark, "dedup-stream")

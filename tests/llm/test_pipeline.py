@@ -74,3 +74,28 @@ def test_pipeline(spark, tmp_path):
     empty = docs.where("false")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0, name
+
+
+def test_pipeline_decides_for_each_row(spark, tmp_path):
+    dice = random.Random(15)
+    some = lambda n: [("".join(dice.choice("abdeiklmnorstu") for _ in range(dice.randrange(2, 8)))) for _ in range(n)]
+    item = " ".join(some(30))
+    leak, near, a, b, c, d, e, f = (some(60) for _ in range(8))
+    late = lambda ws: " ".join([*ws[:-1], "changed"])
+    texts = [
+        (1, " ".join(a)), (None, " ".join(a)), (None, late(a)),  # copies without an identifier
+        (2, " ".join(b)), (2, " ".join(b)), (2, " ".join(b)), (None, " ".join(c)), (None, " ".join(c)),  # repeated rows
+        (3, " ".join(d)), (3, " ".join(e)), (4, " ".join(d)), (5, late(e)),  # one identifier, two texts; copies with larger ones
+        (6, " ".join([*leak, item])), (6, " ".join(near)), (None, " ".join([*f, item])), (0, late(near)), (-7, late(b)),
+    ]
+    rows = [(i, t, "en", "s", len(t), None, 7) for i, t in texts]
+    spark.createDataFrame(rows, COLUMNS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    after = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = corpus_pipeline._store.store(stage(spark, left, str(tmp_path)), f"test-{name}")
+        after.append(sorted(((r.doc_id is None, r.doc_id, r.text) for r in left.collect()), key=str))
+    want = [(1, " ".join(a)), (None, " ".join(c)), (3, " ".join(d)), (3, " ".join(e)), (0, late(near)), (-7, late(b))]
+    assert after[-1] == sorted(((i is None, i, t) for i, t in want), key=str)
+    assert [len(x) for x in after[:2]] == [len(texts), len(texts) - 5] and after[-1] != after[-2]
