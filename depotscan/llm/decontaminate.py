@@ -9,7 +9,7 @@ A-Z lower-cased and runs of white space as one blank.
 The benchmark is a stated query set: it is read in blocks of BLOCK_BYTES at most, each block is broadcast and meets
 every text once.
 
-So that the lemma bounds something, an item's q is `q` or less: the longest with m >= q * (e + 1).
+So that the lemma bounds something, an item's q is `q` or less: the longest of which at least q grams are left.
 
 Nulls and edge cases: null or empty texts and items match nothing; an item too short for an edit at the given rate must
 occur unchanged, not inside a longer word; items with fewer than `least` bytes are left out (the queries leave out
@@ -116,7 +116,7 @@ class Items:
                 self.text.append(data)
         size = np.array([len(t) for t in self.text], np.int64)
         self.edits = (size * rate).astype(np.int64)
-        own = np.minimum(size // (self.edits + 1), q)
+        own = np.minimum((size + 1) // (self.edits + 2), q)  # so that at least q shared grams are needed
         self.need = size + 1 - own * (self.edits + 1)
         self.short = [i for i, t in enumerate(self.text) if len(t) < q and not self.edits[i]]
         own[self.short] = 0
