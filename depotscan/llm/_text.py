@@ -39,13 +39,13 @@ def powers(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def pieces(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Row slices of about `most` text bytes, never less than a row: bounds memory, cuts no text."""
+def pieces(batch: pa.RecordBatch, text: str, most: int = 1 << 20, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Row slices of about `most` text bytes and at most `rows` rows, never less than a row: bounds memory, cuts no text."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         end = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right"))
-        end = max(at + 1, end)
+        end = max(at + 1, min(end, at + rows))
         yield batch.slice(at, end - at)
         at = end
 

@@ -17,19 +17,21 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node reachable from each node that has a link.
 
     Every step reduces to minima per node, which Spark combines before the shuffle, so a hub costs one row per task;
-    each round is written to the shared folder. Self links and repeated links change nothing; no link gives no row.
+    minima are stored before they are joined, so that the join is between plain exchanges and a hub can be split; each
+    round is written to the shared folder. Self links and repeated links change nothing; no link gives no row.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges = _store.store(edges, "components")
     before = _mark(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = _store.store(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components-least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        large = _store.store(large, "components-large")
+        lowest = _store.store(large.groupBy("u").agg(F.min("v").alias("m")), "components-lowest")
+        small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         older, edges = edges, _store.store(small, "components")
-        _store.discard(older)
+        _store.discard(older, least, large, lowest)
         after = _mark(edges)
         if after == before:
             break

@@ -5,8 +5,9 @@ Each letter has a random vector of +1 and -1. A trigram's vector binds (multipli
 training texts. The prototype with the largest cosine wins.
 
 Nulls and edge cases: null texts and texts without letters are `und` with score 0; rows without a language, or
-held out, teach nothing; with nothing learned all rows are `und`; equal cosines go to the alphabetically first
-language; long texts are read whole; other columns are ignored.
+held out, teach nothing; with nothing learned all rows are `und`; cosines that are equal to six places go to the
+alphabetically first language; repeated rows teach and are predicted each; an empty table gives an empty result; long
+texts are read whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from ._text import pieces
 
 DIMENSIONS = 1024
-SYMBOLS = 64  # 0: no letter; 1 to 26: a to z; the rest: other letters by code point
+SYMBOLS = 128  # 0: no letter; 1 to 26: a to z; the rest: other letters by code point
 SEED = 20_061
-#: Text bytes that a task counts at a time; bounds memory, cuts no text.
-BLOCK = 1 << 18
+#: Text bytes and rows that a task counts at a time, cells of a table of counts, and trigram vectors held at once; these bound memory and cut no text.
+BLOCK, ROWS, CELLS, VECTORS = 1 << 18, 2_000, 1 << 21, 2_048
 
 
 @lru_cache(maxsize=1)
@@ -66,10 +67,16 @@ def profiles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     middle = np.flatnonzero(s)
     codes, row = (padded[middle] * SYMBOLS + s[middle]) * SYMBOLS + padded[middle + 2], row[middle]
     seen = np.flatnonzero(np.bincount(codes, minlength=1))
-    place = np.zeros(SYMBOLS**3, np.int64)
+    place = np.zeros(SYMBOLS**3, np.int32)
     place[seen] = np.arange(len(seen))
+    if len(texts) * len(seen) > CELLS and len(texts) > 1:
+        half = len(texts) // 2
+        return tuple(np.concatenate(x) for x in zip(profiles(texts[:half]), profiles(texts[half:]), strict=True))
     counts = np.bincount(row * len(seen) + place[codes], minlength=len(texts) * len(seen)).reshape(len(texts), len(seen))
-    return counts.astype(np.float32) @ trigram_vectors(seen), lettered
+    total = np.zeros((len(texts), DIMENSIONS), np.float32)
+    for at in range(0, len(seen), VECTORS):
+        total += counts[:, at : at + VECTORS].astype(np.float32) @ trigram_vectors(seen[at : at + VECTORS])
+    return total, lettered
 
 
 def held_out(id_col: str) -> Column:
@@ -83,7 +90,7 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "lang")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in pieces(batch, "text", BLOCK):
+            for part in pieces(batch, "text", BLOCK, ROWS):
                 vectors, _ = profiles([x or "" for x in part.column(0).to_pylist()])
                 labels = np.array(part.column(1).to_pylist(), object)
                 for label in set(labels):
@@ -107,7 +114,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, text_col, BLOCK):
+            for part in pieces(batch, text_col, BLOCK, ROWS):
                 texts = [x or "" for x in part.column(text_col).to_pylist()]
                 label, score = ["und"] * len(texts), np.zeros(len(texts))
                 if names:

@@ -6,6 +6,10 @@ put rare n-grams first, by a sketch of document frequencies of fixed size, and d
 of like frequency. The first order's prefixes are joined, with size and position bounds; the other orders'
 prefixes must then intersect; what is left is verified on whole sets.
 
+Tokens whose lists have the same members (a passage that the same texts share has many) say the same about every
+pair, so only the first of them under the order keeps its list: any pair's first common token has the same members
+as a kept one that is not later.
+
 No pair of copies, and no pair inside a known component, needs to be looked at to find the components:
 1. texts with equal sets are one class, represented by its smallest identifier;
 2. in each prefix token's list, classes are verified against the list's most central member only, a star;
@@ -21,6 +25,7 @@ are read whole; other columns are ignored. A-Z is lower-cased, other letters are
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -35,7 +40,11 @@ from ._text import LOWER, mix, pieces, raw, run_hashes, word_hashes, words
 from .components import components
 
 #: The sketch has 2**SKETCH_BITS counters; its size doesn't depend on the data.
-SKETCH_BITS, SKETCH_CHUNK = 20, 1 << 14
+SKETCH_BITS, SKETCH_CHUNK = 22, 1 << 16
+#: N-grams that a task counts at a time; bounds memory.
+COUNTED = 1 << 19
+#: Longer lists are joined by size class as well; changes cost, not results.
+LONG_LIST = 64
 #: One salt for each global order.
 ORDERS = (0x51ED270B, 0x2545F491, 0x6C078965)
 
@@ -65,10 +74,20 @@ def document_frequencies(docs: DataFrame, n: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
+        sets: list[np.ndarray] = []
+
+        def add_up() -> None:
+            bucket, times = np.unique((np.concatenate(sets) & np.uint64(size - 1)).astype(np.int32), return_counts=True)
+            total[bucket] += times
+            sets.clear()
+
         for batch in batches:
             for part in pieces(batch, "text"):
-                sets = list(ngram_sets(part.column(0), n))
-                total += np.bincount((np.concatenate(sets) & np.uint64(size - 1)).astype(np.int64), minlength=size)
+                sets.extend(ngram_sets(part.column(0), n))
+                if sum(map(len, sets)) > COUNTED:
+                    add_up()
+        if sets:
+            add_up()
         chunks = [zlib.compress(x.tobytes(), 1) for x in total.reshape(-1, SKETCH_CHUNK)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array(chunks, pa.binary())], names=["chunk", "counts"])
 
@@ -86,8 +105,9 @@ def document_frequencies(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def frequency_classes(counts: np.ndarray) -> np.ndarray:
-    """Half powers of two above the mean count; a common n-gram stands out of its bucket's usual load."""
-    return np.clip(np.round(2 * np.log2(np.maximum(counts / max(counts.mean(), 1e-9), 1))), 0, 100).astype(np.uint8)
+    """Half powers of two of a bucket's excess over its usual load, from twice the load's deviation on: a common n-gram stands out as soon as the noise allows."""
+    load = float(np.median(counts))
+    return np.clip(np.round(2 * np.log2(np.maximum((counts - load) / (2 * np.sqrt(load) + 1), 1))), 0, 100).astype(np.uint8)
 
 
 def _similar(overlap: Column, a: Column, b: Column, num: int, den: int) -> Column:
@@ -145,8 +165,15 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
 
     lists = reps.select("id", "size", F.posexplode("p0").alias("pos", "token"))
     tokens = _store.store(lists.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "join-tokens")
-    shared = _store.store(_store.semi(lists, tokens, ["token"], tokens.count()), "join-lists")
-    _store.discard(tokens)
+    shared = _store.store(_store.semi(lists, tokens, ["token"], tokens.count()), "join-shared")
+    # A list's members are told by their number and two combinable hashes; of tokens with the same members one stays.
+    # Its centre is the member whose token comes earliest: it has the fewest rarer n-grams, so is the copy with the fewest changes.
+    stats = shared.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.min(F.struct("pos", "size", "id")).alias("centre"))
+    first = stats.groupBy("c", "x", "y").agg(F.min(F.struct("token", "centre")).alias("l"))
+    first = _store.store(first.select("l.token", "c", F.col("l.centre.id").alias("a"), F.col("l.centre.pos").alias("a_pos"), F.col("l.centre.size").alias("a_size")), "join-first")
+    n_first = first.count()
+    shared_all, shared = shared, _store.store(_store.semi(shared, first.select("token"), ["token"], n_first), "join-lists")
+    _store.discard(tokens, shared_all)
 
     def bounded(pairs: DataFrame) -> DataFrame:
         """Only pairs whose first common token could still begin a large enough overlap; the first one of every similar pair passes."""
@@ -171,21 +198,26 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
         _store.discard(pairs, met)
         return found
 
-    # The member whose token comes earliest has the fewest rarer n-grams: the copy with the fewest changes.
-    centre = shared.groupBy("token").agg(F.min(F.struct("pos", "size", "id")).alias("c"))
-    star = bounded(shared.select("token", F.col("id").alias("b"), F.col("pos").alias("b_pos"), F.col("size").alias("b_size")).join(centre.select("token", F.col("c.id").alias("a"), F.col("c.pos").alias("a_pos"), F.col("c.size").alias("a_size")), "token").where("a <> b"))
-    links = verified(star.groupBy("b").agg(F.min(F.struct("a_pos", "a")).alias("c")).select(F.col("c.a").alias("a"), "b"))
+    star = bounded(shared.select("token", F.col("id").alias("b"), F.col("pos").alias("b_pos"), F.col("size").alias("b_size")).join(_store.small(first, n_first), "token").where("a <> b"))
+    star = _store.store(star.groupBy("b").agg(F.min(F.struct("a_pos", "a")).alias("c")).select(F.col("c.a").alias("a"), "b"), "join-star")
+    links = verified(star)
 
     known = components(links, "a", "b").select(F.col("node").alias("id"), "component")
     labelled = shared.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    largest = labelled.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("token", "main")
-    labelled = _store.store(labelled.join(largest, "token"), "join-labels")
-    few = labelled.where("component <> main").select("token", F.col("id").alias("a"), F.col("pos").alias("a_pos"), F.col("size").alias("a_size"), F.col("component").alias("a_part"))
-    all_ = labelled.select("token", F.col("id").alias("b"), F.col("pos").alias("b_pos"), F.col("size").alias("b_size"), F.col("component").alias("b_part"), "main")
-    across = bounded(few.join(all_, "token").where((F.col("a_part") != F.col("b_part")) & ((F.col("b_part") == F.col("main")) | (F.col("a") < F.col("b")))))
-    links = links.unionByName(verified(across.select("a", "b").distinct()))
+    largest = labelled.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts"), F.sum("c").alias("n")).where("parts > 1").select("token", "main", "n")
+    # Sets that link are in the same or in neighbouring size classes; that is part of the key of long lists.
+    step = 1.001 * math.log(den / num) if num < den else 1.0  # a little over, so that rounding parts no pair
+    level = F.when(F.col("n") > LONG_LIST, F.floor(F.log(F.col("size")) / step)).otherwise(0).cast("int")
+    labelled = _store.store(labelled.join(largest, "token").withColumn("level", level), "join-labels")
+    few = labelled.where("component <> main").select("token", "level", F.col("id").alias("a"), F.col("pos").alias("a_pos"), F.col("size").alias("a_size"), F.col("component").alias("a_part"))
+    near = F.when(F.col("n") > LONG_LIST, F.array(*(F.col("level") + i for i in (-1, 0, 1)))).otherwise(F.array("level"))
+    all_ = labelled.select("token", F.explode(near).alias("level"), F.col("id").alias("b"), F.col("pos").alias("b_pos"), F.col("size").alias("b_size"), F.col("component").alias("b_part"), "main")
+    across = bounded(few.join(all_, ["token", "level"]).where((F.col("a_part") != F.col("b_part")) & ((F.col("b_part") == F.col("main")) | (F.col("a") < F.col("b")))))
+    judged = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(judged, ["a", "b"], "left_anti")
+    links = links.unionByName(verified(across))
 
     final = components(links, "a", "b")
-    _store.discard(rows, copies, shared, labelled)
+    _store.discard(rows, copies, first, shared, star, labelled)
     final = final.select(F.col("node").alias("rep"), "component")
     return members.join(final, "rep", "left").select(F.col("id").alias(id_col), "n_shingles", "n_copies", F.coalesce("component", "rep").alias("component_id"))

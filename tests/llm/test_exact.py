@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -74,6 +75,48 @@ def test_language_counts_are_sums_of_bound_letters():
     assert np.allclose(language.profiles([text])[0][0], want)
 
 
+def test_language_against_brute_force(spark):
+    dice = random.Random(5)
+    texts = [(i, " ".join("".join(dice.choice(("abcde", "abxyz", "é漢cde")[i % 3]) for _ in range(dice.randrange(1, 6))) for _ in range(dice.choice([1, 5, 40]))) + dice.choice(["", " 12", "! x"]), ("aa", "bb", "cc")[i % 3]) for i in range(200)]
+    texts += [(i, t, lang) for i, (t, lang) in enumerate([(None, "aa"), ("", "bb"), ("1 2 !", "cc"), ("abc", None), ("tie", "ee"), ("tie", "dd")], 200)]
+    texts = [(10 * i if t != "tie" else next(k for k in range(10 * i + 1, 10 * i + 99) if zlib.crc32(str(k).encode()) % 4 != 2), t, lang) for i, t, lang in texts]
+    tie = next(i for i, t, _ in texts if t == "tie")
+    _, _, last = language.letters()
+
+    def profile(text):
+        s = [0, *(language.symbols()[ord(c)] for c in text), 0]
+        return sum((np.roll(last[a], 2) * np.roll(last[b], 1) * last[c] for a, b, c in zip(s, s[1:], s[2:], strict=False) if b), np.zeros(language.DIMENSIONS))
+
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in texts}
+    assert any(held.values())
+    sums = defaultdict(lambda: np.zeros(language.DIMENSIONS))
+    for i, t, lang in texts:
+        if t is not None and lang and not held[i]:
+            sums[lang] += profile(t)
+    want = {}
+    for i, t, _ in texts:
+        v = profile(t or "")
+        cosines = {n: round(float(v @ x / np.linalg.norm(v) / np.linalg.norm(x)), 6) for n, x in sorted(sums.items())} if np.any(v) else {"und": 0.0}
+        best = max(cosines, key=cosines.get)
+        want[i] = (held[i], best, max(0.0, cosines[best]))
+    assert want[tie][1:] == ("dd", 1)
+    got = language.language_id(spark.createDataFrame(texts, "doc_id long, text string, lang string")).collect()
+    assert {r.doc_id: (r.held_out, r.lang_pred) for r in got} == {i: w[:2] for i, w in want.items()}
+    assert all(abs(r.score - want[r.doc_id][2]) < 1e-5 for r in got)
+
+
+def test_language_memory_is_bounded():
+    dice = random.Random(3)
+    short = ["".join(dice.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(24)) for _ in range(10_000)]
+    language.letters(), language.symbols()
+    tracemalloc.start()
+    found = np.concatenate([language.profiles(short[i : i + language.ROWS])[0][:, :8] for i in range(0, len(short), language.ROWS)])
+    language.profiles(["".join(chr(dice.randrange(0x4E00, 0x9FFF)) for _ in range(80_000))])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6 and np.array_equal(found[7], language.profiles([short[7]])[0][0, :8])
+
+
 def plain_spans(text):
     found = []
     for kind, pattern in enumerate((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")):
@@ -206,6 +249,21 @@ def test_ngram_join_against_brute_force(spark, n, num):
     assert check_join(ngram_join.ngram_join(docs, n, num, 100), texts, n, num) > 100
 
 
+def test_ngram_join_with_lists_of_many_unlinked_members(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LONG_LIST", 5)
+    dice = random.Random(21)
+    some = lambda n: [f"w{dice.randrange(10**6)}" for _ in range(n)]
+    passages = [some(40) for _ in range(2)]
+    texts = {i: " ".join([*dice.choice(passages), *some(dice.choice([6, 8, 12, 40]))]) for i in range(120)}
+    for i in range(120, 180):  # near copies of some; sizes at the very edge of the threshold
+        ws = texts[dice.randrange(i)].split()
+        texts[i] = " ".join(ws[: dice.choice([len(ws), 4 * len(ws) // 5, len(ws) - 2])] + some(dice.randrange(3)))
+    for i, n in enumerate((103, 83, 128, 103)):  # 100, 80, 125 and 100 shingles of one run of words
+        texts[500 + i] = " ".join(f"v{k}" for k in range(n))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert check_join(ngram_join.ngram_join(docs, 4, 80, 100), texts, 4, 80) > 50
+
+
 def test_components(spark):
     dice = random.Random(9)
     links = [(dice.randrange(60), dice.randrange(60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 130)]

@@ -99,3 +99,13 @@ def test_pipeline_decides_for_each_row(spark, tmp_path):
     want = [(1, " ".join(a)), (None, " ".join(c)), (3, " ".join(d)), (3, " ".join(e)), (0, late(near)), (-7, late(b))]
     assert after[-1] == sorted(((i is None, i, t) for i, t in want), key=str)
     assert [len(x) for x in after[:2]] == [len(texts), len(texts) - 5] and after[-1] != after[-2]
+
+
+def test_pipeline_rejects_noise_and_keeps_short_texts(spark):
+    dice = random.Random(2)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    noise = [" ".join("".join(dice.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(dice.randrange(2, 10))) for _ in range(n)) for n in (60, 300, 3000)]
+    more = spark.createDataFrame([(10**6 + i, t, None) for i, t in enumerate([*noise, "zwyx", "1 2 3", None])], "doc_id long, text string, lang string")
+    got = {r.doc_id for r in corpus_pipeline.known_language(spark, docs.unionByName(more), "").collect()}
+    assert {i for i in got if i >= 10**6} == {10**6 + 3}
+    assert got - {10**6 + 3} == {r.doc_id for r in docs.where("text rlike '\\\\p{L}'").collect()}
