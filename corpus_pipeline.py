@@ -51,13 +51,19 @@ def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
     return _store.semi(rows, dropped, ["row"], dropped.count(), "left_anti").select("doc.*")
 
 
+#: A text of this many letters or more whose cosine with every language is below LEAST_COSINE is noise. Of labelled texts of
+#: that length, a word repeated over and over included, none has less than 0.20; 20,000 random letters have up to 0.15.
+ENOUGH_LETTERS, LEAST_COSINE = 100, 0.16
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what has no language: no text, or none with a letter."""
+    """Drops what has no language: no text, none with a letter, or one that is long enough to tell and like no language."""
     prototypes = language.learn(docs.where(~language.held_out("doc_id")))
     if not prototypes:  # nothing to learn from: a letter decides
         return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
     whole = docs.select(F.struct(*docs.columns).alias("doc"), "text")
-    return language.identify(whole, prototypes).where("lang_pred <> 'und'").select("doc.*")
+    few = F.length(F.regexp_replace("text", r"\P{L}+", "")) < ENOUGH_LETTERS
+    return language.identify(whole, prototypes).where((F.col("lang_pred") != "und") & ((F.col("score") >= LEAST_COSINE) | few)).select("doc.*")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
