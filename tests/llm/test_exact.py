@@ -201,12 +201,44 @@ def check_packing(docs, texts, window):
         assert most is None or sum(n for _, n in parts) == most
         assert most is not None or sum(n for _, n in parts) <= window
     assert pieces.keys() == ids.keys()
+    lengths = [sum(n for _, n in s) for s in sequences.values()]
+    assert sorted(sequences) == list(range(len(sequences))) and all(n == window or n & (n - 1) == 0 for n in lengths)
     return len(sequences), sum(map(len, ids.values()))
 
 
 def test_packing_of_documents(documents, texts):
     n, total = check_packing(documents, texts, 1024)
-    assert n * 1024 < total * 1.02
+    assert n <= total // 1024 + 10
+
+
+@pytest.mark.parametrize("length", [600, 520])
+def test_packing_cuts_remainders_to_close_windows(spark, length):
+    texts = {i: " ".join(["a"] * (length - 1)) for i in range(300)}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    n, total = check_packing(docs, texts, 1024)
+    assert total == 300 * length and n <= total // 1024 + 10
+    # Rows that share an identifier, or have none, are cut by their own texts.
+    more = spark.createDataFrame([(None if i % 3 else 7, t + " b" * (i % 5)) for i, t in texts.items()], "doc_id long, text string")
+    parts = packing.pack(more, f"{VOCABULARIES}/byte_bpe_50k.json").collect()
+    library = Tokenizer.from_file(f"{VOCABULARIES}/byte_bpe_50k.json")
+    by_size = {length + k: [*library.encode(texts[0] + " b" * k, add_special_tokens=False).ids, 0] for k in range(5)}
+    assert sum(r.length for r in parts) == sum(length + i % 5 for i in texts)
+    assert all(zlib.crc32(np.array(by_size[r.doc_tokens][r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 for r in parts)
+
+
+def test_packing_plan_fills_all_windows():
+    for counts in ({600: 1000}, {1: 5}, {700: 3, 324: 2, 1024: 9}, {x: random.Random(x).randrange(20) for x in range(1, 1025)}):
+        sequences, cover = defaultdict(list), defaultdict(list)
+        for length, a, b, skip, taken, at, n, first, base in packing.plan(counts, 1024):
+            for rank in range(a, b):
+                k = at + rank - a
+                sequences[first + k // n].append((base + k % n * taken, taken))
+                cover[length, rank].append((skip, taken))
+        for parts in [sorted(v) for v in [*sequences.values(), *cover.values()]]:
+            assert [a for a, _ in parts] == [0, *np.cumsum([n for _, n in parts])[:-1].tolist()]
+        assert all(sum(n for _, n in v) == x for (x, _), v in cover.items()) and len(cover) == sum(counts.values())
+        sizes = [sum(n for _, n in v) for v in sequences.values()]
+        assert sum(n < 1024 for n in sizes) <= 10 and all(n & (n - 1) == 0 for n in sizes) and sorted(sequences) == list(range(len(sequences)))
 
 
 def test_best_fill_is_optimal():
