@@ -45,11 +45,12 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as files: source is the repository, doc_id gives a directory of 100 files and one above it; the first
-    file of each is its LICENSE."""
+    """documents as files: source is the repository, doc_id gives a directory of 200 files and one above it. Of the files, a
+    fifth are licence files: the first one of a directory is its LICENSE, the others LICENSE-<doc_id>."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     place = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 10_000).cast("string"), F.floor(F.col("doc_id") / 200).cast("string"))
-    name = F.when(F.floor(F.col("doc_id") / 20) % 5 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    number = F.col("doc_id").cast("string")
+    name = F.when(F.col("doc_id") % 200 == 0, F.lit("LICENSE")).when(F.floor(F.col("doc_id") / 20) % 5 == 0, F.concat(F.lit("LICENSE-"), number)).otherwise(F.concat(number, F.lit(".txt")))
     return licenses.licence_scan(docs.withColumn("path", F.concat_ws("/", place, name)))
 
 

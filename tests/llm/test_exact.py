@@ -1,10 +1,11 @@
 """Operators against brute force, the libraries, and held-out rows."""
 
+import math
 import random
 import re
 import tracemalloc
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -361,6 +362,100 @@ def test_long_licence_files_are_recognised_and_inherited(spark):
     assert all(r.doc_id == r.licence for r in alone.collect())
 
 
+def tf_idf_scores(headers, templates, least, least_full):
+    """The best (licence, score) of each header by plain TF-IDF."""
+
+    def words(text):
+        return [w for w in re.split(r"[^a-z0-9.]+|\.+(?=[^0-9]|$)", text.lower()) if w]
+
+    known = {p for _, t in templates for p in zip(words(t), words(t)[1:], strict=False)}
+
+    def bag(text):
+        ws = words(text)
+        return Counter(ws) + Counter(p for p in zip(ws, ws[1:], strict=False) if p in known)
+
+    df = Counter(t for h in set(headers.values()) for t in bag(h))
+    idf = lambda t: math.log((len(set(headers.values())) + 1.0) / (1 + df.get(t, 1))) + 1
+    unit = lambda b: {t: n * idf(t) / math.sqrt(sum((m * idf(u)) ** 2 for u, m in b.items())) for t, n in b.items()}
+    sought = [(x, unit(bag(t)), least_full if len(t.split()) > licenses.NOTICE_WORDS or t.startswith(licenses.SPDX) else least) for x, t in templates]
+    found = {}
+    for i, h in headers.items():
+        some = re.findall(r"(?:\S+\s*){1,4}", h)
+        parts = {h, *h.split("\n")}
+        parts |= {" ".join(some[k : k + n]) for n in (2, 4, 8) for k in range(len(some))}
+        scores = [(-round(sum(v * t.get(u, 0) for u, v in b.items()), 6), x) for part in parts if part == h or re.search(licenses.MARK, part) for b in [unit(bag(part))] if b for x, t, limit in sought if round(sum(v * t.get(u, 0) for u, v in b.items()), 6) >= limit]
+        found[i] = (min(scores)[1], -min(scores)[0]) if scores else None
+    return found
+
+
+def test_licence_scores_against_brute_force(spark):
+    dice = random.Random(31)
+    templates = [x for x in licenses.TEMPLATES if len(x[1].split()) < 400]
+    headers = {}
+    for i in range(60):
+        ws = [f"w{dice.randrange(300)}" for _ in range(dice.randrange(1, 60))]
+        at = dice.randrange(len(ws))
+        taken = dice.choice(templates)[1].split()
+        ws[at:at] = taken[: dice.randrange(1, 40)]
+        headers[i] = dice.choice([" ", "\n"]).join([" ".join(ws[: len(ws) // 2]), " ".join(ws[len(ws) // 2 :])])
+    rows = [(i, f"d{i}/LICENSE", h) for i, h in headers.items()]
+    got = {r.doc_id: (r.licence, r.score) if r.licence else None for r in licenses.licence_scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), templates).collect()}
+    want = tf_idf_scores(headers, templates, 0.35, 0.8)
+    assert {i: w and w[0] for i, w in want.items()} == {i: g and g[0] for i, g in got.items()} and sum(w is not None for w in want.values()) > 20
+    assert all(abs(g[1] - want[i][1]) < 2e-6 for i, g in got.items() if g)
+
+
+#: (licence or None, path, text) shaped as in real repositories; none is a template.
+APACHE_HEADER = """/*
+ * Copyright 2019 The Widget Authors.
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ */
+package widget;"""
+GPL_HEADER = """# frob - frobnicate files
+# Copyright (C) 2011-2014 Jane Roe
+#
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+import os"""
+
+
+def labelled_files():
+    other = lambda text: text.replace("3 of", "2 of").replace("software:", "software;")
+    lesser = lambda text: text.replace("GNU General", "GNU Lesser General").replace("This program", "This library")
+    rows = [("Apache-2.0", "A.java", APACHE_HEADER), ("Apache-2.0", "b.go", APACHE_HEADER.replace(" *", "//").replace("/*", "").replace("2019", "2022")), ("GPL-3.0", "frob.py", GPL_HEADER), ("GPL-2.0", "frob.c", other(GPL_HEADER).replace("#", " *")), ("LGPL-3.0", "lib.py", lesser(GPL_HEADER)), ("LGPL-2.1", "lib.c", lesser(other(GPL_HEADER)).replace("version 2 of", "version 2.1 of"))]
+    rows += [(x, f"s{i}.{e}", f"{mark} {licenses.SPDX}{x}\n{mark} Copyright (c) 20{i + 10} Somebody\ncode()") for i, (x, e, mark) in enumerate([("MIT", "js", "//"), ("Apache-2.0", "rs", "//"), ("GPL-2.0", "c", "/*"), ("BSD-3-Clause", "py", "#"), ("MPL-2.0", "h", "//"), ("CC0-1.0", "sh", "#")])]
+    rows += [(x, f"full-{x}/{'COPYING' if 'GPL' in x else 'LICENSE'}", "Copyright (c) 2020, Some Company, Inc. All rights reserved.\n\n" + t.replace("Regents of the University of California", "Some Company")) for x, t in licenses.TEXTS.items()]
+    rows += [("BSD-3-Clause", "chrome.cc", "// Copyright 2014 The Project Authors. All rights reserved.\n// Use of this source code is governed by a BSD-3-Clause style license that can be\n// found in the LICENSE file."), ("MIT", "README.md", "# widget\n\nA widget for web pages.\n\n## License\n\nReleased under the MIT License, see LICENSE.\n"), ("CC-BY-4.0", "docs/index.md", "These pages are licensed under a Creative Commons Attribution 4.0 International License."), ("MPL-2.0", "m.js", "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */")]
+    none = ["You need a driving license before you rent a car here, and a copy of it.", "The license key was not accepted; contact sales to get a new license key.", "copying files from one disk to another takes an hour", "def license_plate(text):\n    return text.upper()", "Proprietary and confidential. Unauthorized copying of this file is prohibited.", "# SPDX-License-Identifier: LicenseRef-Internal-Only", "# SPDX-License-Identifier: Zlib", "The images are in the public domain as far as we know.", "This program asks for the software license of each package and prints a table.", "She was granted permission to leave; the licence of the inn was lost.", "All rights reserved.", "", "fishing licences are sold at the harbour office every day of the year"]
+    rows += [(None, f"none{i}.txt", t) for i, t in enumerate(none)] + [(None, "house/LICENSE", "House rules. No smoking, no dogs, no noise after ten. The owner may change these rules at any time.")]
+    return rows
+
+
+def test_licences_of_real_shaped_files(spark):
+    rows = labelled_files()
+    files = spark.createDataFrame([(i, f"r{i}/{path}", text) for i, (_, path, text) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r.doc_id: r.licence for r in licenses.licence_scan(files).collect()}
+    right = sum(want is not None and got[i] == want for i, (want, _, _) in enumerate(rows))
+    wrong = [(rows[i][:2], x) for i, x in got.items() if x != rows[i][0]]
+    assert right >= 0.9 * sum(x is not None for x in got.values()) and right >= 0.9 * sum(want is not None for want, _, _ in rows), wrong
+
+
 def test_decontamination_searches_short_items_and_holds_the_rate(spark):
     dice = random.Random(16)
     make = lambda n: "".join(dice.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
