@@ -76,11 +76,11 @@ def words(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return start, np.flatnonzero(last) + 1, np.searchsorted(rows, start, side="right") - 1
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, letters: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; with another table of 256 letters it is another hash."""
     up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1) if letters is None else letters[data]) * up[: len(data)], out=total[1:])
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * STEP)
 
 

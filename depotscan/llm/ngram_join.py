@@ -203,12 +203,15 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     links = verified(star)
 
     known = components(links, "a", "b").select(F.col("node").alias("id"), "component")
-    labelled = shared.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = _store.store(shared.join(known, "id", "left").withColumn("component", F.coalesce("component", "id")), "join-known")
     largest = labelled.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts"), F.sum("c").alias("n")).where("parts > 1").select("token", "main", "n")
+    largest = _store.store(largest, "join-largest")  # as above: plain exchanges, so that a hot list can be split
     # Sets that link are in the same or in neighbouring size classes; that is part of the key of long lists.
     step = 1.001 * math.log(den / num) if num < den else 1.0  # a little over, so that rounding parts no pair
     level = F.when(F.col("n") > LONG_LIST, F.floor(F.log(F.col("size")) / step)).otherwise(0).cast("int")
-    labelled = _store.store(labelled.join(largest, "token").withColumn("level", level), "join-labels")
+    several = labelled.join(_store.small(largest, largest.count()), "token").withColumn("level", level)
+    whole, labelled = labelled, _store.store(several, "join-labels")
+    _store.discard(whole, largest)
     few = labelled.where("component <> main").select("token", "level", F.col("id").alias("a"), F.col("pos").alias("a_pos"), F.col("size").alias("a_size"), F.col("component").alias("a_part"))
     near = F.when(F.col("n") > LONG_LIST, F.array(*(F.col("level") + i for i in (-1, 0, 1)))).otherwise(F.array("level"))
     all_ = labelled.select("token", F.explode(near).alias("level"), F.col("id").alias("b"), F.col("pos").alias("b_pos"), F.col("size").alias("b_size"), F.col("component").alias("b_part"), "main")

@@ -9,6 +9,10 @@ words stands for the anchor extended both ways, as far as its windows reach.
    documents that is every segment, so the group costs one minimum and no pairs.
 3. First segments whose anchor has several extensions (edges of passages, short common runs) are compared window
    by window: a window repeats unless it is the first with its words.
+4. Repeats on one diagonal of a text and its source are joined to maximal ones. Their words are then compared with
+   the source's, in blocks of BLOCK words that travel once for each text that repeats them, and only equal words go.
+   Should two different runs share a hash of 128 bits, that comparison shows it and all is done again under another
+   hash; so the result is that of words.
 The removed ranges are the unions of repeated windows, that is the maximal repeats of at least `window` words.
 
 Nulls and edge cases: null texts have no words; texts with fewer words than `window` lose none; a null identifier
@@ -16,30 +20,45 @@ comes after every other one; rows that share both identifier and text are one ro
 each other; rows that share only an identifier, or have none, are rows of their own, in the order of a digest of
 their texts; of repeats within a text the first stays; an empty table gives an empty result; texts are read whole;
 other columns are ignored.
-Equality is that of 64-bit hashes of word hashes.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _store
 from ._text import STEP, mix, pieces, powers, raw, run_hashes, word_hashes, words
 
 LAST = (1 << 63) - 1
+#: Words of a source that are compared at a time.
+BLOCK = 32
+SPLIT = re.compile(r"[^\x20\x09-\x0D]+").findall
 
 
-def segments(column: pa.Array, window: int, k: int) -> tuple[np.ndarray, ...]:
-    """(row, anchor, extension, first window, windows, seen before in the row) of each segment of the texts."""
+@lru_cache(maxsize=8)
+def letters(attempt: int) -> np.ndarray:
+    """Two tables of letters for each attempt."""
+    return np.random.default_rng(71 + attempt).integers(0, 1 << 64, (2, 256), np.uint64)
+
+
+def two_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, attempt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word."""
+    return tuple(word_hashes(data, start, end, table) for table in letters(attempt))
+
+
+def segments(column: pa.Array, window: int, k: int, attempt: int, bits: int) -> tuple[np.ndarray, ...]:
+    """(row, anchor, the two hashes of the extension, first window, windows) of each segment of the texts; bits of each hash are kept."""
     data, rows = raw(column)
     start, end, row = words(data, rows)
-    word = word_hashes(data, start, end)
+    word, second = two_hashes(data, start, end, attempt)
     n = max(0, len(word) - window + 1)
     gram, width = run_hashes(word, k), window - k + 1
     least, reach = np.arange(len(gram)), 1
@@ -55,75 +74,113 @@ def segments(column: pa.Array, window: int, k: int) -> tuple[np.ndarray, ...]:
     last = np.concatenate([first[1:], [len(at)]]) - 1
     begin, stop = at[first], at[last] + window
     up, down = powers(len(word) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word * up[: len(word)])])
-    extension = mix((total[stop] - total[begin]) * down[begin] + (stop - begin).astype(np.uint64) * STEP)
-    owner = row[begin]
-    order = np.lexsort((extension, owner))
-    again = np.zeros(len(begin), bool)
-    again[order[1:]] = (extension[order][1:] == extension[order][:-1]) & (owner[order][1:] == owner[order][:-1])
+    extension = []
+    for h in (word, second):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(word)])])
+        extension.append(mix((total[stop] - total[begin]) * down[begin] + (stop - begin).astype(np.uint64) * STEP) >> np.uint64(64 - bits))
     base = np.searchsorted(row, np.arange(len(column)))
-    return owner, gram[anchor[first]], extension, begin - base[owner], at[last] - at[first] + 1, again
+    owner = row[begin]
+    return owner, gram[anchor[first]], *extension, begin - base[owner], at[last] - at[first] + 1
 
 
 def longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-def repeated_ranges(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """(id, key, removed) word ranges of docs (id, key, text), each (id, key) once, whose windows all start earlier elsewhere; the arrays are bounded by the text's length."""
+def repeats(docs: DataFrame, window: int, k: int, attempt: int, bits: int) -> DataFrame:
+    """(id, key, start, stop, src_id, src_key, src_start) of docs (id, key, text), each (id, key) once: word ranges and the earlier ranges that have the same hashes, as long as can be."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                yield pa.RecordBatch.from_arrays([longs(segments(part.column("text"), window, k)[1])], names=["anchor"])
+                yield pa.RecordBatch.from_arrays([longs(segments(part.column("text"), window, k, attempt, bits)[1])], names=["anchor"])
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                owner, anchor, extension, at, n, again = segments(part.column("text"), window, k)
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(owner)), part.column("key").take(pa.array(owner)), longs(anchor), longs(extension), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again.astype(bool))], names=["id", "key", "anchor", "extension", "at", "n", "again"])
+                owner, anchor, one, two, at, n = segments(part.column("text"), window, k, attempt, bits)
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(owner)), part.column("key").take(pa.array(owner)), longs(anchor), longs(one), longs(two), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], names=["id", "key", "anchor", "one", "two", "at", "n"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
                 data, rows = raw(part.column("text"))
                 start, end, row = words(data, rows)
-                run = run_hashes(word_hashes(data, start, end), window)
+                one, two = (run_hashes(h, window) >> np.uint64(64 - bits) for h in two_hashes(data, start, end, attempt))
                 base = np.searchsorted(row, np.arange(part.num_rows))
                 spans = part.column("spans")
                 owner = np.repeat(np.arange(part.num_rows), spans.value_lengths().to_numpy(zero_copy_only=False))
                 flat = spans.flatten()
                 at, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
                 owner, at = np.repeat(owner, n), np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(owner)), part.column("key").take(pa.array(owner)), longs(run[base[owner] + at]), pa.array(at.astype(np.int32))], names=["id", "key", "hash", "at"])
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(owner)), part.column("key").take(pa.array(owner)), longs(one[base[owner] + at]), longs(two[base[owner] + at]), pa.array(at.astype(np.int32))], names=["id", "key", "one", "two", "at"])
 
     found = docs.select("text").mapInArrow(anchors, "anchor long").groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     found = _store.store(found, "repeat-anchors")
-    seeded = docs.select("id", "key", "text").mapInArrow(seeds, "id long, key long, anchor long, extension long, at int, n int, again boolean")
+    seeded = docs.select("id", "key", "text").mapInArrow(seeds, "id long, key long, anchor long, one long, two long, at int, n int")
     seeded = _store.store(_store.semi(seeded, found, ["anchor"], found.count()), "repeat-seeds")
 
     # Minima are stored, so that the joins with them are between plain exchanges and a hot key can be split.
-    repeated = seeded.groupBy("extension").agg(F.min(F.struct("id", "key")).alias("first"), F.count("*").alias("c")).where("c > 1").select("extension", "first")
-    repeated = _store.store(repeated, "repeat-firsts")
-    judged = seeded.join(repeated, "extension", "left")
-    judged = _store.store(judged.select("id", "key", "anchor", "at", "n", (F.col("again") | F.coalesce(F.struct("id", "key") > F.col("first"), F.lit(False))).alias("late")), "repeat-judged")
-    whole = judged.where("late").select("id", "key", F.col("at").alias("start"), (F.col("at") + F.col("n") + window - 1).alias("stop"))
-
-    firsts = judged.where("not late")
+    place = F.struct("id", "key", "at")
+    earliest = lambda rows: rows.groupBy("one", "two").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").select("one", "two", "first")
+    repeated = _store.store(earliest(seeded), "repeat-firsts")
+    judged = seeded.join(repeated, ["one", "two"], "left")
+    judged = _store.store(judged.select("id", "key", "anchor", "at", "n", F.when(place > F.col("first"), F.col("first")).alias("source")), "repeat-judged")
+    match = lambda rows, n: rows.select("id", "key", F.col("at").alias("start"), (F.col("at") + n).alias("stop"), F.col("source.id").alias("src_id"), F.col("source.key").alias("src_key"), (F.col("at") - F.col("source.at")).alias("shift"))
+    whole = match(judged.where("source is not null"), F.col("n") + window - 1)
+
+    firsts = judged.where("source is null")
     several = firsts.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     edges = _store.store(firsts.join(several, "anchor", "left_semi").groupBy("id", "key").agg(F.collect_list(F.struct("at", "n")).alias("spans")), "repeat-edges")  # bounded by the text's length
     touched = _store.semi(docs.select("id", "key", "text"), edges.select("id", "key"), ["id", "key"], edges.count())
-    single = _store.store(touched.join(edges, ["id", "key"]).select("id", "key", "text", "spans").mapInArrow(windows, "id long, key long, hash long, at int"), "repeat-windows")
-    least = single.groupBy("hash").agg(F.min(F.struct("id", "key", "at")).alias("least"), F.count("*").alias("c")).where("c > 1").select("hash", "least")
-    least = _store.store(least, "repeat-least")
-    part = single.join(least, "hash").where(F.struct("id", "key", "at") > F.col("least")).select("id", "key", F.col("at").alias("start"), (F.col("at") + window).alias("stop"))
-    ranges = _store.store(whole.unionByName(part).groupBy("id", "key").agg(F.collect_list(F.struct("start", "stop")).alias("removed")), "repeat-ranges")
+    single = _store.store(touched.join(edges, ["id", "key"]).select("id", "key", "text", "spans").mapInArrow(windows, "id long, key long, one long, two long, at int"), "repeat-windows")
+    least = _store.store(earliest(single), "repeat-least")
+    part = match(single.join(least, ["one", "two"]).where(place > F.col("first")).withColumnRenamed("first", "source"), F.lit(window))
+
+    # Matches of one diagonal that touch are one: a row's matches are bounded by its length.
+    line = Window.partitionBy("id", "key", "src_id", "src_key", "shift").orderBy("start", "stop")
+    before = F.max("stop").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    matches = whole.unionByName(part).repartition("id", "key").withColumn("new", F.coalesce(F.col("start") > before, F.lit(True)).cast("int"))
+    matches = matches.withColumn("island", F.sum("new").over(line)).groupBy("id", "key", "src_id", "src_key", "shift", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    matches = _store.store(matches.select("id", "key", "start", "stop", "src_id", "src_key", (F.col("start") - F.col("shift")).alias("src_start")), "repeat-matches")
     _store.discard(found, seeded, repeated, judged, edges, single, least)
-    return ranges
+    return matches
+
 
+def with_sources(docs: DataFrame, matches: DataFrame) -> DataFrame:
+    """(id, key, sources): for each text the blocks of words that its ranges repeat, as (start, first word of the block, words, the block). Rows without a match are left out."""
+    begin, end = F.col("src_start"), F.col("src_start") + F.col("stop") - F.col("start")
+    asked = matches.withColumn("block", F.explode(F.sequence(F.floor(begin / BLOCK), F.floor((end - 1) / BLOCK))))
+    lo, hi = F.greatest(begin, F.col("block") * BLOCK), F.least(end, F.col("block") * BLOCK + BLOCK)
+    asked = asked.select("id", "key", "src_id", "src_key", "block", (F.col("start") + lo - begin).cast("int").alias("start"), (lo - F.col("block") * BLOCK).cast("int").alias("at"), (hi - lo).cast("int").alias("n"))
+    asked = _store.store(asked, "repeat-asked")
 
-def substring_dedup(docs: DataFrame, window: int = 20, k: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_removed, kept, removed): kept words joined by a blank, and the removed word ranges."""
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                owner, block, found = [], [], []
+                for i, (text, sought) in enumerate(zip(part.column("text"), part.column("blocks"), strict=True)):
+                    all_words = SPLIT(text.as_py())
+                    for b in sought.as_py():
+                        owner.append(i)
+                        block.append(b)
+                        found.append(" ".join(all_words[BLOCK * b : BLOCK * b + BLOCK]))
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(owner, pa.int32())), part.column("key").take(pa.array(owner, pa.int32())), pa.array(block, pa.int64()), pa.array(found, pa.string())], names=["src_id", "src_key", "block", "words"])
+
+    wanted = asked.groupBy("src_id", "src_key").agg(F.collect_set("block").alias("blocks"))  # a text's blocks, however many ask for them
+    wanted = _store.store(wanted.select(F.col("src_id").alias("id"), F.col("src_key").alias("key"), "blocks"), "repeat-wanted")
+    texts = _store.semi(docs.select("id", "key", "text"), wanted.select("id", "key"), ["id", "key"], wanted.count())
+    sources = _store.store(texts.join(wanted, ["id", "key"]).select("id", "key", "text", "blocks").mapInArrow(blocks, "src_id long, src_key long, block long, words string"), "repeat-sources")
+    known = asked.join(sources, ["src_id", "src_key", "block"]).groupBy("id", "key").agg(F.collect_list(F.struct("start", "at", "n", "words")).alias("sources"))
+    known = _store.store(known, "repeat-known")
+    _store.discard(asked, wanted, sources)
+    return known
+
+
+def substring_dedup(docs: DataFrame, window: int = 20, k: int = 8, id_col: str = "doc_id", text_col: str = "text", bits: tuple[int, ...] = ()) -> DataFrame:
+    """(id, n_words, n_removed, kept, removed): kept words joined by a blank, and the removed word ranges.
+
+    bits, for tests, are those kept of the hashes in the first attempts."""
     keyed = docs.select(F.coalesce(F.col(id_col), F.lit(LAST)).cast("long").alias("id"), F.col(id_col).alias("given"), F.col(text_col).alias("text"))
     # Rows are told apart by (id, key). An identifier of one row needs no key; rows of the others are made distinct.
     reused = _store.store(keyed.where("given is not null").groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id", F.lit(True).alias("again")), "repeat-ids")
@@ -132,34 +189,43 @@ def substring_dedup(docs: DataFrame, window: int = 20, k: int = 8, id_col: str =
     digest = F.xxhash64(F.col("given").isNull(), F.coalesce("text", F.lit("")), F.md5(F.coalesce("text", F.lit(""))))
     keyed = keyed.withColumn("key", F.when(F.col("given").isNull() | F.col("again"), F.when(digest == 0, 1).otherwise(digest)).otherwise(F.lit(0).cast("long")))
     several = _store.store(keyed.where("key <> 0").groupBy("id", "key").agg(F.first("text").alias("text")), "repeat-rows")
-    ranges = repeated_ranges(keyed.where("key = 0").select("id", "key", "text").unionByName(several), window, k)
-    _store.discard(several)
-    n_ranges = ranges.count()
+    rows = keyed.where("key = 0").select("id", "key", "text").unionByName(several)
 
-    clean = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), "^ | $", "")
+    clean = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), r"^ | \z", "")
     plain = keyed.select("id", "key", "given", clean.alias("kept"))
     n_words = F.when(F.col("kept") == "", 0).otherwise(F.length("kept") - F.length(F.replace("kept", F.lit(" "))) + 1).cast("long")
+    given = dict(keyed.dtypes)["given"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, gone, kept, spans = [], [], [], []
-            for text, removed in zip(batch.column("kept"), batch.column("removed"), strict=True):
+            size, gone, kept, spans, other = [], [], [], [], []
+            for text, sources in zip(batch.column("kept"), batch.column("sources"), strict=True):
                 all_words = text.as_py().split(" ")
-                change = np.zeros(len(all_words) + 1, np.int64)
-                bounds = np.array([tuple(x.values()) for x in removed.as_py()], np.int64).clip(0, len(all_words))
-                np.add.at(change, bounds[:, 0], 1)
-                np.add.at(change, bounds[:, 1], -1)
-                stay = np.cumsum(change)[:-1] == 0
+                stay, unlike = np.ones(len(all_words), bool), 0
+                for s in sources.as_py():
+                    same = all_words[s["start"] : s["start"] + s["n"]] == s["words"].split(" ")[s["at"] : s["at"] + s["n"]]
+                    stay[s["start"] : s["start"] + s["n"]] &= not same
+                    unlike += not same
                 size.append(len(all_words))
                 gone.append(len(all_words) - int(stay.sum()))
                 kept.append(" ".join(compress(all_words, stay)))
                 edge = np.flatnonzero(np.diff(np.concatenate([[True], stay, [True]])))
                 spans.append([{"start": int(a), "stop": int(b)} for a, b in edge.reshape(-1, 2)])
+                other.append(unlike)
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column("given"), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, kind)], names=["given", "n_words", "n_removed", "kept", "removed"])
-
-    given = dict(keyed.dtypes)["given"]
-    touched = _store.semi(plain, ranges.select("id", "key"), ["id", "key"], n_ranges).join(ranges, ["id", "key"]).select("given", "kept", "removed")
-    touched = touched.mapInArrow(cut, f"given {given}, n_words long, n_removed long, kept string, removed array<struct<start:int,stop:int>>")
-    rest = _store.semi(plain, ranges.select("id", "key"), ["id", "key"], n_ranges, "left_anti").select("given", n_words.alias("n_words"), F.lit(0).cast("long").alias("n_removed"), "kept", F.array().cast("array<struct<start:int,stop:int>>").alias("removed"))
-    return touched.unionByName(rest).withColumnRenamed("given", id_col)
+            yield pa.RecordBatch.from_arrays([batch.column("given"), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, kind), pa.array(other, pa.int64())], names=["given", "n_words", "n_removed", "kept", "removed", "unlike"])
+
+    attempt = unlike = 0
+    while not attempt or unlike:
+        matches = repeats(rows, window, k, attempt, bits[attempt] if attempt < len(bits) else 64)
+        known = with_sources(rows, matches)
+        n_known = known.count()
+        touched = _store.semi(plain, known.select("id", "key"), ["id", "key"], n_known).join(known, ["id", "key"]).select("given", "kept", "sources")
+        touched = touched.mapInArrow(cut, f"given {given}, n_words long, n_removed long, kept string, removed array<struct<start:int,stop:int>>, unlike long")
+        touched = _store.store(touched, "repeat-cut")
+        unlike = touched.agg(F.sum("unlike")).first()[0] or 0
+        attempt += 1
+        _store.discard(matches)
+    _store.discard(several)
+    rest = _store.semi(plain, known.select("id", "key"), ["id", "key"], n_known, "left_anti").select("given", n_words.alias("n_words"), F.lit(0).cast("long").alias("n_removed"), "kept", F.array().cast("array<struct<start:int,stop:int>>").alias("removed"))
+    return touched.drop("unlike").unionByName(rest).withColumnRenamed("given", id_col)

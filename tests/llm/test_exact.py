@@ -165,6 +165,24 @@ def removed_words(rows, window):
     return {i: " ".join(w for p, w in enumerate(re.findall(r"[^\x20\x09-\x0D]+", t or "")) if p not in gone[i]) for i, t in rows}
 
 
+def test_substring_compares_words_where_hashes_clash(spark):
+    dice = random.Random(44)
+    some = lambda n: [f"w{dice.randrange(10**6)}" for _ in range(n)]
+    shared = [some(45) for _ in range(3)]
+    rows = [(i, " ".join(some(dice.randrange(30)) + dice.choice(shared)[dice.randrange(10) :] + some(dice.randrange(30)))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = removed_words(rows, 20)
+    assert {r.doc_id: r.kept for r in substring.substring_dedup(docs, bits=(2,)).collect()} == want
+
+
+def test_substring_words_end_at_white_space_alone(spark):
+    run = " ".join(f"x{i}" for i in range(30))
+    rows = [(1, run)] + [(10 + i, t) for i, t in enumerate(f for c in "\u2028\u2029\u0085" for f in (f"alpha beta {c}", f"{c} alpha beta", f"a{c} b", f"{run} {c}", f"{c} {run}\n", f"\n{run} \t"))]
+    got = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.kept for r in got} == removed_words(rows, 20)
+    assert {r.doc_id: r.n_words for r in got} == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t in rows}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_substring_against_brute_force(spark, seed):
     dice = random.Random(seed)
