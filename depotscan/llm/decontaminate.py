@@ -7,7 +7,7 @@ the item is reported where the best alignment needs at most e edits. Texts and i
 A-Z lower-cased and runs of white space as one blank.
 
 The benchmark is a stated query set: it is read in blocks of BLOCK_BYTES at most, each block is broadcast and meets
-every text once.
+every text once; with several blocks each one's result is stored and the block let go before the next is read.
 
 So that the lemma bounds something, an item's q is `q` or less: the longest of which at least q grams are left.
 
@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _store
 from ._text import LOWER, SPACE, pieces, raw
 
 #: Bytes of item text in a broadcast block.
@@ -59,11 +60,11 @@ def inside_word(byte: int) -> bool:
     return byte >= 128 or chr(byte).isalnum()
 
 
-def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
-    """(edits, end in text) of the best placing of the item in the text, along the diagonals 0 to len(text) - len(item)."""
+def align(item: np.ndarray, text: np.ndarray, row: np.ndarray | None = None) -> tuple[int, int]:
+    """(edits, end in text) of the best placing of the item in the text, along the diagonals 0 to len(text) - len(item); row has what it costs to start on each, nothing by default."""
     band = len(text) - len(item)
     slope = np.arange(band + 1)
-    row = np.zeros(band + 1, np.int64)
+    row = np.zeros(band + 1, np.int64) if row is None else row
     for i, c in enumerate(item):
         changed = row + (text[i : i + band + 1] != c)
         changed[:-1] = np.minimum(changed[:-1], row[1:] + 1)
@@ -72,6 +73,15 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(row[best]), len(item) + best
 
 
+def length_before(item: np.ndarray, text: np.ndarray, e: int) -> int:
+    """How much of the text's end the item takes when it is aligned to it there, with at most e edits."""
+    tail = text[max(0, len(text) - len(item) - e) :][::-1]
+    padded = np.zeros(len(item) + 2 * e, np.uint8)
+    padded[e : e + len(tail)] = tail
+    shift = np.arange(-e, e + 1)
+    return align(item[::-1], padded, np.where(shift < 0, len(padded), shift))[1] - e
+
+
 class Table:
     """The q-grams of those items that have this q."""
 
@@ -154,8 +164,7 @@ class Items:
                     if edits > e:
                         continue
                     end = min(end, b - a)
-                    back = np.concatenate([region[max(0, end - len(text) - e) : end][::-1], np.zeros(e, np.uint8)])
-                    start = end - min(align(text[::-1], back)[1], end) if len(back) >= len(text) else 0
+                    start = max(0, end - length_before(text, region[:end], e))
                     match = (edits, a + start, a + end)
                 if (r, i) not in best or match < best[r, i]:
                     best[r, i] = match
@@ -176,7 +185,7 @@ class Items:
             yield r, int(i), edits, int(lead[place[start] - whole_rows[r]]), int(lead[stop - whole_rows[r]])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 12, rate: float = 0.08, least: int = 40, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 12, rate: float = 0.08, least: int = 1, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item, edits, start, stop): each text and item that occurs in it with at most rate * length edits, at its best place."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).where("text is not null")
@@ -200,7 +209,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 12, rate: float
                     row, item, edits, start, stop = zip(*found, strict=True) if found else ((),) * 5
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int32())), pa.array([sought.ids[i] for i in item], to_arrow_type(kind)), pa.array(edits, pa.int64()), pa.array(start, pa.int64()), pa.array(stop, pa.int64())], names=["id", "item", "edits", "start", "stop"])
 
-        return slim.mapInArrow(run, f"id {id_type}, item {item_type}, edits long, start long, stop long")
+        found = slim.mapInArrow(run, f"id {id_type}, item {item_type}, edits long, start long, stop long")
+        if blocks == 1:
+            return found
+        found = _store.store(found, "leaks")  # one block at a time is in memory
+        shared.destroy()
+        return found
 
     found = reduce(DataFrame.unionByName, [one(b) for b in range(blocks)])
     return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "edits", "start", "stop")

@@ -69,7 +69,7 @@ def test_licenses(docs, empty):
 def test_decontaminate(docs, empty, spark):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "word7 word8"), (4, " ".join(f"word{i}" for i in range(500, 520)))], "item_id long, text string")
     got = decontaminate.contaminated(docs, items)
-    assert [(r.doc_id, r.item_id, r.edits) for r in got.collect()] == [(5, 4, 0)] * 2
+    assert sorted((r.doc_id, r.item_id, r.edits) for r in got.collect()) == [(5, 3, 0)] * 2 + [(5, 4, 0)] * 2
     assert decontaminate.contaminated(empty, items).count() == 0 and decontaminate.contaminated(docs, items.where("false")).count() == 0
 
 

@@ -333,6 +333,16 @@ def least_edits(item, text):
     return min(row)
 
 
+def whole_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        new = [i]
+        for j, d in enumerate(b, 1):
+            new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
 def test_decontamination_against_brute_force(spark):
     dice = random.Random(6)
     letters = "etaoin shrdlu"
@@ -346,11 +356,16 @@ def test_decontamination_against_brute_force(spark):
             item[at : at + 1] = dice.choice([[], [dice.choice("xyz")], [item[at], "q"]])
         texts[d] = make(dice.randrange(1, 80)) + " " + "".join(item).upper() + dice.choice(["", " " + make(50)])
     norm = lambda t: re.sub(" +", " ", t.lower())
-    q, rate = 12, 0.06
-    budget = {i: max(0, min(int(len(t) * rate), (len(t) + 1) // q - 2)) for i, t in items.items()}
-    want = {(d, i): e for d, t in texts.items() for i, x in items.items() if (e := least_edits(x, norm(t))) <= budget[i]}
-    got = decontaminate.contaminated(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"), q, rate)
-    assert {(r.doc_id, r.item_id): r.edits for r in got.collect()} == want and len(want) > 15
+    want = {(d, i): e for d, t in texts.items() for i, x in items.items() if (e := least_edits(x, norm(t))) <= int(len(x) * 0.08)}
+    docs, benchmark = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = decontaminate.contaminated(docs, benchmark).collect()
+    assert {(r.doc_id, r.item_id): r.edits for r in got} == want and len(want) > 15
+    for r in got:  # the place holds the item with so many edits: no fewer fit it, and whole words around it are more
+        place = norm(texts[r.doc_id][r.start : r.stop])
+        assert whole_edits(items[r.item_id], place) == r.edits
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(decontaminate, "BLOCK_BYTES", 300)
+        assert {tuple(r) for r in decontaminate.contaminated(docs, benchmark).collect()} == {tuple(r) for r in got}
 
 
 def test_secrets_separates_secrets_from_look_alikes(spark):
