@@ -40,7 +40,8 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents"), *secrets.learn(secrets.labelled_findings(spark)))
+    words = f"{VOCABULARIES}/word_bpe_49k.json"
+    found = secrets.scan(table(spark, sf_dir, "documents"), *secrets.learn(secrets.labelled_findings(spark), words), words)
     return found.select("doc_id", "start", "stop", F.sha2("value", 256).alias("value_sha256"), F.round("score", 6).alias("score"), "is_secret")
 
 

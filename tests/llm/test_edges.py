@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from depotscan.llm import decontaminate, exact_dedup, language, licenses, ngram_join, packing, pii, secrets, substring, tokens
 from depotscan.llm.queries import VOCABULARIES
 
+WORDS_FILE = f"{VOCABULARIES}/word_bpe_49k.json"
+
 WORDS = " ".join(f"word{i}" for i in range(30_000))
 ROWS = [(1, "Hello  world again and again", "en"), (2, None, "en"), (3, "", None), (4, " \t\n ", "fr"), (None, "Hello world again and again", "en"), (5, WORDS, "en"), (5, WORDS, "en"), (6, "12345 !!", None), (7, "un deux trois quatre", "fr"), (None, None, None), (8, "é ü 漢字 \x85 x\x1cy", "fr")]
 CLASH = ("id", "digest", "text_sha256", "size", "row", "kept", "lang_pred", "score", "start", "token", "key", "component", "value", "length", "rank", "hash")
@@ -57,8 +59,8 @@ def test_substring(docs, empty):
 
 
 def test_secrets(docs, empty, spark):
-    model = secrets.learn(secrets.labelled_findings(spark, copies=4), trees=5)
-    assert secrets.scan(docs, *model).count() == 0 and secrets.scan(empty, *model).count() == 0
+    model = secrets.learn(secrets.labelled_findings(spark, copies=4), WORDS_FILE, trees=5)
+    assert secrets.scan(docs, *model, WORDS_FILE).count() == 0 and secrets.scan(empty, *model, WORDS_FILE).count() == 0
 
 
 def test_licenses(docs, empty):
