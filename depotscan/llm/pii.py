@@ -6,14 +6,16 @@ small labelled table. One constraint is built in: a word is O if neither it nor
 A chain therefore falls apart at such words, exactly, and Viterbi runs over what is left, in numpy batches of
 pieces of like length. A span of the field is added where it overlaps no span of the patterns.
 
-Nulls and edge cases: null texts are empty and have no span; repeated rows give equal rows; an empty table gives
-an empty result; texts are read whole, in linear time; offsets count code points; other columns are ignored.
+Nulls and edge cases: null texts are empty and have no span; spans that start together are in the order of their kinds;
+of label sequences with equal scores the first one counts; repeated rows give equal rows; an empty table gives an empty
+result; texts are read whole, in linear time; offsets count code points; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -241,10 +243,15 @@ def example_table(spark: SparkSession, copies: int = 24) -> DataFrame:
     return spark.createDataFrame(rows, "text string, spans array<struct<kind:string,start:int,stop:int>>")
 
 
+@lru_cache(maxsize=4)
+def _fitted(rows: tuple) -> Field:
+    return fit([(text, list(spans)) for text, spans in rows])
+
+
 def learn(labelled: DataFrame, most: int = MOST_LABELLED) -> Field:
-    """A field from a small labelled table (text, spans); at most `most` rows are read."""
-    rows = labelled.where("text is not null").limit(most).collect()
-    return fit([(r["text"], [tuple(s) for s in r["spans"] or []]) for r in rows])
+    """A field from a small labelled table (text, spans); at most `most` rows are read, in the order of their texts. The same rows are fitted once in a process."""
+    rows = labelled.where("text is not null").orderBy("text", "spans").limit(most).collect()
+    return _fitted(tuple((r["text"], tuple(tuple(s) for s in r["spans"] or ())) for r in rows))
 
 
 def field_spans(field: Field, column: pa.Array) -> dict[int, list[tuple[int, int, int]]]:

@@ -208,6 +208,14 @@ def test_tokens_and_packing_against_the_library(spark):
     check_packing(docs, dict(enumerate(odd)), 16)
 
 
+def test_token_counts_of_documents(spark, documents, texts):
+    path = f"{VOCABULARIES}/word_bpe_49k.json"
+    library = Tokenizer.from_file(path)
+    more = {10**6: "漢" * 60 + "語 " + "仮名" * 40, 10**6 + 1: "x" * 200 + " " + "ab1" * 50}
+    docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame(list(more.items()), "doc_id long, text string"))
+    assert {r.doc_id: r.n_tokens for r in tokens.token_counts(docs, path).collect()} == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in {**texts, **more}.items()}
+
+
 def check_packing(docs, texts, window):
     path = f"{VOCABULARIES}/byte_bpe_50k.json"
     library = Tokenizer.from_file(path)
@@ -584,3 +592,36 @@ def test_secrets_on_a_table_of_other_templates(spark):
     print("precision", right / every, "recall", right / secret)
     missed = Counter(rows[i][0][:60] for i in range(len(rows)) if hit[i] != rows[i][3])
     assert right >= 0.9 * every and right >= 0.9 * secret, (right, every, secret, missed.most_common(12))
+
+
+def personal_table():
+    """(text, [(kind, start, end)]): shapes and surroundings that the training table doesn't have."""
+    dice = random.Random(91)
+    d = lambda n: "".join(dice.choice("0123456789") for _ in range(n))
+    noun = lambda: dice.choice(["garden", "River", "castle", "Engine", "market", "bridge", "forest"])
+    yes = {
+        "email": [lambda: f"{noun()}[at]{noun()}[dot]org", lambda: f"{noun()} [at] {noun()} [dot] net", lambda: f"{noun()} (at) {noun()}.com", lambda: f"{noun()}.{noun()}@{noun()}.co.uk", lambda: f"{noun()} (at) {noun()} (dot) org", lambda: f"{noun()}{d(2)}@{noun()}-{noun()}.de"],
+        "phone": [lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"+44 {d(2)} {d(4)} {d(4)}", lambda: f"+1 ({d(3)}) {d(3)}-{d(4)}", lambda: f"+49 {d(3)} {d(7)}", lambda: f"{d(3)}.{d(3)}.{d(4)}"],
+        "ip": [lambda: ".".join(str(dice.randrange(256)) for _ in range(4))],
+        "card": [lambda: "-".join(d(4) for _ in range(4)), lambda: " ".join(d(4) for _ in range(4))],
+    }
+    no = [lambda: f"on {d(2)}.{d(2)}.{d(4)}", lambda: f"chapter {d(1)}.{d(1)}", lambda: f"page {d(3)}-{d(3)}", lambda: f"${d(3)}.{d(2)}", lambda: f"({noun()})", lambda: f"{noun()}-{noun()}", lambda: f"in {d(4)}, {noun()}", lambda: f"{d(2)}%", lambda: f"[{d(1)}]", lambda: f"ISO {d(4)}", lambda: f"{d(2)}:{d(2)}:{d(2)}", lambda: f"# {noun()} #", lambda: f"{noun()} & {noun()}", lambda: f"no. {d(2)}", lambda: f"room {d(3)}b"]
+    rows = []
+    for _ in range(12):
+        for kind, make in [(k, m) for k, ms in yes.items() for m in ms] + [(None, m) for m in no]:
+            head, body, tail = " ".join(noun() for _ in range(dice.randrange(1, 5))), make(), dice.choice([".", ",", "", ";"]) + " " + " ".join(noun() for _ in range(dice.randrange(3)))
+            rows.append((f"{head} {body}{tail}", [(kind, len(head) + 1, len(head) + 1 + len(body))] if kind else []))
+    return rows
+
+
+def test_pii_on_a_table_of_other_templates(spark):
+    rows = personal_table()
+    field = pii.learn(pii.example_table(spark))
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)] for r in pii.find_pii(docs, field).collect()}
+    kinds = lambda i, spans: sum(any(k == kind and a < end and b > start for k, a, b in spans) for kind, start, end in (rows[i][1] if spans is not rows[i][1] else got[i]))
+    found, right = sum(map(len, got.values())), sum(kinds(i, rows[i][1]) for i in got)
+    every, hit = sum(len(s) for _, s in rows), sum(kinds(i, got[i]) for i in got)
+    print("precision", right / found, "recall", hit / every)
+    wrong = Counter((re.sub("[0-9]", "9", rows[i][0][:50]), str(got[i])) for i in got if kinds(i, got[i]) != len(rows[i][1]) or kinds(i, rows[i][1]) != len(got[i]))
+    assert right >= 0.9 * found and hit >= 0.9 * every, (right, found, hit, every, wrong.most_common(30))
