@@ -49,19 +49,29 @@ def provider_priority(candidate: Column, needing: Column) -> Column:
     return F.when(library, LIBRARY_WEIGHT).otherwise(0) + F.when(S.same_directory(candidate, needing), DIRECTORY_WEIGHT).otherwise(0) + LETTER_WEIGHT * S.common_prefix_length(candidate, needing) - F.length(candidate)
 
 
-def resolve_needed(needed: DataFrame, providers: DataFrame) -> DataFrame:
-    """(file, needed_name, provider, rank): candidates of the same architecture, the best with rank 1.
+def resolve_needed(needed: DataFrame, providers: DataFrame, best_only: bool = False) -> DataFrame:
+    """(file, needed_name, provider, rank, path, package): candidates of the same architecture, the best with rank 1.
 
-    needed has file, path, arch, needed_name. A single candidate wins unscored; then the higher score, the smaller
-    package, path and file decide, so the order is total. Scores are computed only where there is a choice.
+    needed has file, path, arch, needed_name, each (file, needed_name) once. A single candidate wins unscored, by a join
+    alone; then the higher score, the smaller package, path and file decide, so the order is total. Where there is a
+    choice, files with one path are scored together. With best_only just rank 1 is made, by an aggregate that keeps one
+    candidate of each name in each task.
     """
-    n = providers.groupBy("arch", "soname").agg(F.count("*").alias("n"))
     wanted = needed.select("file", F.col("path").alias("needing"), F.coalesce("arch", F.lit("")).alias("arch"), F.col("needed_name").alias("soname"))
-    pairs = wanted.join(n, ["arch", "soname"]).join(providers, ["arch", "soname"])
-    score = F.when(F.col("n") > 1, provider_priority(F.col("path"), F.col("needing"))).otherwise(0)
-    order = Window.partitionBy("file", "soname").orderBy(F.col("score").desc(), "package", "path", "file_id")
-    ranked = pairs.withColumn("score", score).withColumn("rank", F.row_number().over(order))
-    return ranked.select("file", F.col("soname").alias("needed_name"), F.col("file_id").alias("provider"), "rank", "path", "package")
+    several = providers.groupBy("arch", "soname").agg(F.count("*").alias("n"), F.first(F.struct("file_id", "path", "package")).alias("only"))
+    named = wanted.join(several, ["arch", "soname"])
+    columns = ["file", F.col("soname").alias("needed_name"), F.col("r.file_id").alias("provider"), "rank", "r.path", "r.package"]
+    alone = named.where("n = 1").select("file", "soname", F.col("only").alias("r"), F.lit(1).alias("rank"))
+    choices = named.where("n > 1").select("file", "needing", "arch", "soname")
+    pairs = choices.select("needing", "arch", "soname").distinct().join(providers, ["arch", "soname"])
+    place = F.struct((-provider_priority(F.col("path"), F.col("needing"))).alias("s"), "package", "path", "file_id").alias("r")
+    scored = pairs.select("needing", "arch", "soname", place)
+    key = ["needing", "arch", "soname"]
+    if best_only:
+        ranked = scored.groupBy(*key).agg(F.min("r").alias("r")).withColumn("rank", F.lit(1))
+    else:
+        ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("r")))
+    return alone.select(*columns).unionByName(choices.join(ranked, key).select(*columns))
 
 
 def missing_needed(needed: DataFrame, providers: DataFrame) -> DataFrame:
@@ -80,20 +90,21 @@ def soname_conflicts(resolved: DataFrame) -> DataFrame:
 def transitive_closure(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 64) -> DataFrame:
     """All (src, dst) pairs joined by a path of one edge or more; a cycle yields pairs of a node with itself.
 
-    Each round joins the newest pairs with all pairs, so path lengths double and a chain of length n takes log2(n)
-    rounds; each round is written to the shared folder, which cuts the lineage.
+    Each round squares the pairs of paths of 2**k edges and puts those of the result before all known pairs: a path of
+    2**(k + 1) edges or more is one of that many and a shorter rest, so on a chain each pair is made once, and a chain of
+    length n takes log2(n) rounds. Each round is written to the shared folder, which cuts the lineage.
     """
     known = storage.store(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct(), "closure")
-    fresh = known
+    power = known
     for _ in range(max_rounds):
-        ahead = fresh.alias("a").join(known.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        behind = known.alias("a").join(fresh.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        newer = storage.store(ahead.unionByName(behind).distinct().join(known, ["src", "dst"], "left_anti"), "closure")
+        squared = storage.store(power.alias("a").join(power.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst").distinct(), "closure")
+        ahead = squared.alias("a").join(known.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
+        newer = storage.store(squared.unionByName(ahead).distinct().join(known, ["src", "dst"], "left_anti"), "closure")
         if newer.isEmpty():
             return known
         before, known = known, storage.store(known.unionByName(newer), "closure")
-        storage.discard(before, *([fresh] if fresh is not before else []))
-        fresh = newer
+        storage.discard(before, newer, *([power] if power is not before else []))
+        power = squared
     raise RuntimeError(f"the closure did not end in {max_rounds} rounds")
 
 
@@ -107,5 +118,5 @@ def closure_refresh(changed: DataFrame, needed: DataFrame, providers: DataFrame)
     """The set's closure, or None when changed (one row, from set_diff) says that nothing did."""
     if not changed.first()["changed"]:
         return None
-    chosen = resolve_needed(needed, providers).where("rank = 1")
+    chosen = resolve_needed(needed, providers, best_only=True)
     return transitive_closure(chosen, "file", "provider")

@@ -38,10 +38,13 @@ def _head(data: Column, n: int) -> Column:
 
 
 def contents_kind(data: Column, python_path: Column) -> Column:
-    """elf, xml, python, java or null, tested in this order, from the first bytes and the size."""
+    """elf, xml, python, java or null, tested in this order, from the first bytes and the size. XML begins with a '<' after
+    any white space and byte order marks; where the first bytes are only these, the rest is read as well."""
     size = F.octet_length(data)
     as_text = F.decode(F.substring(data, 1, 100), "ISO-8859-1")
-    xml = F.decode(F.substring(data, 1, 4096), "ISO-8859-1").rlike(r"^(?:ï»¿)?[\x09-\x0D\x20]*<")
+    lead = r"\A[\x20\x09\x0D\x0A]*+(?:ï»¿[\x20\x09\x0D\x0A]*+)*+"
+    head = F.decode(F.substring(data, 1, 256), "ISO-8859-1")
+    xml = F.when(head.rlike(lead + r"[^\x20\x09\x0D\x0Aï]"), head.rlike(lead + "<")).otherwise(F.decode(data, "ISO-8859-1").rlike(lead + "<"))
     python = ((size > 10) & (_head(data, 1) == "23") & F.contains(as_text, F.lit("python"))) | F.coalesce(python_path, F.lit(False))
     java = (size >= 32) & (_head(data, 4) == "CAFEBABE") & (F.conv(F.hex(F.substring(data, 7, 2)), 16, 10).cast("int") < 100)
     return F.when((size > 4) & (_head(data, 4) == "7F454C46"), "elf").when(xml, "xml").when(python, "python").when(java, "java")

@@ -28,7 +28,7 @@ def exclude_names(df: DataFrame, patterns: list[str], name: str = "name", ignore
     """(kept rows, one row with n_excluded); the patterns must match whole names."""
     if not patterns:
         return df, df.agg(F.lit(0).cast("long").alias("n_excluded"))
-    out = F.coalesce(F.col(name).rlike(("(?i)" if ignore_case else "") + "^(?:" + "|".join(f"(?:{p})" for p in patterns) + ")$"), F.lit(False))
+    out = F.coalesce(F.col(name).rlike(("(?i)" if ignore_case else "") + "^(?:" + "|".join(f"(?:{p})" for p in patterns) + r")\z"), F.lit(False))
     return df.where(~out), df.agg(F.count_if(out).alias("n_excluded"))
 
 
@@ -63,7 +63,7 @@ def set_apply(members: DataFrame, set_id: int, wanted: DataFrame, action: str =
 
 def set_from_repos(listings: DataFrame, patterns: list[str], fetched: str = "fetched", ignore_errors: bool = False) -> SetUpdate:
     """Newest packages over all repositories less excluded names; what failed to arrive is listed. With ignore_errors
-    those are left out, otherwise one failure leaves no members at all."""
+    those are left out, otherwise one failure leaves no members at all: one row, whether any failed, is broadcast for that."""
     kept, _ = exclude_names(latest_per_name_arch(listings), patterns)
     here = F.coalesce(F.col(fetched), F.lit(False))
     failed = kept.where(~here)
@@ -86,6 +86,6 @@ def stale_cache(cached: DataFrame, referenced: DataFrame) -> DataFrame:
 
 def source_packages(listing: DataFrame, source: str = "source") -> tuple[DataFrame, DataFrame]:
     """(distinct names, sorted; distinct malformed sources): the archive's name without its last two dash-separated fields."""
-    good = F.coalesce(F.col(source).rlike("^.+-[^-]*-[^-]*$"), F.lit(False))
-    names = listing.where(good).select(F.regexp_extract(source, "^(.+)-[^-]*-[^-]*$", 1).alias("name")).distinct().orderBy("name")
+    good = F.coalesce(F.col(source).rlike(r"(?s)^.+-[^-]*-[^-]*\z"), F.lit(False))
+    names = listing.where(good).select(F.regexp_extract(source, r"(?s)^(.+)-[^-]*-[^-]*\z", 1).alias("name")).distinct().orderBy("name")
     return names, listing.where(~good).select(source).distinct()

@@ -31,7 +31,8 @@ VIEWS = {
     "a_reference": "SELECT DISTINCT l_orderkey AS contents_id, p_name AS name FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_returnflag = 'A'",
     "a_definition": "SELECT DISTINCT l_orderkey AS contents_id, p_name AS name FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_returnflag = 'R'",
     "a_edges_dag": "SELECT src, dst FROM (SELECT o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dst FROM {orders}) WHERE dst IS NOT NULL",
-    "a_edges_cyclic": "SELECT p_partkey AS src, (7 * p_partkey + 3) % 200 AS dst FROM {part} WHERE p_partkey < 200 UNION SELECT p_partkey, CAST((p_partkey - p_partkey % 2) / 2 AS BIGINT) FROM {part} WHERE p_partkey < 200 AND p_partkey % 2 = 0",
+    # Rings within blocks of 20 parts, and an edge to the half of each even number.
+    "a_edges_cyclic": "SELECT p_partkey AS src, p_partkey - p_partkey % 20 + (7 * p_partkey + 3) % 20 AS dst FROM {part} UNION SELECT p_partkey, p_partkey - p_partkey % 20 + CAST((p_partkey % 20) / 2 AS BIGINT) FROM {part} WHERE p_partkey % 2 = 0",
     # Libraries are suppliers; they define the parts that came back to them.
     "a_library": """SELECT s_suppkey AS file_id, s_suppkey AS package_id, s_suppkey AS contents_id, CASE WHEN s_suppkey % 4 = 3 THEN '/opt/lib' ELSE '/usr/lib64/lib' END || CAST(s_suppkey AS STRING) || '.so' AS name FROM {supplier}""",
     "a_library_elf": "SELECT s_suppkey AS contents_id, CASE WHEN s_suppkey % 2 = 0 THEN 'x86_64' ELSE 'i386' END AS arch, CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE 'lib' || CAST(s_suppkey % 40 AS STRING) || '.so' END AS soname FROM {supplier}",

@@ -565,7 +565,7 @@ def _one_arch_needed(t: Tables) -> DataFrame:
 
 _ONE = "a_one AS (SELECT file, needed_name, min((arch, path)) AS m FROM a_needed GROUP BY ALL), b_needed AS (SELECT file, needed_name, m[1] AS arch, m[2] AS path FROM a_one)"
 _RESOLVED_SQL = f"WITH {_ONE}, x AS ({_RESOLVED.replace('a_needed', 'b_needed')}) "
-query("resolve_needed", _RESOLVED_SQL + "SELECT file, needed_name, provider, rank FROM x WHERE rank = 1")(lambda t: closure.resolve_needed(_one_arch_needed(t), t.a_provider).where("rank = 1").select("file", "needed_name", "provider", C("rank").cast("long").alias("rank")))
+query("resolve_needed", _RESOLVED_SQL + "SELECT file, needed_name, provider, rank FROM x WHERE rank = 1")(lambda t: closure.resolve_needed(_one_arch_needed(t), t.a_provider, best_only=True).select("file", "needed_name", "provider", C("rank").cast("long").alias("rank")))
 query("missing_needed", "SELECT file, arch, needed_name FROM a_needed n WHERE arch IN (SELECT arch FROM a_provider WHERE file_id % 3 = 1) AND NOT EXISTS (SELECT 1 FROM a_provider p WHERE p.arch = n.arch AND soname = needed_name AND file_id % 3 = 1)")(lambda t: closure.missing_needed(t.a_needed, t.a_provider.where("file_id % 3 = 1")))
 query("soname_conflicts", _RESOLVED_SQL + "SELECT file, needed_name, string_agg(package || ':' || path, ',' ORDER BY rank) AS choices FROM x GROUP BY ALL HAVING count(*) > 1")(lambda t: closure.soname_conflicts(closure.resolve_needed(_one_arch_needed(t), t.a_provider)).withColumn("choices", F.array_join("choices", ",")))
 _CLOSE = "c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src)"
@@ -625,7 +625,9 @@ query("symbol_collisions", f"""WITH l AS (SELECT {NEVRA_SQL.replace('name', 'p.n
 _SCRIPTS = f"SELECT {NEVRA_SQL.replace('name', 'p.name', 1).replace('kind', 'p.kind')} AS nevra, s.kind, s.turn, s.script FROM a_package p JOIN a_script s USING (package_id) WHERE {ASIA.replace('p.package_id', 'package_id', 1)}"
 query("unexpanded_macros_scripts", f"SELECT nevra, kind, md5(script) AS script FROM ({_SCRIPTS}) WHERE regexp_matches(script, '(?m)(^%|^[^#\\n]*%(\\{{|[a-z]{{2}}))')")(lambda t: audit.unexpanded_macros_scripts(catalog(t) | {"package_script": t.a_script}, "ASIA").withColumn("script", F.md5("script")))
 query("unexpanded_macros_paths", f"SELECT nevra, file || '%{{x' AS file FROM ({_DOCS}) WHERE file LIKE '/etc/%'")(lambda t: audit.unexpanded_macros_paths(catalog(t) | {"file": t.a_file.withColumn("name", F.when(C("name").startswith("/etc/"), F.concat("name", L("%{x"))).otherwise(C("name")))}, "ASIA"))
-query("config_grep", f"SELECT nevra, file, md5(text) AS contents FROM ({_DOCS}) JOIN a_document USING (contents_id) WHERE file LIKE '/etc/%' AND contains(text, 'the') AND NOT regexp_matches(text, '[^\\x01-\\x7f]|\\\\')")(lambda t: audit.config_grep(documents(t), "ASIA", "/etc/", "the").where(~C("contents").rlike(r"\\")).withColumn("contents", F.md5("contents")))
+_BYTE = "(instr('0123456789ABCDEF', h[1]) - 1) * 16 + instr('0123456789ABCDEF', h[2]) - 1"
+_OCTAL = f"CASE WHEN h = '5C' THEN '\\\\' WHEN h = '00' OR h >= '80' THEN '\\' || CAST(({_BYTE}) // 64 AS VARCHAR) || CAST(({_BYTE}) // 8 % 8 AS VARCHAR) || CAST(({_BYTE}) % 8 AS VARCHAR) ELSE chr(CAST({_BYTE} AS INTEGER)) END"
+query("config_grep", f"SELECT nevra, file, md5(array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: {_OCTAL}), '')) AS contents FROM ({_DOCS}) JOIN a_document USING (contents_id) WHERE file LIKE '/etc/%' AND contains(text, 'e')")(lambda t: audit.config_grep(documents(t), "ASIA", "/etc/", "e").withColumn("contents", F.md5("contents")))
 
 
 @query("permission_audit", """SELECT path, CASE WHEN k = 1 THEN 'different' WHEN k = 2 THEN 'unexpected' ELSE 'missing' END AS status, CASE WHEN k < 3 THEN nation END AS actual_user_name, CASE WHEN k <> 2 THEN CASE WHEN k = 1 THEN 'x' ELSE nation END END AS expected_user_name
@@ -718,6 +720,21 @@ query("check_constraints", "SELECT 'quantity' AS rule, l_orderkey FROM lineitem
 )
 query("check_unique", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")(lambda t: quality.check_unique(t.lineitem, ["l_orderkey", "l_linenumber"]))
 query("check_foreign_keys", "SELECT l_partkey, l_orderkey, l_linenumber FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 25)")(lambda t: quality.check_foreign_keys(t.lineitem, t.part.where("p_size < 25"), "l_partkey", "p_partkey").select("l_partkey", "l_orderkey", "l_linenumber"))
+_BROKEN = "p AS (SELECT package_id, CASE WHEN package_id % 11 = 0 THEN '' ELSE name END AS name, version, release, CASE WHEN package_id % 17 = 0 THEN NULL ELSE arch END AS arch, CASE WHEN package_id % 13 = 0 THEN -1 ELSE epoch END AS epoch FROM a_package WHERE package_id % 10 <> 3), f AS (SELECT file_id, package_id, contents_id, '/x/' || source AS name, file_id - 5 AS mtime FROM a_file JOIN documents ON doc_id = file_id)"
+
+
+@query("check_contract", f"""WITH {_BROKEN} SELECT 'package' AS "table", 'check' AS kind, 'name' AS rule, CAST(package_id AS VARCHAR) AS key FROM p WHERE name = '' UNION ALL SELECT 'package', 'check', 'epoch', CAST(package_id AS VARCHAR) FROM p WHERE epoch < 0
+    UNION ALL SELECT 'package', 'missing', 'arch', CAST(package_id AS VARCHAR) FROM p WHERE arch IS NULL UNION ALL SELECT 'file', 'check', 'mtime', CAST(file_id AS VARCHAR) FROM f WHERE mtime < 0
+    UNION ALL SELECT 'file', 'unique', 'package_id, name', CAST(package_id AS VARCHAR) || ', ' || name FROM f GROUP BY package_id, name HAVING count(*) > 1
+    UNION ALL SELECT DISTINCT 'file', 'reference', 'package_id', CAST(package_id AS VARCHAR) FROM f WHERE package_id NOT IN (SELECT package_id FROM p)
+    UNION ALL SELECT DISTINCT 'package_set_member', 'reference', 'package_id', CAST(package_id AS VARCHAR) FROM a_set_member WHERE package_id NOT IN (SELECT package_id FROM p)
+    UNION ALL SELECT DISTINCT 'package_set_member', 'reference', 'set_id', CAST(set_id AS VARCHAR) FROM a_set_member WHERE set_id = 4""")
+def _(t: Tables) -> DataFrame:
+    spoilt = t.a_package.where("package_id % 10 <> 3").select("package_id", F.when(C("package_id") % 11 == 0, "").otherwise(C("name")).alias("name"), "version", "release", F.when(C("package_id") % 17 != 0, C("arch")).alias("arch"), F.when(C("package_id") % 13 == 0, -1).otherwise(C("epoch")).alias("epoch"))
+    files = t.a_file.join(t.documents.select(C("doc_id").alias("file_id"), "source"), "file_id").select("file_id", "package_id", "contents_id", F.concat(L("/x/"), "source").alias("name"), (C("file_id") - 5).alias("mtime"))
+    return quality.check_contract({"package": spoilt, "file": files, "package_set": t.a_set.where("set_id <> 4"), "package_set_member": t.a_set_member})
+
+
 query("attribute_consistency", "SELECT count(*) AS n, count(DISTINCT (l_returnflag, l_linestatus, l_linenumber, l_partkey)) AS n_distinct FROM lineitem")(lambda t: quality.attribute_consistency(t.lineitem, ["l_returnflag", "l_linestatus", "l_linenumber", "l_partkey"]))
 
 # Streams

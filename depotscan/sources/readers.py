@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depotscan.functions import scalar as S
@@ -13,6 +13,9 @@ from .schemas import WHITELIST
 PACKAGE = "_type string, name string, arch string, version struct<_epoch:string,_ver:string,_rel:string>, checksum struct<_VALUE:string,_type:string>, size struct<_package:string>, location struct<_href:string,`_xml:base`:string>, format struct<`rpm:sourcerpm`:string>"
 ENTRY = "_type string, checksum struct<_VALUE:string,_type:string>, `open-checksum` struct<_VALUE:string,_type:string>, location struct<_href:string>, size string, `open-size` string"
 
+#: What a listing begins with: declaration, comments, document type and white space, then its root.
+ROOT = r"\A(?:\x{FEFF})?\s*+(?:<\?(?s:.*?)\?>\s*+|<!--(?s:.*?)-->\s*+|<!DOCTYPE[^>]*+>\s*+)*+<(?:\w++:)?metadata[\s/>]"
+
 
 def primary_fields(rows: DataFrame, base_url: str = "") -> DataFrame:
     """Listing columns of parsed <package> elements. size is null if it isn't a number."""
@@ -24,7 +27,11 @@ def primary_fields(rows: DataFrame, base_url: str = "") -> DataFrame:
 
 
 def repo_primary_scan(spark: SparkSession, paths: str | list[str], base_url: str = "") -> DataFrame:
-    """Packages of repository listings, one row for each <package>."""
+    """Packages of repository listings, one row for each <package>. A file whose root is another element than <metadata> is
+    an error."""
+    other = spark.read.text(paths, wholetext=True).where(~F.col("value").rlike(ROOT)).select(F.input_file_name().alias("path")).first()
+    if other:
+        raise ValueError(f"not a repository listing: {other['path']}")
     rows = spark.read.format("xml").schema(PACKAGE).option("rowTag", "package").load(paths)
     return primary_fields(rows, base_url)
 
@@ -59,10 +66,11 @@ def repo_index_scan(spark: SparkSession, paths: str | list[str]) -> tuple[DataFr
 
 
 def repo_primary_pick(entries: DataFrame, base_url: str = "", keys: tuple[str, ...] = (), order: Column | None = None) -> DataFrame:
-    """The first compressed listing among entries, of each repository when keys name it, with its resolved URL."""
+    """The first compressed listing among entries, of each repository when keys name it, with its resolved URL; each task
+    keeps one before the shuffle."""
     found = entries.where((F.col("type") == "primary") & F.endswith("href", F.lit(".xml.gz")))
-    ranked = found.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, F.lit(1)).orderBy(F.col("ordinal") if order is None else order)))
-    return ranked.where("_n = 1").drop("_n").withColumn("url", S.url_combine(F.lit(base_url), F.col("href")))
+    first = found.groupBy(*keys).agg(F.min_by(F.struct(*(c for c in found.columns if c not in keys)), F.col("ordinal") if order is None else order).alias("r"))
+    return first.where("r is not null").select(*keys, "r.*").select(found.columns).withColumn("url", S.url_combine(F.lit(base_url), F.col("href")))
 
 
 def binary_fields(df: DataFrame, data: str = "content", preview: int = 64) -> DataFrame:

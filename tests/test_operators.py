@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from depotscan.functions import scalar as S
@@ -161,3 +162,53 @@ def test_repository_files(spark, tmp_path):
     (tmp_path / "w.tsv").write_text("-rwsr-xr-x\troot\troot\t/bin/su\n")
     assert readers.whitelist_scan(spark, str(tmp_path / "w.tsv")).first().path == "/bin/su"
     assert readers.binary_scan(spark, str(tmp_path / "w.tsv")).first().length == 29
+
+
+def test_line_ends_in_paths_and_texts(spark):
+    text = "abc \u2028"
+    got = one(spark, a=S.strip(F.lit(text)), b=S.strip(F.lit(" \n x \r\n")), c=S.same_directory(F.lit("/a\nb/x"), F.lit("/c\nd/y")), d=S.same_directory(F.lit("/a\nb/x"), F.lit("/a\nb/y")), e=S.parse_u64(F.lit("12\u2028")), f=S.base_name(F.lit("a/b\n")))
+    assert tuple(got) == (text, "x", False, True, None, "b\n")
+    kept, n = sets.exclude_names(spark.createDataFrame([("ab",), ("ab\n",)], "name string"), ["a."])
+    assert rows(kept) == [("ab\n",)] and rows(n) == [(1,)]
+
+
+def test_common_prefix_length(spark):
+    dice = random.Random(4)
+    pairs = [(x[: dice.randrange(len(x) + 1)], x[: dice.randrange(len(x) + 1)] + dice.choice(["", "z"])) for x in ("/usr/lib64/" + "ab" * 40 for _ in range(40))] + [("", ""), ("a", ""), ("é漢x", "é漢y"), (None, "a")]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", S.common_prefix_length(F.col("a"), F.col("b")).alias("n")).collect()
+    length = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    assert all(r.n == (None if r.a is None else length(r.a, r.b)) for r in got)
+
+
+def test_xml_is_told_by_the_first_byte_that_decides(spark):
+    mark = b"\xef\xbb\xbf"
+    cases = {b" " * 5000 + b"<project/>": "xml", mark + b"<a/>": "xml", b"\n " + mark + b"\t<a/>": "xml", mark * 3 + b" " * 300 + mark + b"<a/>": "xml", b" " * 255 + mark + b"<a/>": "xml", b" " * 5000 + b"x<a/>": None, mark[:2] + b"<a/>": None, b"\x0b<a/>": None, b"": None, b" " * 300: None}
+    df = spark.createDataFrame([(bytearray(k), v) for k, v in cases.items()], "data binary, want string")
+    assert df.where(~extract.contents_kind(F.col("data"), F.lit(False)).eqNullSafe(F.col("want"))).count() == 0
+
+
+def test_listing_root_is_checked(spark, tmp_path):
+    package = "<package type='rpm'><name>a</name></package>"
+    for name, text in (("good", f"<?xml version='1.0'?>\n<!-- <other> -->\n<metadata xmlns='x'>{package}</metadata>"), ("bad", f"<other>{package}</other>")):
+        (tmp_path / f"{name}.xml").write_text(text)
+    assert readers.repo_primary_scan(spark, f"{tmp_path}/good.xml").count() == 1
+    with pytest.raises(ValueError, match="bad.xml"):
+        readers.repo_primary_scan(spark, f"{tmp_path}/bad.xml")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_closure_against_brute_force(spark, seed):
+    dice = random.Random(seed)
+    edges = {(dice.randrange(25), dice.randrange(25)) for _ in range(15 + 10 * seed)} | {(i, i + 1) for i in range(100, 113)} | {(200, 200)}
+    want = set(edges)
+    while more := {(a, d) for a, b in want for c, d in edges if b == c} - want:
+        want |= more
+    assert set(map(tuple, closure.transitive_closure(spark.createDataFrame(sorted(edges), "src long, dst long")).collect())) == want
+
+
+def test_resolving_one_or_all_ranks_agrees(spark):
+    dice = random.Random(8)
+    providers = spark.createDataFrame([("x", f"s{dice.randrange(6)}", i, dice.choice(["/usr/lib64/", "/opt/a/", "/usr/lib/q/"]) + str(i), f"p{dice.randrange(3)}") for i in range(14)], "arch string, soname string, file_id long, path string, package string")
+    needed = spark.createDataFrame([(i, dice.choice(["/opt/a/b", "/usr/bin/c"]), dice.choice(["x", None]), f"s{k}") for i in range(12) for k in range(7)], "file long, path string, arch string, needed_name string")
+    every = closure.resolve_needed(needed, providers)
+    assert rows(every.where("rank = 1")) == rows(closure.resolve_needed(needed, providers, best_only=True)) and every.where("rank > 1").count() > 0
