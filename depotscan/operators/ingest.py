@@ -48,6 +48,12 @@ def surrogate(digest: Column) -> Column:
     return F.xxhash64(digest)
 
 
+def surrogate_clashes(table: DataFrame, key: str = "contents_id", digest: str = "digest") -> DataFrame:
+    """(key, n) of identifiers that several digests share. With 64 bits some are likely from billions of contents on; their
+    rows must be told apart by digest, so run this after a load."""
+    return table.select(key, digest).distinct().groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def intern_contents(new: DataFrame, existing: DataFrame, digest: str = "digest") -> Interned:
     """One row per distinct digest. mapping has each new digest with its id and whether it was added now; equal
     digests meet in the map-side half of the aggregation, so a content with many copies costs one row per task."""

@@ -39,6 +39,7 @@ VIEWS = {
     "a_library_definition": "SELECT l_suppkey AS contents_id, p_name AS name FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_returnflag = 'R'",
     "a_object": """SELECT p_partkey AS file_id, p_partkey AS contents_id, p_partkey AS package_id, CASE WHEN p_partkey % 4 = 0 THEN '/lib64/' WHEN p_partkey % 4 = 1 THEN '/usr/lib/' WHEN p_partkey % 4 = 2 THEN '/opt/' || p_brand || '/' ELSE '/usr/lib/' || p_brand || '/' END || p_name AS name,
         CASE WHEN p_partkey % 7 = 0 THEN 2 ELSE 3 END AS e_type, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_type END AS arch, CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 13 = 0 THEN NULL ELSE p_name END AS soname FROM {part}""",
+    "a_object_needed": """SELECT file, path, arch, needed_name FROM (SELECT file_id AS file, {a_object}.name AS path, p_type AS arch, lag(p_name) OVER (PARTITION BY p_type ORDER BY p_partkey) AS needed_name FROM {a_object} JOIN {part} ON file_id = p_partkey) WHERE needed_name IS NOT NULL""",
     "a_provider": """SELECT coalesce(arch, '') AS arch, coalesce(nullif(soname, ''), p_name) AS soname, file_id, {a_object}.name AS path, p_name AS package FROM {a_object} JOIN {part} ON file_id = p_partkey WHERE e_type = 3""",
     "a_needed": "SELECT DISTINCT l_orderkey AS file, '/opt/' || p_brand || '/app' AS path, p_type AS arch, p_name AS needed_name FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_linenumber = 1",
     "a_segment": """SELECT l_orderkey AS contents_id, CAST(CASE WHEN l_linenumber % 3 = 0 THEN 1685382481 ELSE l_linenumber END AS BIGINT) AS type, l_returnflag = 'A' AS readable, l_returnflag <> 'N' AS writable, l_linestatus = 'F' AS executable FROM {lineitem}""",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from depotscan import storage
 from depotscan.functions import scalar as S
 from depotscan.functions.versions import evr_less, version_key
-from depotscan.operators import audit, closure, extract, ingest, quality, retention, sets
+from depotscan.operators import audit, closure, extract, ingest, load, quality, retention, sets
 from depotscan.sources import readers, schemas
 from depotscan.streaming import jobs
 
@@ -586,6 +586,26 @@ def _(t: Tables) -> DataFrame:
     return closure.closure_refresh(sets.set_diff(t.a_old_member, t.a_set_member, ["set_id", "package_id"])[1], _one_arch_needed(t), t.a_provider)
 
 
+@query("refresh_set", f"""WITH RECURSIVE listed AS (SELECT * FROM ({_LATEST}) WHERE NOT regexp_full_match(name, 'red.*')), w AS (SELECT package_id FROM listed WHERE package_id % 9 <> 0),
+    v AS (SELECT coalesce(o.arch, '') AS arch, coalesce(nullif(soname, ''), p_name) AS soname, file_id, o.name AS path, p_name AS package FROM a_object o JOIN part ON file_id = p_partkey WHERE e_type = 3 AND package_id IN (SELECT package_id FROM w)),
+    n AS (SELECT * FROM a_object_needed WHERE file IN (SELECT package_id FROM w)),
+    x AS ({_RESOLVED.replace("a_needed", "n").replace("a_provider", "v")}), e AS (SELECT DISTINCT file AS src, provider AS dst FROM x WHERE rank = 1), {_CLOSE}
+    SELECT 'member' AS kind, set_id AS a, package_id AS b FROM a_old_member WHERE set_id <> 2 UNION ALL SELECT 'member', 2, package_id FROM w UNION ALL SELECT 'load', package_id, NULL FROM listed WHERE package_id % 9 = 0
+    UNION ALL SELECT 'added', 2, package_id FROM w WHERE package_id NOT IN (SELECT package_id FROM a_old_member WHERE set_id = 2) UNION ALL SELECT 'removed', 2, package_id FROM a_old_member WHERE set_id = 2 AND package_id NOT IN (SELECT package_id FROM w)
+    UNION ALL SELECT 'closure', src, dst FROM c""")
+def _(t: Tables) -> DataFrame:
+    digest = F.sha2(C("package_id").cast("string"), 256).alias("digest")
+    listings = t.a_package.withColumn("digest", digest).withColumnRenamed("package_id", "listed_as")
+    o = t.a_object
+    done = load.refresh_set(
+        listings, t.a_package.where("package_id % 9 <> 0").select("package_id", digest), t.a_old_member, 2, t.a_package, o.select("package_id", "file_id", "contents_id", "name"), o.select("contents_id", "e_type", "arch", "soname"), t.a_object_needed, ["red.*"], ignore_errors=True
+    )
+    tag = lambda df, kind, a, b: df.select(kind.alias("kind"), a.alias("a"), b.alias("b"))
+    changed = done.changes.where("status <> 'unchanged'")
+    found = tag(done.members, L("member"), C("set_id"), C("package_id")).unionByName(tag(done.to_load, L("load"), C("listed_as"), L(None).cast("long")))
+    return found.unionByName(tag(changed, C("status"), L(2).cast("long"), C("package_id"))).unionByName(tag(done.closure, L("closure"), C("src"), C("dst")))
+
+
 # Audit
 
 

@@ -17,21 +17,16 @@ def stream_intern(stream: DataFrame, digest: str = "digest", ts: str = "ts", del
 
 
 def stream_latest(stream: DataFrame, state_path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the newest row of each (name, arch) below state_path/version=n; each micro-batch merges the last version
-    with its rows and writes a new one, so a batch that is run again overwrites only its own version."""
-
-    def merge(rows: DataFrame, epoch: int) -> None:
-        if epoch:
-            rows = rows.unionByName(rows.sparkSession.read.schema(rows.schema).parquet(f"{state_path}/version={epoch - 1}"))
-        latest_per_name_arch(rows).write.mode("overwrite").parquet(f"{state_path}/version={epoch}")
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Keeps the newest row of each (name, arch) in keyed state, which has no watermark and so never lets a name go; each
+    micro-batch writes the rows that changed below state_path/batch=n, and run again it overwrites only its own."""
+    newest = latest_per_name_arch(stream)
+    write: Callable[[DataFrame, int], None] = lambda rows, epoch: rows.write.mode("overwrite").parquet(f"{state_path}/batch={epoch}")
+    return newest.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_state(spark: SparkSession, state_path: str) -> DataFrame:
-    """The last version that stream_latest has written."""
-    versions = spark.read.parquet(state_path)
-    return versions.where(F.col("version") == versions.agg(F.max("version")).first()[0]).drop("version")
+    """The newest rows of what stream_latest has written: of the changes of a name the last one, by an aggregate that tasks combine."""
+    return latest_per_name_arch(spark.read.parquet(state_path).drop("batch"))
 
 
 def stream_cache_activity(stream: DataFrame, key: str = "url", ts: str = "ts", gap: str = "3 days", delay: str = "1 hour") -> DataFrame:

@@ -10,6 +10,7 @@ from depotscan.functions import scalar as S
 from depotscan.functions.versions import version_key
 from depotscan.operators import audit, closure, extract, ingest, quality, retention, sets
 from depotscan.sources import readers, schemas
+from depotscan.streaming import jobs
 
 
 def rows(df):
@@ -212,3 +213,20 @@ def test_resolving_one_or_all_ranks_agrees(spark):
     needed = spark.createDataFrame([(i, dice.choice(["/opt/a/b", "/usr/bin/c"]), dice.choice(["x", None]), f"s{k}") for i in range(12) for k in range(7)], "file long, path string, arch string, needed_name string")
     every = closure.resolve_needed(needed, providers)
     assert rows(every.where("rank = 1")) == rows(closure.resolve_needed(needed, providers, best_only=True)) and every.where("rank > 1").count() > 0
+
+
+def test_identifiers_that_digests_share_are_found(spark):
+    table = ingest.intern_contents(spark.createDataFrame([(f"d{i % 50}",) for i in range(120)], "digest string"), spark.createDataFrame([("d1",)], "digest string")).table
+    assert table.count() == 50 and ingest.surrogate_clashes(table).count() == 0
+    weak = table.withColumn("contents_id", F.col("contents_id") % 7)
+    assert 0 < ingest.surrogate_clashes(weak).count() <= 13
+
+
+def test_newest_versions_over_micro_batches(spark, tmp_path):
+    batches = [[("a", "x", None, "1.0", "1", 1), ("b", "x", 1, "1", "1", 2)], [("a", "x", None, "1.10", "1", 3), ("a", "y", None, "9", "1", 4)], [("a", "x", None, "1.9", "1", 5), ("b", "x", None, "7", "1", 6), ("c", "x", None, "1", "1", 7)]]
+    ddl = "name string, arch string, epoch int, version string, release string, ordinal long"
+    for batch in batches:  # one run of the job for each
+        spark.createDataFrame(batch, ddl).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        jobs.stream_latest(spark.readStream.schema(ddl).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    every = spark.createDataFrame([r for b in batches for r in b], ddl)
+    assert rows(jobs.latest_state(spark, f"{tmp_path}/out").select("name", "arch", "ordinal")) == rows(sets.latest_per_name_arch(every).select("name", "arch", "ordinal")) == [("a", "x", 3), ("a", "y", 4), ("b", "x", 2), ("c", "x", 7)]
