@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depotscan.storage import discard, new_path, store
+from depotscan import storage
+from depotscan.storage import discard, new_path
 
-__all__ = ["BROADCAST_KEYS", "discard", "new_path", "semi", "small", "store"]
+__all__ = ["BATCH", "BROADCAST_KEYS", "discard", "new_path", "semi", "small", "store"]
+
+#: Bytes of a batch that goes to Python while a table is stored: batches are held by the JVM and the worker, several times over.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 #: Keys that may be broadcast: as a hash table about 110 MB on each executor for 8-byte keys, 250 MB for digests.
 BROADCAST_KEYS = 2_000_000
@@ -20,3 +24,14 @@ def semi(rows: DataFrame, keys: DataFrame, on: list[str], n_keys: int, how: str
 
 def small(keys: DataFrame, n_keys: int) -> DataFrame:
     return F.broadcast(keys) if n_keys <= BROADCAST_KEYS else keys
+
+
+def store(df: DataFrame, tag: str) -> DataFrame:
+    """Write df to the shared folder and read it back, with batches of bounded size on the way through Python."""
+    conf = df.sparkSession.conf
+    before = conf.get(BATCH[0], None)
+    conf.set(*BATCH)
+    try:
+        return storage.store(df, tag)
+    finally:
+        conf.unset(BATCH[0]) if before is None else conf.set(BATCH[0], before)

@@ -15,6 +15,7 @@ LOWER[65:91] += 32
 
 BASE = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses modulo 2**64
 STEP = np.uint64(0xD6E8FEB86659FD93)
+HASHED = 1 << 18
 _powers: list[np.ndarray] = []
 
 
@@ -30,7 +31,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> list[np.ndarray]:
     """BASE**j and its inverse for j below n at least, kept between calls."""
     if not _powers or len(_powers[0]) < n:
-        size = max(1 << 20, 1 << (n - 1).bit_length())
+        size = max(2 * HASHED, 1 << (n - 1).bit_length())
         _powers.clear()
         for base in (BASE, pow(BASE, -1, 1 << 64)):
             table = np.full(size, base, np.uint64)
@@ -39,7 +40,7 @@ def powers(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def pieces(batch: pa.RecordBatch, text: str, most: int = 1 << 20, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, text: str, most: int = 1 << 19, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
     """Row slices of about `most` text bytes and at most `rows` rows, never less than a row: bounds memory, cuts no text."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
     at = 0
@@ -77,11 +78,18 @@ def words(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, letters: np.ndarray | None = None) -> np.ndarray:
-    """A 64-bit hash of each word's bytes; with another table of 256 letters it is another hash."""
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1) if letters is None else letters[data]) * up[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * STEP)
+    """A 64-bit hash of each word's bytes; with another table of 256 letters it is another hash. Words are read HASHED bytes at a time, which bounds memory and changes no hash."""
+    found, at = np.zeros(len(start), np.uint64), 0
+    while at < len(start):
+        stop = max(at + 1, int(np.searchsorted(end, start[at] + HASHED, side="right")))
+        a, b = start[at:stop] - start[at], end[at:stop] - start[at]
+        some = data[start[at] : end[stop - 1]]
+        up, down = powers(len(some) + 1)
+        total = np.zeros(len(some) + 1, np.uint64)
+        np.cumsum((some.astype(np.uint64) + np.uint64(1) if letters is None else letters[some]) * up[: len(some)], out=total[1:])
+        found[at:stop] = mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64) * STEP)
+        at = stop
+    return found
 
 
 def run_hashes(word: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
