@@ -301,7 +301,8 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 1024, id_col: str = "do
     ranked = dealt.withColumn("place", F.row_number().over(order) - 1).join(before, ["length", "block"]).withColumn("rank", F.col("before") + F.col("place"))
 
     # A few rows per length: their number depends on the window, not on the corpus.
-    planned = spark.createDataFrame(plan(counts, window), "length long, from_rank long, to_rank long, skip long, taken long, at long, n long, first long, base long")
+    patterns = plan(counts, window)
+    planned = spark.createDataFrame(patterns, "length long, from_rank long, to_rank long, skip long, taken long, at long, n long, first long, base long")
     here = (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("to_rank"))
     at = F.col("at") + F.col("rank") - F.col("from_rank")
     placed = ranked.join(F.broadcast(planned), "length").where(here).select(
@@ -309,7 +310,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 1024, id_col: str = "do
         (F.col("first") + F.floor(at / F.col("n"))).cast("long").alias("sequence_id"), (F.col("base") + at % F.col("n") * F.col("taken")).alias("offset"),
     )
     names = [F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    if not any(r[4] < r[0] for r in plan(counts, window)):
+    if not any(taken < length for length, _, _, _, taken, *_ in patterns):
         return placed.select(*names)
     placed = _store.store(placed, "pack-placed")
     cut = cut_pieces(docs, placed.where("ids_crc32 is null").drop("ids_crc32"), vocabulary, id_col, text_col)
