@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 stage's docs. All but the last return the columns of docs, for the documents that they keep. Stages decide for each row:
 rows that share an identifier, or have none, get numbers of their own, so of repeated rows one stays, and of two texts
 with one identifier each stays or goes by itself. Identifiers are whole numbers; rows without one come last.
+
+Null and empty texts, and those without a letter, go in the first stage. Texts of any length are read whole. Of rows that
+tie (equal texts and identifiers, or none) one stays, whichever. Other columns pass through unchanged whatever their
+names, those that the operators use included. An empty table gives an empty result in every stage; an empty benchmark
+drops nothing; with no labelled text to learn from, a letter is enough for the first stage.
 """
 
 from __future__ import annotations
