@@ -451,13 +451,15 @@ def _(t: Tables) -> DataFrame:
     return first.join(errors.groupBy("contents_id").agg(F.count("*").alias("others")), "contents_id", "left").fillna(0, ["others"])
 
 
-@query("java_class_facts", "WITH c AS (SELECT DISTINCT l_orderkey AS contents_id, l_partkey AS k FROM lineitem) SELECT CAST(k AS VARCHAR) AS digest, unnest(['a/I' || CAST(k % 7 AS VARCHAR), 'z/R']) AS name FROM (SELECT DISTINCT k FROM c WHERE k % 5 <> 0)")
+@query("java_class_facts", "WITH c AS (SELECT DISTINCT l_orderkey AS contents_id, l_partkey AS k FROM lineitem) SELECT 'reference' AS fact, CAST(k AS VARCHAR) AS digest, unnest(['a/I' || CAST(k % 7 AS VARCHAR), 'z/R']) AS name FROM (SELECT DISTINCT k FROM c WHERE k % 5 <> 0) UNION ALL SELECT DISTINCT 'interface', CAST(k AS VARCHAR), 'i' FROM c WHERE k % 5 <> 0 UNION ALL SELECT DISTINCT 'class', CAST(k AS VARCHAR), 'me' || CAST(k AS VARCHAR) FROM c WHERE k % 5 <> 0")
 def _(t: Tables) -> DataFrame:
     k = C("l_partkey").cast("string")
     refs = F.array(L("z/R"), L("java/lang/Object"), F.concat(L("a/I"), (C("l_partkey") % 7).cast("string")), L("z/R"), F.concat(L("me"), k))
     classes = t.lineitem.select(C("l_orderkey").alias("contents_id"), k.alias("digest"), F.concat(L("me"), k).alias("name"), L("java/lang/Object").alias("super_class"), L(49).alias("access_flags"), F.array(L("i")).alias("interfaces"), refs.alias("references"))
     existing = t.part.where("p_partkey % 5 = 0").select(C("p_partkey").cast("string").alias("digest"))
-    return extract.java_class_facts(classes, existing).references
+    found = extract.java_class_facts(classes, existing)
+    tag = lambda df, fact: df.select(L(fact).alias("fact"), "digest", "name")
+    return tag(found.references, "reference").unionByName(tag(found.interfaces, "interface")).unionByName(tag(found.classes, "class"))
 
 
 @query("archive_members", "WITH m AS (SELECT conv_id, turn, CASE WHEN turn = 3 THEN 'header' WHEN turn % 2 = 1 THEN 'bad' ELSE 'ok' END AS status FROM conversations) SELECT conv_id AS contents_id, turn AS path, status FROM m WHERE turn <= 3")
@@ -498,9 +500,11 @@ def _(t: Tables) -> DataFrame:
     return t.a_set_member.join(F.broadcast(sets.set_lookup(t.a_set, "ASIA")), "set_id").groupBy("set_id").agg(F.count("*").alias("n"))
 
 
-@query("set_diff", "SELECT set_id, package_id, CASE WHEN o.package_id IS NULL THEN 'added' WHEN m.package_id IS NULL THEN 'removed' ELSE 'unchanged' END AS status FROM a_old_member o FULL JOIN a_set_member m USING (set_id, package_id)")
+@query("set_diff", "SELECT set_id, package_id, CASE WHEN o.package_id IS NULL THEN 'added' WHEN m.package_id IS NULL THEN 'removed' ELSE 'unchanged' END AS status FROM a_old_member o FULL JOIN a_set_member m USING (set_id, package_id) UNION ALL SELECT NULL, NULL, CASE WHEN EXISTS (SELECT * FROM a_old_member EXCEPT SELECT * FROM a_set_member) OR EXISTS (SELECT * FROM a_set_member EXCEPT SELECT * FROM a_old_member) THEN 'changed' ELSE 'same' END")
 def _(t: Tables) -> DataFrame:
-    return sets.set_diff(t.a_old_member, t.a_set_member, ["set_id", "package_id"])[0]
+    found, changed = sets.set_diff(t.a_old_member, t.a_set_member, ["set_id", "package_id"])
+    none = L(None).cast("long")
+    return found.unionByName(changed.select(none.alias("set_id"), none.alias("package_id"), F.when(C("changed"), "changed").otherwise("same").alias("status")))
 
 
 @query("set_apply", "SELECT set_id, package_id FROM a_old_member WHERE set_id <> 2 UNION ALL SELECT set_id, package_id FROM a_set_member WHERE set_id = 2")
@@ -524,10 +528,11 @@ def _(t: Tables) -> DataFrame:
     return sets.stale_cache(_digested(t), _digested(t).join(t.labels, "doc_id", "left_semi"))
 
 
-@query("source_packages", "SELECT DISTINCT p_name AS name FROM part WHERE p_partkey % 7 <> 0")
+@query("source_packages", "SELECT DISTINCT p_name AS name, FALSE AS malformed FROM part WHERE p_partkey % 7 <> 0 UNION ALL SELECT DISTINCT p_brand, TRUE FROM part WHERE p_partkey % 7 = 0")
 def _(t: Tables) -> DataFrame:
     source = F.when(C("p_partkey") % 7 == 0, C("p_brand")).otherwise(F.concat("p_name", L("-1.0-2.fc18.src.rpm")))
-    return sets.source_packages(t.part.select(source.alias("source")))[0]
+    names, malformed = sets.source_packages(t.part.select(source.alias("source")))
+    return names.select("name", L(False).alias("malformed")).unionByName(malformed.select(C("source").alias("name"), L(True).alias("malformed")))
 
 
 # Closure
