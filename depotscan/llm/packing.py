@@ -40,7 +40,7 @@ from ._text import chunk_codes, gather, pieces
 #: Rows in a ranking block at most, about; it sets the size of sort groups and changes no result's validity.
 BLOCK = 20_000
 #: Bytes of chunks and ids that a worker remembers, about; beyond half of it the older half is forgotten. It changes no result.
-REMEMBERED = 64_000_000
+REMEMBERED = 40_000_000
 #: How byte-level vocabularies write a blank.
 BLANK = "\u0120"
 #: White space before a blank: such texts are not cut at blanks.
@@ -140,7 +140,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, window: int, id_col: str, tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text", 1 << 21):
+            for part in pieces(batch, "text", 1 << 19):
                 row, start, length, crc, total = [], [], [], [], []
                 ids, at = token_ids(part.column("text"), vocabulary)
                 data, at = ids.tobytes(), at.tolist()
@@ -170,7 +170,7 @@ def cut_pieces(docs: DataFrame, cuts: DataFrame, vocabulary: str, id_col: str, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text", 1 << 21):
+            for part in pieces(batch, "text", 1 << 19):
                 ids, at = token_ids(part.column("text"), vocabulary)
                 asked = part.column("cuts")
                 row = np.repeat(np.arange(part.num_rows), asked.value_lengths().to_numpy(zero_copy_only=False))
