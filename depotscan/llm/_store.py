@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depotscan import storage
 from depotscan.storage import discard, new_path
 
-__all__ = ["BATCH", "BROADCAST_KEYS", "discard", "new_path", "semi", "small", "store"]
+__all__ = ["BATCH", "BROADCAST_KEYS", "discard", "new_path", "release", "semi", "small", "store"]
 
 #: Bytes of a batch that goes to Python while a table is stored: batches are held by the JVM and the worker, several times over.
 BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
@@ -35,3 +37,9 @@ def store(df: DataFrame, tag: str) -> DataFrame:
         return storage.store(df, tag)
     finally:
         conf.unset(BATCH[0]) if before is None else conf.set(BATCH[0], before)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of tables that nothing refers to any more: it does so when the driver's garbage is collected, which may else be hours later."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -2,8 +2,9 @@
 
 A phrase with `least` occurrences in a language has, in at least one of a few shards of its texts, its proportional share
 of them: least x (the shard's words) / (all words). So each shard is mined completely at that lowered support, level by
-level: a run of k words is counted where both runs of k - 1 words inside it are frequent in the shard. The union of what
-is frequent in some shard holds every frequent phrase; a last pass counts its members exactly, by their words.
+level: a run of k words is counted in all shards where both runs of k - 1 words inside it are candidates. Candidates are
+the union of what is frequent in some shard, less what all shards' counts together show to be too rare; they hold every
+frequent phrase, and a last pass counts them exactly, by their words.
 
 Shards are hashed parts of the texts and each is counted by many tasks, which add up what they have read before anything
 is shuffled, so a frequent phrase costs a row per task. Mining works on 64-bit hashes, and a shard's frequent runs are
@@ -22,11 +23,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _store
@@ -40,10 +42,10 @@ MARK = re.compile(r"[.,;:!?\x0A-\x0D]")
 BITS = 27
 #: Spark's bitmap functions number bits in buckets of this size.
 BUCKET = 32_768
-#: Parts the bits of a run in different shards.
-SPREAD = 0x5851F42D
 #: Rows of the first cut of a ranking: each of SALTS parts of a language keeps its best ones.
 SALTS = 256
+_square = "(cast({} as decimal(18,0)) * cast({} as decimal(18,0)))".format
+SCORE = f"(cast(1000000 as decimal(7,0)) * {_square('a', 'a')}) div {_square('l', 'r')}"
 
 
 def piece_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -63,12 +65,9 @@ def piece_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return data, start, np.flatnonzero(last) + 1, np.cumsum(BREAK[data], dtype=np.int64)[start] + row, row
 
 
-def bit_of(run: np.ndarray, shard: np.ndarray | int) -> np.ndarray:
-    """The bit of a run of words in a shard."""
-    return (run & np.uint64((1 << BITS) - 1)).astype(np.int64) ^ np.asarray(shard) * SPREAD % (1 << BITS)
-
-
-def has(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
+def has(bitmap: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Whether the bits of runs of words are set."""
+    bit = (run & np.uint64(8 * len(bitmap) - 1)).astype(np.int64)
     return bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1
 
 
@@ -87,10 +86,10 @@ def levels(word: np.ndarray, piece: np.ndarray, longest: int, known: Callable[[n
         yield place, run
 
 
-def bounded(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def bounded(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Row slices of about `most` text bytes; a longer text is cut after a mark, where no phrase goes on."""
     for part in pieces(batch, "text", most):
-        text = part.column("text")[0].as_py() if part.num_rows == 1 else ""
+        text = (part.column("text")[0].as_py() if part.num_rows == 1 else None) or ""
         at = 0
         while len(text) - at > most:
             mark = MARK.search(text, at + most)
@@ -101,7 +100,7 @@ def bounded(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[pa.RecordBat
 
 
 def shard_counts(docs: DataFrame, k: int, shards: int, bitmap: Broadcast | None) -> DataFrame:
-    """(lang, shard, run, n): how often each run of k words occurs in a shard's texts, where its shorter runs are in the bitmap."""
+    """(lang, run, n_0, n_1, ...): how often each run of k words occurs in each shard's texts, where its shorter runs are in the bitmap."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value if bitmap else None
@@ -112,18 +111,19 @@ def shard_counts(docs: DataFrame, k: int, shards: int, bitmap: Broadcast | None)
                 order = np.argsort(group, kind="stable")  # a group's texts, and so its runs, lie together
                 data, start, end, piece, row = piece_words(part.column(0).take(pa.array(order)))
                 group = group[order][row]
-                *_, (place, run) = levels(word_hashes(data, start, end), piece, k, lambda p, h, g=group: has(bits, bit_of(h, g[p] % shards)))
+                *_, (place, run) = levels(word_hashes(data, start, end), piece, k, lambda _, h: has(bits, h))
                 for g in np.unique(group[place]).tolist():
                     at, to = np.searchsorted(group[place], [g, g + 1])
                     found, n = np.unique(run[at:to], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.repeat(langs.dictionary[g // shards], len(found)), pa.repeat(pa.scalar(g % shards, pa.int32()), len(found)), pa.array(found.view(np.int64)), pa.array(n)], names=["lang", "shard", "run", "n"])
 
-    return docs.mapInArrow(count, "lang string, shard int, run long, n long").groupBy("lang", "shard", "run").agg(F.sum("n").alias("n"))
+    each = docs.mapInArrow(count, "lang string, shard int, run long, n long")
+    return each.groupBy("lang", "run").agg(*(F.sum(F.when(F.col("shard") == i, F.col("n")).otherwise(0)).alias(f"n_{i}") for i in range(shards)))
 
 
 def set_bits(runs: DataFrame) -> np.ndarray:
-    """The bitmap with the bits of (run, shard) set; what is collected has a fixed size."""
-    bit = F.col("run").bitwiseAND((1 << BITS) - 1).bitwiseXOR(F.col("shard").cast("long") * SPREAD % (1 << BITS))
+    """The bitmap with the bits of (run) set; what is collected has a fixed size."""
+    bit = F.col("run").bitwiseAND((1 << BITS) - 1)
     maps = runs.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / BUCKET).alias("bucket")).agg(F.bitmap_construct_agg(F.col("bit") % BUCKET).alias("bits"))
     found = np.zeros(1 << BITS - 3, np.uint8)
     for r in maps.collect():
@@ -142,14 +142,14 @@ def phrases(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return text, at
 
 
-def exact_counts(docs: DataFrame, longest: int, shards: int, bitmap: Broadcast) -> DataFrame:
+def exact_counts(docs: DataFrame, longest: int, bitmap: Broadcast) -> DataFrame:
     """(lang, phrase, words, n) of the runs of 1 to `longest` words that are frequent in some shard, counted over all texts by their words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
 
         def known(place: np.ndarray, run: np.ndarray) -> np.ndarray:
-            return np.logical_or.reduce([has(bits, bit_of(run, i)) for i in range(shards)])
+            return has(bits, run)
 
         for batch in batches:
             for part in bounded(batch):
@@ -171,22 +171,29 @@ def exact_counts(docs: DataFrame, longest: int, shards: int, bitmap: Broadcast)
 
 def frequent_phrases(docs: DataFrame, longest: int, least: int, shards: int) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, words, n) of all phrases of 1 to `longest` words with `least` occurrences, (lang, n) words of each language); docs has text, lang, shard."""
-    context = docs.sparkSession.sparkContext
+    context, own = docs.sparkSession.sparkContext, range(shards)
     words = _store.store(shard_counts(docs, 1, shards, None), "phrase-words")
-    each = words.groupBy("lang", "shard").agg(F.sum("n").alias("n"))
-    totals = _store.store(each.groupBy("lang").agg(F.sum("n").alias("total")), "phrase-totals")
-    sizes = _store.store(each.join(totals, "lang").select("lang", "shard", F.expr(f"({least} * n + total - 1) div total").alias("support")), "phrase-support")
+    total = sum((F.sum(f"n_{i}") for i in own), F.lit(0))
+    sizes = words.groupBy("lang").agg(*(F.sum(f"n_{i}").alias(f"t_{i}") for i in own), total.alias("total"))
+    sizes = _store.store(sizes, "phrase-totals")
     n_sizes, found, bitmap = sizes.count(), None, None
     for k in range(1, longest + 1):
         counts = words if k == 1 else shard_counts(docs, k, shards, bitmap)
-        bits = set_bits(counts.join(_store.small(sizes, n_sizes), ["lang", "shard"]).where("n >= support"))
+        # In some shard its share of the support, and enough in all together.
+        share = [(F.col(f"n_{i}") > 0) & (F.col(f"n_{i}") >= F.expr(f"({least} * t_{i} + total - 1) div total")) for i in own]
+        enough = counts.where(sum((F.col(f"n_{i}") for i in own), F.lit(0)) >= least).join(_store.small(sizes, n_sizes), "lang").where(reduce(Column.__or__, share))
+        runs = _store.store(enough.select("run"), "phrase-runs")
+        bits = set_bits(runs)
         found = bits if found is None else found | bits
         bitmap = context.broadcast(found)
-    exact = _store.store(exact_counts(docs, longest, shards, bitmap).where(F.col("n") >= least), "phrase-counts")
-    return exact, totals.withColumnRenamed("total", "n")
+        _store.discard(runs, *([words] if k == 1 else []))
+        del counts, enough, runs
+        _store.release(docs.sparkSession)
+    exact = _store.store(exact_counts(docs, longest, bitmap).where(F.col("n") >= least), "phrase-counts")
+    return exact, sizes.select("lang", F.col("total").alias("n"))
 
 
-def collocations(docs: DataFrame, longest: int = 3, least: int = 10, covered: int = 50, top: int = 2000, shards: int = 4, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def collocations(docs: DataFrame, longest: int = 3, least: int = 10, covered: int = 50, top: int = 2000, shards: int = 2, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the `top` phrases of each language by score.
 
     a, l and r count the phrase and the two parts of its lowest-scoring cut; score is 10**6 a**2 / (l r), rounded down. A
@@ -201,9 +208,7 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, covered: in
     cuts = candidates.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1))).withColumns({"first": first, "rest": rest})
     part = lambda name, n: counts.select("lang", F.col("phrase").alias(name), F.col("n").alias(n))
     cuts = cuts.join(part("first", "l"), ["lang", "first"]).join(part("rest", "r"), ["lang", "rest"])
-    square = lambda a, b: f"(cast({a} as decimal(18,0)) * cast({b} as decimal(18,0)))"
-    score = F.expr(f"(cast(1000000 as decimal(7,0)) * {square('a', 'a')}) div {square('l', 'r')}")
-    lowest = cuts.groupBy("lang", "phrase", "words", "a").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("c"))
+    lowest = cuts.groupBy("lang", "phrase", "words", "a").agg(F.min(F.struct(F.expr(SCORE).alias("score"), "k", "l", "r")).alias("c"))
 
     inner = candidates.where("words > 2").withColumn("size", F.explode(F.sequence(F.lit(2), F.col("words") - 1))).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - F.col("size") + 1)))
     inside = inner.groupBy("lang", F.concat_ws(" ", F.slice(word, F.col("k"), F.col("size"))).alias("phrase")).agg(F.max("a").alias("longer"))
