@@ -12,10 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depotscan.functions import scalar as S
+from depotscan.operators.graph import plain_edges, reach_pairs
 
 Catalog = Mapping[str, DataFrame]
 SETID = 3072
 STACK_MARKER = 1685382481
+#: Libraries of a symbol that meet in one join key; with more of them there are more keys.
+BLOCK = 1000
 LIBRARY_PATHS = r"^/usr/lib(|64)/[^/]*.so[^/]*$"
 MACRO_TEXT = r"(?m)(^%|^[^#\n]*%(\{|[a-z]{2}))"
 MACRO_NAME = r"%(\{|[a-z]{2})"
@@ -64,13 +67,21 @@ def calls_without(cat: Catalog, set_name: str, has: str, lacks: Sequence[str]) -
 
 
 def reach(cat: Catalog, set_name: str, base: DataFrame, reference: str) -> DataFrame:
-    """(nevra, program, library): base files (package_id, file_id, name) of the set whose closure has a library that refers to the name."""
-    closure = cat["elf_closure"]
-    if "set_id" in closure.columns:
-        closure = closure.join(F.broadcast(cat["package_set"].where(F.col("name") == set_name).select("set_id")), "set_id", "left_semi")
+    """(nevra, program, library): base files (package_id, file_id, name) of the set that need, through any number of
+    libraries, one that refers to the name.
+
+    With a table elf_closure (file_id, needed) its pairs are used; else the pairs between the base files and the referring
+    libraries are found from elf_dependency (file_id, needed), direct needs, and nothing else is closed."""
+    own = F.broadcast(cat["package_set"].where(F.col("name") == set_name).select("set_id"))
+    needs = cat["elf_closure" if "elf_closure" in cat else "elf_dependency"]
+    if "set_id" in needs.columns:
+        needs = needs.join(own, "set_id", "left_semi")
     libraries = cat["file"].join(_referring(cat, F.col("name") == reference), "contents_id", "left_semi").select(F.col("file_id").alias("needed"), F.col("name").alias("library"))
     programs = base.select("package_id", "file_id", F.col("name").alias("program")).join(set_packages(cat, set_name), "package_id")
-    return programs.join(closure.select("file_id", "needed"), "file_id").join(libraries, "needed").select("nevra", "program", "library").distinct().orderBy("nevra", "program", "library")
+    if "elf_closure" not in cat:
+        node = lambda df, c: df.select(F.col(c).alias("node"))
+        needs = reach_pairs(plain_edges(needs, "file_id", "needed"), node(programs, "file_id"), node(libraries, "needed")).select(F.col("src").alias("file_id"), F.col("dst").alias("needed"))
+    return programs.join(needs.select("file_id", "needed"), "file_id").join(libraries, "needed").select("nevra", "program", "library").distinct().orderBy("nevra", "program", "library")
 
 
 def privileged_reach(cat: Catalog, set_name: str, reference: str, mask: int = SETID) -> DataFrame:
@@ -91,17 +102,21 @@ def plugin_reach_regex(cat: Catalog, set_name: str, regex: str, reference: str)
     return reach(cat, set_name, cat["file"].join(plugins, "contents_id", "left_semi"), reference)
 
 
-def symbol_collisions(cat: Catalog, set_name: str, path_regex: str = LIBRARY_PATHS, exclude: Sequence[str] = COMMON_SYMBOLS) -> DataFrame:
+def symbol_collisions(cat: Catalog, set_name: str, path_regex: str = LIBRARY_PATHS, exclude: Sequence[str] = COMMON_SYMBOLS, block: int = BLOCK) -> DataFrame:
     """Symbols that two libraries of a set define: other package, other soname, same architecture.
 
-    Definitions are cut to the set's libraries and made distinct before they meet, and symbols defined once drop out."""
+    Definitions are cut to the set's libraries and made distinct before they meet, and symbols of one soname drop out. What
+    is left of a symbol is dealt to blocks of about `block` libraries, and each pair of blocks is a join key of its own: a
+    symbol that every library defines is spread over as many tasks as its pairs need."""
     libraries = set_files(cat, set_name).where(F.col("file").rlike(path_regex)).join(cat["elf_file"].select("contents_id", "arch", "soname").where("soname is not null and arch is not null"), "contents_id")
     defined = cat["elf_definition"].select("contents_id", "name").where(~F.col("name").isin(list(exclude))).distinct()
     rows = libraries.join(defined, "contents_id").select("name", "arch", "soname", "contents_id", "package_id", "nevra", "file")
-    shared = rows.groupBy("name", "arch").agg(F.min("soname").alias("a"), F.max("soname").alias("b")).where("a <> b").select("name", "arch")
-    rows = rows.join(shared, ["name", "arch"], "left_semi")
+    blocks = (F.floor(F.count("*") / block) + 1).alias("blocks")
+    shared = rows.groupBy("name", "arch").agg(F.min("soname").alias("a"), F.max("soname").alias("b"), blocks).where("a <> b").select("name", "arch", "blocks")
+    rows = rows.join(shared, ["name", "arch"]).withColumn("own", F.pmod(F.xxhash64("contents_id", "package_id", "file"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     a, b = rows.alias("a"), rows.alias("b")
-    on = (F.col("a.name") == F.col("b.name")) & (F.col("a.arch") == F.col("b.arch")) & (F.col("a.contents_id") < F.col("b.contents_id")) & (F.col("a.package_id") != F.col("b.package_id")) & (F.col("a.soname") != F.col("b.soname"))
+    on = (F.col("a.name") == F.col("b.name")) & (F.col("a.arch") == F.col("b.arch")) & (F.col("a.own") == F.col("b.other")) & (F.col("a.other") == F.col("b.own"))
+    on = on & (F.col("a.contents_id") < F.col("b.contents_id")) & (F.col("a.package_id") != F.col("b.package_id")) & (F.col("a.soname") != F.col("b.soname"))
     return a.join(b, on).select(F.col("a.name").alias("name"), F.col("a.nevra").alias("nevra_1"), F.col("a.file").alias("path_1"), F.col("b.nevra").alias("nevra_2"), F.col("b.file").alias("path_2"))
 
 

@@ -7,8 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from depotscan import storage
 from depotscan.functions import scalar as S
+from depotscan.operators.graph import Change, maintain_closure, plain_edges, transitive_closure
 
 # Preferred directories and weights of the ranking.
 LIBRARY_DIRECTORIES = ("/lib/", "/lib64/", "/usr/lib/", "/usr/lib64/")
@@ -87,27 +87,6 @@ def soname_conflicts(resolved: DataFrame) -> DataFrame:
     return found.where(F.size("c") > 1).select("file", "needed_name", F.transform("c", lambda x: F.concat(x["package"], F.lit(":"), x["path"])).alias("choices"))
 
 
-def transitive_closure(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 64) -> DataFrame:
-    """All (src, dst) pairs joined by a path of one edge or more; a cycle yields pairs of a node with itself.
-
-    Each round squares the pairs of paths of 2**k edges and puts those of the result before all known pairs: a path of
-    2**(k + 1) edges or more is one of that many and a shorter rest, so on a chain each pair is made once, and a chain of
-    length n takes log2(n) rounds. Each round is written to the shared folder, which cuts the lineage.
-    """
-    known = storage.store(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct(), "closure")
-    power = known
-    for _ in range(max_rounds):
-        squared = storage.store(power.alias("a").join(power.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst").distinct(), "closure")
-        ahead = squared.alias("a").join(known.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        newer = storage.store(squared.unionByName(ahead).distinct().join(known, ["src", "dst"], "left_anti"), "closure")
-        if newer.isEmpty():
-            return known
-        before, known = known, storage.store(known.unionByName(newer), "closure")
-        storage.discard(before, newer, *([power] if power is not before else []))
-        power = squared
-    raise RuntimeError(f"the closure did not end in {max_rounds} rounds")
-
-
 def closure_diff_merge(old: DataFrame, new: DataFrame) -> Merge:
     """Pairs to delete and to insert; the merged table rewrites nothing else."""
     deleted, inserted = old.join(new, old.columns, "left_anti"), new.join(old, old.columns, "left_anti").select(old.columns)
@@ -120,3 +99,11 @@ def closure_refresh(changed: DataFrame, needed: DataFrame, providers: DataFrame)
         return None
     chosen = resolve_needed(needed, providers, best_only=True)
     return transitive_closure(chosen, "file", "provider")
+
+
+def closure_update(old: DataFrame, old_edges: DataFrame, needed: DataFrame, providers: DataFrame) -> tuple[DataFrame, Change]:
+    """(the set's resolved edges, its closure with what changed): old, the closure of old_edges, is kept up to date, so the
+    work follows the files whose libraries resolve otherwise than before."""
+    edges = plain_edges(resolve_needed(needed, providers, best_only=True), "file", "provider")
+    before = plain_edges(old_edges)
+    return edges, maintain_closure(old, before, before.join(edges, ["src", "dst"], "left_anti"), edges.join(before, ["src", "dst"], "left_anti"))

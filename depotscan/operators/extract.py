@@ -63,14 +63,66 @@ class _Entity(Exception):
     pass
 
 
-def _xml_error(text: bytes) -> tuple[str, int, bytes, bytes] | None:
-    """(message, line, bytes before, bytes after) of the first error; an entity declaration is one."""
-    parser = expat.ParserCreate()
+class _Typed:
+    """Follows a POM document's tags and keeps the typed URLs, in document order; of another root, none.
+
+    stack has the tags above; kind the type of the outermost known one among them. The text of a URL is what comes before
+    its element's first child; nothing inside such an element is looked at."""
+
+    def __init__(self) -> None:
+        self.stack: list[str] = []
+        self.kinds: list[str | None] = []
+        self.found: list[tuple[str, str]] = []
+        self.text: list[str] | None = None
+        self.inside = 0
+
+    def start(self, tag: str, _: object) -> None:
+        if self.inside:
+            self.close()
+            self.inside += 1
+            return
+        kind = self.kinds[-1] if self.kinds else None
+        if self.stack and self.stack[0] == "project":
+            if tag in ("downloadUrl", "connection", "developerConnection"):
+                self.open(tag)
+            elif tag == "url":
+                self.open("site" if len(self.stack) > 1 and self.stack[-1] == "site" else kind or "other")
+        self.stack.append(tag)
+        self.kinds.append(kind or (tag if len(self.stack) > 1 and tag in URL_PARENTS else None))
+
+    def open(self, kind: str) -> None:
+        self.kind, self.text, self.inside = kind, [], 1
+
+    def close(self) -> None:
+        if self.text is not None:
+            url = "".join(self.text).strip(" \t\n\r\v\f")
+            if url:
+                self.found.append((url, self.kind))
+            self.text = None
+
+    def end(self, _: str) -> None:
+        if self.inside:
+            self.close()
+            self.inside -= 1
+            if self.inside:
+                return
+        self.stack.pop()
+        self.kinds.pop()
+
+    def data(self, text: str) -> None:
+        if self.text is not None:
+            self.text.append(text)
+
+
+def _parse_xml(text: bytes) -> tuple[list[tuple[str, str]], tuple[str, int, bytes, bytes] | None]:
+    """(typed URLs, (message, line, bytes before, bytes after) of the first error); an entity declaration is one. With an error there are no URLs."""
+    parser, typed = expat.ParserCreate(), _Typed()
 
     def entity(*_: object) -> None:
         raise _Entity
 
     parser.EntityDeclHandler = entity
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = typed.start, typed.end, typed.data
     try:
         parser.Parse(text, True)
     except _Entity:
@@ -78,36 +130,37 @@ def _xml_error(text: bytes) -> tuple[str, int, bytes, bytes] | None:
     except expat.ExpatError as e:
         message, line, at = expat.errors.messages[e.code], e.lineno, parser.ErrorByteIndex
     else:
-        return None
-    return message, line, text[max(0, at - CONTEXT) : at], text[at : at + CONTEXT]
+        return typed.found, None
+    return [], (message, line, text[max(0, at - CONTEXT) : at], text[at : at + CONTEXT])
 
 
-def xml_errors(docs: DataFrame, key: str = "doc_id", xml: str = "xml") -> tuple[DataFrame, DataFrame]:
-    """(valid documents, errors with message, line and 50 bytes on both sides). A null document is neither."""
-    schema = f"{key} {dict(docs.dtypes)[key]}, {xml} string, message string, line int, before binary, after binary"
+def xml_facts(docs: DataFrame, key: str = "doc_id", xml: str = "xml") -> DataFrame:
+    """(key, urls array<struct<url, type>>, message, line, before, after): each document is read once, for its typed URLs and its first error, and doesn't come back. A null document gives no row."""
+    schema = f"{key} {dict(docs.dtypes)[key]}, urls array<struct<url string, type string>>, message string, line int, before binary, after binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("url", pa.string()), ("type", pa.string())]))
         for batch in batches:
-            found = [_xml_error(t.as_py().encode()) or (None,) * 4 for t in batch.column(1)]
-            message, line, before, after = zip(*found, strict=True) if found else ((),) * 4
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(message, pa.string()), pa.array(line, pa.int32()), pa.array(before, pa.binary()), pa.array(after, pa.binary())], names=[key, xml, "message", "line", "before", "after"])
+            found = [_parse_xml(t.as_py()) for t in batch.column(1)]
+            urls = pa.array([[{"url": u, "type": k} for u, k in x] for x, _ in found], kind)
+            error = [e or (None,) * 4 for _, e in found]
+            columns = [pa.array([e[i] for e in error], t) for i, t in enumerate((pa.string(), pa.int32(), pa.binary(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), urls, *columns], names=[key, "urls", "message", "line", "before", "after"])
+
+    return docs.select(key, F.col(xml).cast("binary").alias(xml)).where(F.col(xml).isNotNull()).mapInArrow(run, schema)
 
-    checked = docs.select(key, xml).where(F.col(xml).isNotNull()).mapInArrow(run, schema)
-    return checked.where("message is null").select(key, xml), checked.where("message is not null").drop(xml)
+
+def xml_errors(docs: DataFrame, key: str = "doc_id", xml: str = "xml") -> tuple[DataFrame, DataFrame]:
+    """(keys of valid documents, errors with message, line and 50 bytes on both sides). A null document is neither."""
+    facts = xml_facts(docs, key, xml)
+    return facts.where("message is null").select(key), facts.where("message is not null").drop("urls")
 
 
 def pom_urls(docs: DataFrame, key: str = "doc_id", xml: str = "xml") -> DataFrame:
-    """(key, url, type, pos) of the typed URLs of POM documents whose root is project; malformed ones give no row.
+    """(key, url, type, pos) of the typed URLs of POM documents whose root is project, in document order; malformed ones give no row.
 
     A url below a site is `site`; else its outermost ancestor of a known kind names it; else it is `other`."""
-    valid, _ = xml_errors(docs, key, xml)
-    kinds = " or ".join(f"self::{p}" for p in URL_PARENTS)
-    paths = {tag: f"//{tag}/text()" for tag in ("downloadUrl", "connection", "developerConnection")} | {"site": "//site/url/text()"}
-    paths |= {p: f"//url[not(parent::site)][ancestor::*[{kinds}][last()][self::{p}]]/text()" for p in URL_PARENTS}
-    paths["other"] = f"//url[not(parent::site)][not(ancestor::*[{kinds}])]/text()"
-    each = F.array(*(F.struct(F.lit(kind).alias("type"), F.xpath(F.col(xml), F.lit("/project" + path)).alias("urls")) for kind, path in paths.items()))
-    rows = valid.select(key, F.explode(each).alias("e")).select(key, F.col("e.type").alias("type"), F.posexplode("e.urls").alias("pos", "url"))
-    return rows.select(key, S.strip(F.col("url")).alias("url"), "type", "pos").where("url <> ''")
+    return xml_facts(docs, key, xml).select(key, F.posexplode("urls").alias("pos", "u")).select(key, "u.url", "u.type", "pos")
 
 
 # Python

@@ -5,11 +5,13 @@ Identifiers derive from digests, so the same input gives the same identifiers in
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from depotscan import storage
 from depotscan.functions import scalar as S
 
 # Names whose files are kept in full, and the size of other previews.
@@ -24,6 +26,7 @@ SCRIPT_KINDS = S.ENUMERATIONS["script"]
 class Interned(NamedTuple):
     table: DataFrame
     mapping: DataFrame
+    marked: DataFrame | None = None
 
 
 class Split(NamedTuple):
@@ -49,19 +52,51 @@ def surrogate(digest: Column) -> Column:
 
 
 def surrogate_clashes(table: DataFrame, key: str = "contents_id", digest: str = "digest") -> DataFrame:
-    """(key, n) of identifiers that several digests share. With 64 bits some are likely from billions of contents on; their
-    rows must be told apart by digest, so run this after a load."""
+    """(key, n) of identifiers that several digests share; none, in tables that interning has made."""
     return table.select(key, digest).distinct().groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def intern_contents(new: DataFrame, existing: DataFrame, digest: str = "digest") -> Interned:
+def assign_ids(new: DataFrame, taken: DataFrame, key: str, digest: str, number: Callable[[Column], Column] = surrogate) -> tuple[DataFrame, DataFrame]:
+    """((digest, key) of the distinct new digests, those of them whose identifier isn't the number of their digest).
+
+    taken has the (digest, key) in use, none of them of a new digest. A digest gets its own number, a 64-bit hash, unless
+    that is in use or another new digest, which is smaller, has it too; then it gets the number of itself and a first,
+    second, ... mark. From billions of digests on some clash, so the second table stays tiny; no two share an identifier."""
+    left = storage.store(new.select(digest, number(F.col(digest)).alias(key)), "ids-wanted")
+    used, given, n = taken.select(key), None, 0
+    while True:
+        first = left.groupBy(key).agg(F.min(digest).alias(digest))
+        free = storage.store(first.join(used, key, "left_anti").select(digest, key), "ids-given")
+        given = free if given is None else given.unionByName(free)
+        used, n = used.unionByName(free.select(key)), n + 1
+        left = storage.store(left.join(free, digest, "left_anti").select(digest, number(F.struct(digest, F.lit(n))).alias(key)), "ids-wanted")
+        if left.isEmpty():
+            return given, given.where(F.col(key) != number(F.col(digest)))
+
+
+def ids_of(rows: DataFrame, marked: DataFrame, key: str = "contents_id", digest: str = "digest", number: Callable[[Column], Column] = surrogate) -> DataFrame:
+    """rows with the identifier of their digest: its number, but for the few marked (digest, key) ones. A null digest has none."""
+    few = marked.select(F.col(digest).alias("_digest"), F.col(key).alias("_id"))
+    own = F.when(F.col(digest).isNotNull(), number(F.col(digest)))
+    return rows.join(few, F.col(digest) == F.col("_digest"), "left").withColumn(key, F.coalesce("_id", own)).drop("_digest", "_id")
+
+
+def intern_contents(new: DataFrame, existing: DataFrame, digest: str = "digest", key: str = "contents_id", number: Callable[[Column], Column] = surrogate) -> Interned:
     """One row per distinct digest. mapping has each new digest with its id and whether it was added now; equal
-    digests meet in the map-side half of the aggregation, so a content with many copies costs one row per task."""
-    distinct = new.groupBy(digest).agg(F.count("*").alias("copies"))
-    known = existing.select(digest, F.lit(True).alias("known")).distinct()
-    mapping = distinct.join(known, digest, "left").select(surrogate(F.col(digest)).alias("contents_id"), digest, "copies", F.col("known").isNull().alias("added"))
-    table = existing.select(digest).unionByName(mapping.where("added").select(digest)).withColumn("contents_id", surrogate(F.col(digest)))
-    return Interned(table, mapping)
+    digests meet in the map-side half of the aggregation, so a content with many copies costs one row per task.
+
+    existing has digest and, where it was made by interning, its key; marked has the rows of the table whose key isn't the
+    number of their digest, for ids_of."""
+    if key not in existing.columns:
+        start = existing.select(digest).distinct()
+        existing, _ = assign_ids(start, start.select(digest, F.lit(None).cast("long").alias(key)).limit(0), key, digest, number)
+    known = existing.select(digest, key).dropDuplicates([digest])
+    distinct = storage.store(new.groupBy(digest).agg(F.count("*").alias("copies")).join(known, digest, "left"), "interned")
+    added, _ = assign_ids(distinct.where(F.col(key).isNull() & F.col(digest).isNotNull()), known, key, digest, number)
+    fresh = added.select(digest, F.col(key).alias("_new"))
+    mapping = distinct.join(fresh, digest, "left").select(F.coalesce(key, "_new").alias(key), digest, "copies", F.col("_new").isNotNull().alias("added"))
+    table = known.unionByName(added)
+    return Interned(table, mapping, table.where(F.col(key) != number(F.col(digest))))
 
 
 def keeps_full(name: Column) -> Column:
@@ -88,11 +123,12 @@ def attribute_hash(columns: list[str]) -> Column:
     return F.md5(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in columns)))
 
 
-def intern_attributes(files: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(distinct attribute rows with their hash and id, files with attribute_id); the id is a function of the row, so no join is needed."""
-    keyed = files.withColumn("row_hash", attribute_hash(columns)).withColumn("attribute_id", surrogate(F.col("row_hash")))
-    dimension = keyed.select("attribute_id", "row_hash", *columns).dropDuplicates(["row_hash"])
-    return dimension, keyed.drop("row_hash")
+def intern_attributes(files: DataFrame, columns: list[str], number: Callable[[Column], Column] = surrogate) -> tuple[DataFrame, DataFrame]:
+    """(distinct attribute rows with their hash and id, files with attribute_id). The id is a function of the row; only hashes whose number another has are joined."""
+    keyed = files.withColumn("row_hash", attribute_hash(columns))
+    dimension = storage.store(keyed.select("row_hash", *columns).dropDuplicates(["row_hash"]), "attributes")
+    given, marked = assign_ids(dimension.select("row_hash"), dimension.select("row_hash", F.lit(None).cast("long").alias("attribute_id")).limit(0), "attribute_id", "row_hash", number)
+    return dimension.join(given, "row_hash").select("attribute_id", "row_hash", *columns), ids_of(keyed, marked, "attribute_id", "row_hash", number).drop("row_hash")
 
 
 def intern_packages(new: DataFrame, existing: DataFrame, digest: str = "hash", ordinal: str = "ordinal") -> Interned:

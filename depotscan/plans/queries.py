@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -173,19 +174,27 @@ def _(t: Tables) -> DataFrame:
     return fields.join(rows, "table_name", "left")
 
 
-def _primary(t: Tables) -> DataFrame:
-    """The listing as XML text, and parsed again."""
+def _listed(t: Tables) -> DataFrame:
+    """(package_id, text) of a listing's elements."""
     attribute = lambda name, value: F.coalesce(F.concat(L(f' {name}="'), value, L('"')), L(""))
     id_ = C("package_id").cast("string")
     text = F.concat(
         L("<package"), attribute("type", F.when(C("package_id") % 50 == 7, "deb").otherwise("rpm")), L("><name>"), C("name"), L("</name><arch>"), C("arch"), L("</arch><version"), attribute("epoch", C("epoch").cast("string")), attribute("ver", C("version")), attribute("rel", C("release")),
         L('/><checksum type="sha256" pkgid="YES">'), F.sha2("name", 256), L("</checksum><size"), attribute("package", id_), L("/><location"), attribute("xml:base", F.when(C("package_id") % 2 == 0, "http://other/")), attribute("href", F.concat("name", L(".rpm"))), L("/><format><rpm:sourcerpm>"), C("name"), L("-1-1.src.rpm</rpm:sourcerpm></format></package>"),
     )
-    return readers.primary_fields(t.a_package.select(F.from_xml(text, readers.PACKAGE, {"rowTag": "package"}).alias("p")).select("p.*"), "http://repo")
+    return t.a_package.select("package_id", text.alias("text"))
 
 
-query("repo_primary_scan", """SELECT CASE WHEN package_id % 50 = 7 THEN 'deb' ELSE 'rpm' END AS type, name, arch, CAST(epoch AS VARCHAR) AS epoch, version, release, 'sha256' AS checksum_type, sha256(name) AS checksum, package_id AS size,
-    name || '.rpm' AS href, CASE WHEN package_id % 2 = 0 THEN 'http://other/' ELSE 'http://repo/' END || name || '.rpm' AS url, name || '-1-1.src.rpm' AS source FROM a_package""")(_primary)
+@query("repo_primary_scan", """SELECT CASE WHEN package_id % 50 = 7 THEN 'deb' ELSE 'rpm' END AS type, name, arch, CAST(epoch AS VARCHAR) AS epoch, version, release, 'sha256' AS checksum_type, sha256(name) AS checksum, package_id AS size,
+    name || '.rpm' AS href, CASE WHEN package_id % 2 = 0 THEN 'http://other/' ELSE 'http://repo/' END || name || '.rpm' AS url, name || '-1-1.src.rpm' AS source FROM a_package""")
+def _(t: Tables) -> DataFrame:
+    """Eight listings are written and scanned as files."""
+    part, edge = C("package_id") % 8, t.spark.range(8)
+    rows = _listed(t).select(part.alias("part"), C("package_id").alias("at"), "text")
+    head, tail = (edge.select(C("id").alias("part"), L(at).cast("long").alias("at"), L(text).alias("text")) for at, text in ((-1, '<?xml version="1.0"?>\n<!-- <package> -->\n<metadata xmlns:rpm="r" packages="9">'), (1 << 60, "</metadata>")))
+    path = storage.new_path(t.spark, "listings")
+    rows.unionByName(head).unionByName(tail).repartition("part").sortWithinPartitions("part", "at").select("part", "text").write.partitionBy("part").text(path)
+    return readers.repo_primary_scan(t.spark, f"{path}/*", "http://repo")
 
 
 @query("repo_primary_validate", """SELECT package_id, CASE WHEN package_id % 50 = 7 THEN 'type' WHEN package_id % 10 = 1 THEN 'name' WHEN package_id % 10 = 2 THEN 'checksum' WHEN package_id % 10 = 3 THEN 'epoch' WHEN package_id % 10 = 4 THEN 'size' WHEN package_id % 10 = 5 THEN 'epoch' END AS reason FROM a_package""")
@@ -200,25 +209,28 @@ def _(t: Tables) -> DataFrame:
 
 
 def _entries(t: Tables) -> DataFrame:
+    """(p_partkey, p_brand, x): an index entry as XML text."""
     k = C("p_partkey") % 3
     entry = F.struct(
         F.when(C("p_size") % 2 == 0, "primary").otherwise("filelists").alias("_type"), F.struct(F.md5(C("p_name")).alias("_VALUE"), L("md5").alias("_type")).alias("checksum"), F.when(k == 0, F.struct(F.md5(C("p_brand")).alias("_VALUE"), L("md5").alias("_type"))).alias("open-checksum"),
         F.struct(F.concat(L("repodata/"), C("p_partkey").cast("string"), F.when(C("p_size") % 4 == 0, ".xml.gz").otherwise(".xml")).alias("_href")).alias("location"), C("p_size").cast("string").alias("size"), F.when(k < 2, (C("p_size") * 3).cast("string")).alias("open-size"),
     )
-    text = t.part.select("p_partkey", "p_brand", F.to_xml(entry, {"rowTag": "data"}).alias("x"))
-    rows = text.select("p_partkey", "p_brand", F.from_xml("x", readers.ENTRY, {"rowTag": "data"}).alias("e")).select("p_partkey", "p_brand", "e.*")
-    return rows
+    return t.part.select("p_partkey", "p_brand", F.to_xml(entry, {"rowTag": "data"}).alias("x"))
 
 
 @query("repo_index_scan", """SELECT CASE WHEN p_size % 2 = 0 THEN 'primary' ELSE 'filelists' END AS type, 'md5' AS checksum_type, md5(p_name) AS checksum, CASE WHEN p_partkey % 3 = 0 THEN md5(p_brand) ELSE md5(p_name) END AS open_checksum, CAST(p_size AS BIGINT) AS size,
     CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size * 3 AS BIGINT) ELSE CAST(p_size AS BIGINT) END AS open_size, p_partkey % 3 = 0 AS compressed, 'repodata/' || CAST(p_partkey AS VARCHAR) || CASE WHEN p_size % 4 = 0 THEN '.xml.gz' ELSE '.xml' END AS href, p_partkey % 3 = 1 AS error FROM part""")
 def _(t: Tables) -> DataFrame:
-    return readers.index_fields(_entries(t))
+    """Indexes of 500 entries are written and scanned, each a file."""
+    some = _entries(t).groupBy(F.floor(C("p_partkey") / 500).alias("part")).agg(F.collect_list("x").alias("x"))
+    path = storage.new_path(t.spark, "indexes")
+    some.select("part", F.concat(L("<repomd><revision>7</revision>"), F.array_join("x", ""), L("</repomd>"))).write.partitionBy("part").text(path)
+    return readers.repo_index_scan(t.spark, f"{path}/*")[1]
 
 
 @query("repo_primary_pick", """SELECT p_brand AS repo, 'http://repo/repodata/' || CAST(min(p_partkey) AS VARCHAR) || '.xml.gz' AS url FROM part WHERE p_size % 4 = 0 GROUP BY p_brand""")
 def _(t: Tables) -> DataFrame:
-    entries = _entries(t).select(C("p_brand").alias("repo"), C("p_partkey").alias("ordinal"), C("_type").alias("type"), C("location._href").alias("href"))
+    entries = _entries(t).select("p_partkey", "p_brand", F.from_xml("x", readers.ENTRY, {"rowTag": "data"}).alias("e")).select(C("p_brand").alias("repo"), C("p_partkey").alias("ordinal"), C("e._type").alias("type"), C("e.location._href").alias("href"))
     return readers.repo_primary_pick(entries, "http://repo", ("repo",)).select("repo", "url")
 
 
@@ -244,6 +256,14 @@ def _(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).groupBy(C("set_id").cast("long").alias("set_id")).agg(F.count("*").alias("n"))
 
 
+@query("bucketed_fact_sink", f"SELECT contents_id, count(*) AS n FROM a_reference WHERE contents_id IN (SELECT contents_id FROM a_program WHERE package_id IN (SELECT package_id FROM a_set_member)) GROUP BY contents_id")
+def _(t: Tables) -> DataFrame:
+    """The cascade of expiry on tables bucketed by their content: facts of the programs that sets keep."""
+    sink = lambda df, what: readers.bucketed_fact_sink(df, f"{what}_{uuid.uuid4().hex}", "contents_id", 8, storage.new_path(t.spark, what))
+    facts, files = sink(t.a_reference, "reference"), sink(t.a_program.join(t.a_set_member.select("package_id").distinct(), "package_id", "left_semi"), "program")
+    return facts.join(files, "contents_id", "left_semi").groupBy("contents_id").agg(F.count("*").alias("n"))
+
+
 @query("csv_export", "SELECT package_id, name, version FROM a_package")
 def _(t: Tables) -> DataFrame:
     path = storage.new_path(t.spark, "csv")
@@ -586,11 +606,63 @@ def _(t: Tables) -> DataFrame:
     return tag(m.deleted, "deleted").unionByName(tag(m.inserted, "inserted")).unionByName(tag(m.table.join(m.inserted, ["src", "dst"], "left_anti"), "kept"))
 
 
+_NEW_EDGES = "SELECT src, dst FROM a_edges_cyclic WHERE src % 11 <> 3 OR dst % 2 = 0 UNION SELECT p_partkey, p_partkey + 31 FROM part WHERE p_partkey % 37 = 5"
+
+
+@query("closure_maintain", f"""WITH RECURSIVE o AS (SELECT src, dst FROM a_edges_cyclic UNION SELECT c.src, e.dst FROM o c JOIN a_edges_cyclic e ON c.dst = e.src), e AS ({_NEW_EDGES}), {_CLOSE}
+    SELECT src, dst, CASE WHEN o.src IS NULL THEN 'inserted' ELSE 'kept' END AS status FROM c LEFT JOIN o USING (src, dst) UNION ALL SELECT src, dst, 'deleted' FROM o WHERE (src, dst) NOT IN (SELECT (src, dst) FROM c)""")
+def _(t: Tables) -> DataFrame:
+    """A closure kept up to date: an eleventh of the edges loses some, and parts get an edge to another block."""
+    old, stays = t.a_edges_cyclic, "src % 11 <> 3 or dst % 2 = 0"
+    new = t.part.where("p_partkey % 37 = 5").select(C("p_partkey").alias("src"), (C("p_partkey") + 31).alias("dst"))
+    closed = storage.store(closure.transitive_closure(old), "closure")
+    done = closure.maintain_closure(closed, old, old.where(f"not ({stays})"), new)
+    tag = lambda df, s: df.select("src", "dst", L(s).alias("status"))
+    kept = done.table.join(closed, ["src", "dst"], "left_semi")
+    return tag(kept, "kept").unionByName(tag(done.deleted, "deleted")).unionByName(tag(done.inserted, "inserted"))
+
+
 @query("closure_refresh", f"WITH RECURSIVE {_ONE}, x AS ({_RESOLVED.replace('a_needed', 'b_needed')}), e AS (SELECT DISTINCT file AS src, provider AS dst FROM x WHERE rank = 1), {_CLOSE} SELECT src, dst FROM c")
 def _(t: Tables) -> DataFrame:
     return closure.closure_refresh(sets.set_diff(t.a_old_member, t.a_set_member, ["set_id", "package_id"])[1], _one_arch_needed(t), t.a_provider)
 
 
+_NAMED = "/usr/share/maven/"
+
+
+@query("load_packages", """WITH n AS (SELECT p_partkey AS k, replace(p_name, ' ', '_') AS w FROM part), good AS (SELECT s_suppkey AS k, s_name || CAST(s_suppkey AS VARCHAR) AS n FROM supplier WHERE s_suppkey % 10 <> 3)
+    SELECT 'kind' AS fact, '/usr/lib/py/' || CAST(k AS VARCHAR) || '.py' AS name, 'python' AS value FROM n UNION ALL SELECT 'kind', '/usr/share/maven/' || CAST(s_suppkey AS VARCHAR) || '.pom', 'xml' FROM supplier UNION ALL SELECT 'kind', '/srv/' || CAST(doc_id AS VARCHAR), 'none' FROM documents
+    UNION ALL SELECT 'import', '/usr/lib/py/' || CAST(k AS VARCHAR) || '.py', unnest(['os', w || '.sub', '..up.' || w]) FROM n WHERE k % 10 NOT IN (1, 2) UNION ALL SELECT 'error', '/usr/lib/py/' || CAST(k AS VARCHAR) || '.py', '2' FROM n WHERE k % 10 IN (1, 2)
+    UNION ALL SELECT 'url', '/usr/share/maven/' || CAST(k AS VARCHAR) || '.pom', unnest(['http://home/' || n, 'scm:' || n, 'http://scm/' || n, 'http://dist/' || n, 'http://site/' || n, 'http://repo/' || n]) FROM good UNION ALL SELECT 'error', '/usr/share/maven/' || CAST(s_suppkey AS VARCHAR) || '.pom', '2' FROM supplier WHERE s_suppkey % 10 = 3
+    UNION ALL SELECT 'digest', '/srv/' || CAST(doc_id AS VARCHAR), sha256(text) FROM documents UNION ALL SELECT DISTINCT 'directory', '/srv/' || source, NULL FROM documents UNION ALL SELECT DISTINCT 'symlink', '/srv/' || source || '.l', source FROM documents
+    UNION ALL SELECT 'attributes', CAST(doc_id % 7 AS VARCHAR), CAST(count(*) AS VARCHAR) FROM documents GROUP BY ALL""")
+def _(t: Tables) -> DataFrame:
+    """Entries of packages into files, contents and facts: sources of parts, POMs of suppliers, documents of mixed attributes, and of each source a directory and a link."""
+    def entry(df: DataFrame, name: Column, data: Column, mode: int = 0o100644, target: Column | None = None, flags: Column | None = None) -> DataFrame:
+        same = {"package_id": L(1).cast("long"), "mode": L(mode), "nlinks": L(1), "target": (L(None) if target is None else target).cast("string"), "flags": L(0) if flags is None else flags, "inode": L(5), "mtime": L(9).cast("long"), "user_name": L("root"), "group_name": L("root"), "caps": L("")}
+        return df.select(name.alias("name"), data.cast("binary").alias("data"), *(v.alias(k) for k, v in same.items()))
+
+    poms = _pom(C("s_name"), C("s_suppkey"))
+    poms = F.when(C("s_suppkey") % 10 == 3, F.concat(poms, L("<"))).otherwise(poms)
+    named = lambda before, key, after="": F.concat(L(before), C(key).cast("string"), L(after))
+    sources, none = t.documents.select("source").distinct(), L(None)
+    entries = entry(_python(t), named("/usr/lib/py/", "contents_id", ".py"), C("contents")).unionByName(entry(t.supplier, named(_NAMED, "s_suppkey", ".pom"), poms)).unionByName(entry(t.documents, named("/srv/", "doc_id"), C("text"), flags=(C("doc_id") % 7 * 2).cast("int")))
+    entries = entries.unionByName(entry(sources, named("/srv/", "source"), none, 0o040755)).unionByName(entry(sources, named("/srv/", "source", ".l"), none, 0o120777, C("source")))
+    known = t.documents.where("doc_id % 5 = 0").select(F.sha2("text", 256).alias("digest")).distinct()
+    # Of contents that were known a load adds no facts; here they have none.
+    known = ingest.intern_contents(known, known.limit(0)).table
+    done = load.load_packages(entries, known)
+    files = done.files.select("contents_id", "name", "attribute_id", "digest")
+    at = lambda df, fact, value: files.join(df, "contents_id").select(L(fact).alias("fact"), "name", value.cast("string").alias("value"))
+    found = files.join(done.kinds, "contents_id", "left").select(L("kind").alias("fact"), "name", F.coalesce("kind", L("none")).alias("value"))
+    found = found.unionByName(at(done.python.select("contents_id", F.explode("import").alias("v")), "import", C("v"))).unionByName(at(done.python.where("message is not null"), "error", C("line")))
+    found = found.unionByName(at(done.xml.select("contents_id", F.explode("urls.url").alias("v")), "url", C("v"))).unionByName(at(done.xml.where("message is not null"), "error", C("line")))
+    docs = files.where(F.startswith("name", L("/srv/")))
+    found = found.unionByName(docs.select(L("digest").alias("fact"), "name", C("digest").alias("value"))).unionByName(done.directories.select(L("directory").alias("fact"), "name", L(None).cast("string").alias("value"))).unionByName(done.symlinks.select(L("symlink").alias("fact"), "name", C("target").alias("value")))
+    counts = docs.groupBy("attribute_id").agg(F.count("*").alias("n")).join(done.attributes, "attribute_id").select(L("attributes").alias("fact"), (C("flags") / 2).cast("int").cast("string").alias("name"), C("n").cast("string").alias("value"))
+    return found.unionByName(counts)
+
+
 @query("refresh_set", f"""WITH RECURSIVE listed AS (SELECT * FROM ({_LATEST}) WHERE NOT regexp_full_match(name, 'red.*')), w AS (SELECT package_id FROM listed WHERE package_id % 9 <> 0),
     v AS (SELECT coalesce(o.arch, '') AS arch, coalesce(nullif(soname, ''), p_name) AS soname, file_id, o.name AS path, p_name AS package FROM a_object o JOIN part ON file_id = p_partkey WHERE e_type = 3 AND package_id IN (SELECT package_id FROM w)),
     n AS (SELECT * FROM a_object_needed WHERE file IN (SELECT package_id FROM w)),
@@ -635,14 +707,14 @@ query("calls_matching", f"SELECT DISTINCT package, file, r.name FROM ({_PROG}) J
 query("calls_without", f"SELECT package, file FROM ({_PROG}) WHERE contents_id IN (SELECT contents_id FROM a_reference WHERE name = 'red widget') AND contents_id NOT IN (SELECT contents_id FROM a_reference WHERE name IN ('small ring', 'large bolt'))")(lambda t: audit.calls_without(catalog(t), "ASIA", "red widget", ["small ring", "large bolt"]))
 
 
-def _with_closure(t: Tables) -> dict[str, DataFrame]:
-    return catalog(t) | {"elf_closure": closure.transitive_closure(t.a_edges_dag).select(C("src").alias("file_id"), C("dst").alias("needed"))}
+def _with_needs(t: Tables) -> dict[str, DataFrame]:
+    return catalog(t) | {"elf_dependency": t.a_edges_dag.select(C("src").alias("file_id"), C("dst").alias("needed"))}
 
 
 _REACH = f"WITH RECURSIVE e AS (SELECT src, dst FROM a_edges_dag), {_CLOSE} SELECT DISTINCT nevra, b.file AS program, l.name AS library FROM ({_PROG}) b JOIN c ON c.src = b.file_id JOIN a_program l ON l.file_id = c.dst JOIN a_reference r ON r.contents_id = l.contents_id WHERE r.name = 'red widget' AND "
-query("privileged_reach", _REACH + "b.attribute_id IN (SELECT attribute_id FROM a_program_attribute WHERE (mode & 3072) <> 0)")(lambda t: audit.privileged_reach(_with_closure(t), "ASIA", "red widget"))
-query("plugin_reach_list", _REACH + "b.contents_id IN (SELECT contents_id FROM a_definition WHERE name IN ('small ring', 'large bolt'))")(lambda t: audit.plugin_reach_list(_with_closure(t), "ASIA", ["small ring", "large bolt"], "red widget"))
-query("plugin_reach_regex", _REACH + "b.contents_id IN (SELECT contents_id FROM a_definition WHERE regexp_matches(name, '^small'))")(lambda t: audit.plugin_reach_regex(_with_closure(t), "ASIA", "^small", "red widget"))
+query("privileged_reach", _REACH + "b.attribute_id IN (SELECT attribute_id FROM a_program_attribute WHERE (mode & 3072) <> 0)")(lambda t: audit.privileged_reach(_with_needs(t), "ASIA", "red widget"))
+query("plugin_reach_list", _REACH + "b.contents_id IN (SELECT contents_id FROM a_definition WHERE name IN ('small ring', 'large bolt'))")(lambda t: audit.plugin_reach_list(_with_needs(t), "ASIA", ["small ring", "large bolt"], "red widget"))
+query("plugin_reach_regex", _REACH + "b.contents_id IN (SELECT contents_id FROM a_definition WHERE regexp_matches(name, '^small'))")(lambda t: audit.plugin_reach_regex(_with_needs(t), "ASIA", "^small", "red widget"))
 query("symbol_collisions", f"""WITH l AS (SELECT {NEVRA_SQL.replace('name', 'p.name', 1)} AS nevra, f.name AS file, f.contents_id, f.package_id, e.arch AS a, soname FROM a_package p JOIN a_library f ON f.package_id = p.package_id JOIN a_library_elf e USING (contents_id) WHERE {ASIA} AND regexp_matches(f.name, '^/usr/lib(|64)/[^/]*.so[^/]*$')),
     d AS (SELECT DISTINCT contents_id, name FROM a_library_definition)
     SELECT d1.name, l1.nevra AS nevra_1, l1.file AS path_1, l2.nevra AS nevra_2, l2.file AS path_2 FROM l l1 JOIN d d1 ON d1.contents_id = l1.contents_id JOIN d d2 ON d2.name = d1.name JOIN l l2 ON l2.contents_id = d2.contents_id
@@ -738,6 +810,21 @@ def _(t: Tables) -> DataFrame:
     return out.select("url", "http_time", (F.decode("data", "UTF-8") == "click").alias("fresh"))
 
 
+@query("url_cache_log", """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS url, event_type, max(event_id) AS k FROM events GROUP BY ALL), u AS (SELECT url, max(k) FILTER (event_type = 'click') AS c, max(k) FILTER (event_type = 'purchase') AS p, max(k) FILTER (event_type = 'view') AS v FROM e GROUP BY url)
+    SELECT url, coalesce(p, c) AS http_time, CASE WHEN p IS NOT NULL THEN 3 WHEN v % 2 = 0 THEN 2 ELSE 1 END AS day FROM u WHERE c IS NOT NULL OR p IS NOT NULL""")
+def _(t: Tables) -> DataFrame:
+    """Three days of a URL cache: clicks are put, views look up, then, after the log was merged, purchases are put."""
+    rows = t.events.select(C("user_id").cast("string").alias("url"), C("event_id").alias("http_time"), F.encode("event_type", "UTF-8").alias("data"), "event_type")
+    day = lambda n: F.to_timestamp(L(f"2024-03-0{n} 00:00:00"))
+    cache = retention.UrlCache(t.spark, storage.new_path(t.spark, "url-cache"))
+    cache.put(rows.where("event_type = 'click'"), day(1))
+    views = rows.where("event_type = 'view'").groupBy("url").agg(F.max("http_time").alias("k")).where("k % 2 = 0")
+    cache.lookup(views.select("url", L(None).cast("long").alias("length"), L(None).cast("long").alias("http_time")), day(2))
+    cache.compact()
+    cache.put(rows.where("event_type = 'purchase'"), day(3))
+    return cache.read().select("url", "http_time", F.dayofmonth("last_access").cast("long").alias("day"))
+
+
 # Quality
 
 query("check_constraints", "SELECT 'quantity' AS rule, l_orderkey FROM lineitem WHERE NOT l_quantity <= 45 UNION ALL SELECT 'flag', l_orderkey FROM lineitem WHERE l_returnflag NOT IN ('A', 'N') UNION ALL SELECT 'linked', l_orderkey FROM lineitem WHERE (l_linestatus = 'F') <> (l_returnflag = 'A')")(
@@ -775,7 +862,7 @@ def _stream(t: Tables, name: str) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     rows = _stream(t, "events").select(F.md5(F.concat(C("user_id").cast("string"), "event_type")).alias("digest"), C("ts").cast("timestamp").alias("ts"))
     path = storage.new_path(t.spark, "interned")
-    jobs.run_available(jobs.stream_intern(rows, delay="60 days").select("digest"), path, storage.new_path(t.spark, "interning"))
+    jobs.run_available(jobs.stream_intern(rows).select("digest"), path, storage.new_path(t.spark, "interning"))
     return t.spark.read.schema("digest string").parquet(f"{path}/epoch=*")
 
 

@@ -13,8 +13,13 @@ from .schemas import WHITELIST
 PACKAGE = "_type string, name string, arch string, version struct<_epoch:string,_ver:string,_rel:string>, checksum struct<_VALUE:string,_type:string>, size struct<_package:string>, location struct<_href:string,`_xml:base`:string>, format struct<`rpm:sourcerpm`:string>"
 ENTRY = "_type string, checksum struct<_VALUE:string,_type:string>, `open-checksum` struct<_VALUE:string,_type:string>, location struct<_href:string>, size string, `open-size` string"
 
-#: What a listing begins with: declaration, comments, document type and white space, then its root.
-ROOT = r"\A(?:\x{FEFF})?\s*+(?:<\?(?s:.*?)\?>\s*+|<!--(?s:.*?)-->\s*+|<!DOCTYPE[^>]*+>\s*+)*+<(?:\w++:)?metadata[\s/>]"
+# What may stand between elements, and the root's start and end.
+_BETWEEN = r"(?:\s++|<\?(?s:.*?)\?>|<!--(?s:.*?)-->|<!DOCTYPE[^>]*+>)*+"
+_ROOT = r"""<(?:\w++:)?metadata(?:\s(?:"[^"]*+"|'[^']*+'|[^>"'])*+)?+/?>"""
+_END = r"</(?:\w++:)?metadata\s*+>"
+#: What stands before a package of a listing, and all that may stand in its place.
+LEAD = rf"\A\x{{FEFF}}?{_BETWEEN}(?:{_ROOT})?+{_BETWEEN}"
+REST = rf"\A(?:<package[\s>]|(?:{_END}{_BETWEEN})?\z)"
 
 
 def primary_fields(rows: DataFrame, base_url: str = "") -> DataFrame:
@@ -28,11 +33,15 @@ def primary_fields(rows: DataFrame, base_url: str = "") -> DataFrame:
 
 def repo_primary_scan(spark: SparkSession, paths: str | list[str], base_url: str = "") -> DataFrame:
     """Packages of repository listings, one row for each <package>. A file whose root is another element than <metadata> is
-    an error."""
-    other = spark.read.text(paths, wholetext=True).where(~F.col("value").rlike(ROOT)).select(F.input_file_name().alias("path")).first()
-    if other:
-        raise ValueError(f"not a repository listing: {other['path']}")
-    rows = spark.read.format("xml").schema(PACKAGE).option("rowTag", "package").load(paths)
+    an error when it is read (one whose root is <package> itself reads as that package).
+
+    Files are read once, as text that ends at </package>, so Spark splits a large one into byte ranges. Between packages
+    there are comments and white space, before the first one the root's start, after the last one its end; all else is an error."""
+    text = spark.read.text(paths, lineSep="</package>").select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
+    rest = text.withColumn("text", F.regexp_replace("text", LEAD, ""))
+    fault = F.raise_error(F.concat(F.lit("not a repository listing: "), F.col("path"))).cast("string")
+    package = F.when(~F.col("text").rlike(REST), fault).when(F.startswith("text", F.lit("<package")), F.concat("text", F.lit("</package>")))
+    rows = rest.select(package.alias("xml")).where("xml is not null").select(F.from_xml("xml", PACKAGE, {"rowTag": "package"}).alias("p")).select("p.*")
     return primary_fields(rows, base_url)
 
 
@@ -59,10 +68,9 @@ def index_fields(rows: DataFrame) -> DataFrame:
 
 
 def repo_index_scan(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    """(revision rows, entries) of repository indexes."""
-    meta = spark.read.format("xml").schema("_VALUE string").option("rowTag", "revision").load(paths).select(F.col("_VALUE").alias("revision"))
-    rows = spark.read.format("xml").schema(ENTRY).option("rowTag", "data").load(paths)
-    return meta, index_fields(rows)
+    """(revision rows, entries) of repository indexes; one row of the scan is an index, a few KB."""
+    rows = spark.read.format("xml").schema(f"revision string, data array<struct<{ENTRY}>>").option("rowTag", "repomd").load(paths)
+    return rows.where("revision is not null").select("revision"), index_fields(rows.select(F.explode("data").alias("d")).select("d.*"))
 
 
 def repo_primary_pick(entries: DataFrame, base_url: str = "", keys: tuple[str, ...] = (), order: Column | None = None) -> DataFrame:
@@ -96,5 +104,13 @@ def bulk_fact_sink(df: DataFrame, path: str, partition: str | None = "set_id") -
     writer.parquet(path)
 
 
+def bucketed_fact_sink(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Replace a catalog table (at a path, else in the warehouse) by df, dealt to buckets by its key and sorted in each, and
+    read it back. Joins, semi joins and aggregates on the key of tables with as many buckets need no exchange of them."""
+    writer = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def csv_export(df: DataFrame, path: str, header: bool = False) -> None:
     df.write.mode("overwrite").option("header", header).csv(path)
