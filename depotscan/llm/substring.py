@@ -9,8 +9,9 @@ words stands for the anchor extended both ways, as far as its windows reach.
    documents that is every segment, so the group costs one minimum and no pairs.
 3. First segments whose anchor has several extensions (edges of passages, short common runs) are compared window
    by window: a window repeats unless it is the first with its words.
-4. Repeats on one diagonal of a text and its source are joined to maximal ones. Their words are then compared with
-   the source's, in blocks of BLOCK words that travel once for each text that repeats them, and only equal words go.
+4. Repeats on one diagonal of a text and its source are joined to maximal ones, and of those that overlap as many stay
+   as cover the same words. Their words are then compared with the source's, in blocks of BLOCK words that travel to the
+   texts that repeat them (none do within one text), and only equal words go.
    Should two different runs share a hash of 128 bits, that comparison shows it and all is done again under another
    hash; so the result is that of words.
 The removed ranges are the unions of repeated windows, that is the maximal repeats of at least `window` words.
@@ -142,13 +143,29 @@ def repeats(docs: DataFrame, window: int, k: int, attempt: int, bits: int) -> Da
     before = F.max("stop").over(line.rowsBetween(Window.unboundedPreceding, -1))
     matches = whole.unionByName(part).repartition("id", "key").withColumn("new", F.coalesce(F.col("start") > before, F.lit(True)).cast("int"))
     matches = matches.withColumn("island", F.sum("new").over(line)).groupBy("id", "key", "src_id", "src_key", "shift", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-    matches = _store.store(matches.select("id", "key", "start", "stop", "src_id", "src_key", (F.col("start") - F.col("shift")).alias("src_start")), "repeat-matches")
+    matches = _store.store(cover(matches.select("id", "key", "start", "stop", "src_id", "src_key", (F.col("start") - F.col("shift")).alias("src_start")), window), "repeat-matches")
     _store.discard(found, seeded, repeated, judged, edges, single, least)
     return matches
 
 
+def cover(matches: DataFrame, window: int) -> DataFrame:
+    """Of each text's matches as many as cover the same words, cut to at most three times these words in all.
+
+    Of the matches that start within `window` words the first to start and the last to stop cover what all of them do, for
+    each has `window` words at least. Then each begins where those before it have stopped, or where it has `window` words."""
+    whole = F.struct("start", "stop", "src_id", "src_key", "src_start")
+    ends = matches.groupBy("id", "key", F.floor(F.col("start") / window).alias("cell")).agg(F.min_by(whole, whole).alias("a"), F.max_by(whole, F.struct("stop", whole)).alias("b"))
+    some = ends.select("id", "key", F.explode(F.array_distinct(F.array("a", "b"))).alias("m")).select("id", "key", "m.*")
+    before = F.max("stop").over(Window.partitionBy("id", "key").orderBy("start", "stop", "src_id", "src_key", "src_start").rowsBetween(Window.unboundedPreceding, -1))
+    cut = some.withColumn("before", F.coalesce(before, F.lit(0))).where("stop > before").withColumn("skip", F.greatest(F.lit(0), F.least(F.col("before"), F.col("stop") - window) - F.col("start")))
+    return cut.select("id", "key", (F.col("start") + F.col("skip")).alias("start"), "stop", "src_id", "src_key", (F.col("src_start") + F.col("skip")).alias("src_start"))
+
+
 def with_sources(docs: DataFrame, matches: DataFrame) -> DataFrame:
-    """(id, key, sources): for each text the blocks of words that its ranges repeat, as (start, first word of the block, words, the block). Rows without a match are left out."""
+    """(id, key, sources): for each text the blocks of words that its ranges repeat, as (start, first word of the block, words, the block); of a range of the text itself, its first word and no block. Rows without a match are left out."""
+    inside = (F.col("id") == F.col("src_id")) & (F.col("key") == F.col("src_key"))
+    own = matches.where(inside).select("id", "key", F.struct(F.col("start").cast("int").alias("start"), F.col("src_start").cast("int").alias("at"), (F.col("stop") - F.col("start")).cast("int").alias("n"), F.lit(None).cast("string").alias("words")).alias("s"))
+    matches = matches.where(~inside)
     begin, end = F.col("src_start"), F.col("src_start") + F.col("stop") - F.col("start")
     asked = matches.withColumn("block", F.explode(F.sequence(F.floor(begin / BLOCK), F.floor((end - 1) / BLOCK))))
     lo, hi = F.greatest(begin, F.col("block") * BLOCK), F.least(end, F.col("block") * BLOCK + BLOCK)
@@ -171,7 +188,8 @@ def with_sources(docs: DataFrame, matches: DataFrame) -> DataFrame:
     wanted = _store.store(wanted.select(F.col("src_id").alias("id"), F.col("src_key").alias("key"), "blocks"), "repeat-wanted")
     texts = _store.semi(docs.select("id", "key", "text"), wanted.select("id", "key"), ["id", "key"], wanted.count())
     sources = _store.store(texts.join(wanted, ["id", "key"]).select("id", "key", "text", "blocks").mapInArrow(blocks, "src_id long, src_key long, block long, words string"), "repeat-sources")
-    known = asked.join(sources, ["src_id", "src_key", "block"]).groupBy("id", "key").agg(F.collect_list(F.struct("start", "at", "n", "words")).alias("sources"))
+    others = asked.join(sources, ["src_id", "src_key", "block"]).select("id", "key", F.struct("start", "at", "n", "words").alias("s"))
+    known = others.unionByName(own).groupBy("id", "key").agg(F.collect_list("s").alias("sources"))  # by the cover, at most some times the text
     known = _store.store(known, "repeat-known")
     _store.discard(asked, wanted, sources)
     return known
@@ -202,10 +220,12 @@ def substring_dedup(docs: DataFrame, window: int = 20, k: int = 8, id_col: str =
             for text, sources in zip(batch.column("kept"), batch.column("sources"), strict=True):
                 all_words = text.as_py().split(" ")
                 stay, unlike = np.ones(len(all_words), bool), 0
-                for s in sources.as_py():
-                    same = all_words[s["start"] : s["start"] + s["n"]] == s["words"].split(" ")[s["at"] : s["at"] + s["n"]]
-                    stay[s["start"] : s["start"] + s["n"]] &= not same
-                    unlike += not same
+                for i in range(0, len(sources.values), 4096):
+                    for s in sources.values.slice(i, 4096).to_pylist():
+                        source = all_words if s["words"] is None else s["words"].split(" ")
+                        same = all_words[s["start"] : s["start"] + s["n"]] == source[s["at"] : s["at"] + s["n"]]
+                        stay[s["start"] : s["start"] + s["n"]] &= not same
+                        unlike += not same
                 size.append(len(all_words))
                 gone.append(len(all_words) - int(stay.sum()))
                 kept.append(" ".join(compress(all_words, stay)))
