@@ -13,11 +13,12 @@ drops nothing; with no labelled text to learn from, a letter is enough for the f
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depotscan.llm import _store, decontaminate, exact_dedup, language, ngram_join, packing
-from depotscan.llm.queries import VOCABULARIES, table
+from depotscan.llm.queries import table
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -93,7 +94,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of sequences of 1024 tokens."""
-    return packing.pack(docs, f"{VOCABULARIES}/byte_bpe_50k.json")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("language", known_language), ("exact_dedup", exact_copies), ("near_dedup", near_copies), ("decontamination", benchmark_leaks), ("packing", packed)]
