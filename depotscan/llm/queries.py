@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import collocations, decontaminate, exact_dedup, language, licenses, ngram_join, packing, pii, resampling, secrets, simhash, substring, tokens
 
-try:  # the vocabulary files are installed beside the libraries; another place may be named
-    import public_tokenizers
-
-    VOCABULARIES = os.path.dirname(public_tokenizers.__file__)
-except ImportError:
-    VOCABULARIES = "/opt/tokenizers"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,7 +31,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = f"{VOCABULARIES}/word_bpe_49k.json"
+    words = public_tokenizers.path("word_bpe_49k.json")
     found = secrets.scan(table(spark, sf_dir, "documents"), *secrets.learn(secrets.labelled_findings(spark), words), words)
     return found.select("doc_id", "start", "stop", F.sha2("value", 256).alias("value_sha256"), F.round("score", 6).alias("score"), "is_secret")
 
@@ -60,11 +51,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_counts(table(spark, sf_dir, "documents"), f"{VOCABULARIES}/word_bpe_49k.json")
+    return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), f"{VOCABULARIES}/byte_bpe_50k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

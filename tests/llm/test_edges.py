@@ -1,12 +1,12 @@
 """Every operator on nulls, empty and very long texts, repeated rows, empty tables and clashing extra columns."""
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from depotscan.llm import decontaminate, exact_dedup, language, licenses, ngram_join, packing, pii, secrets, substring, tokens
-from depotscan.llm.queries import VOCABULARIES
 
-WORDS_FILE = f"{VOCABULARIES}/word_bpe_49k.json"
+WORDS_FILE = public_tokenizers.path("word_bpe_49k.json")
 
 WORDS = " ".join(f"word{i}" for i in range(30_000))
 ROWS = [(1, "Hello  world again and again", "en"), (2, None, "en"), (3, "", None), (4, " \t\n ", "fr"), (None, "Hello world again and again", "en"), (5, WORDS, "en"), (5, WORDS, "en"), (6, "12345 !!", None), (7, "un deux trois quatre", "fr"), (None, None, None), (8, "é ü 漢字 \x85 x\x1cy", "fr")]
@@ -76,7 +76,7 @@ def test_decontaminate(docs, empty, spark):
 
 
 def test_tokens(docs, empty):
-    path = f"{VOCABULARIES}/word_bpe_49k.json"
+    path = public_tokenizers.path("word_bpe_49k.json")
     got = tokens.token_counts(docs, path)
     rows = by_id(got)
     assert got.count() == len(ROWS) and tokens.token_counts(empty, path).count() == 0
@@ -84,7 +84,7 @@ def test_tokens(docs, empty):
 
 
 def test_packing(docs, empty):
-    path = f"{VOCABULARIES}/byte_bpe_50k.json"
+    path = public_tokenizers.path("byte_bpe_50k.json")
     got = packing.pack(docs, path).collect()
     assert packing.pack(empty, path).count() == 0
     assert sum(r.length for r in got if r.doc_id == 2) == 1 and sum(r.length for r in got if r.doc_id == 5) == 2 * next(r.doc_tokens for r in got if r.doc_id == 5)

@@ -9,7 +9,6 @@ import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from depotscan.llm.queries import VOCABULARIES
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, id long"
 
@@ -62,7 +61,7 @@ def test_pipeline(spark, tmp_path):
         assert left.columns == docs.columns
     assert {r.doc_id: r.text for r in left.collect()} == want
 
-    library = Tokenizer.from_file(f"{VOCABULARIES}/byte_bpe_50k.json")
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     pieces, sequences = defaultdict(int), defaultdict(int)
     for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
         ids = [*library.encode(want[r.doc_id], add_special_tokens=False).ids, 0]
