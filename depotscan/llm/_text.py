@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,3 +115,11 @@ def gather(values: np.ndarray, sizes: np.ndarray, code: np.ndarray) -> tuple[np.
     start, n = np.cumsum(sizes) - sizes, sizes[code]
     at = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
     return values[np.repeat(start[code] - at[:-1], n) + np.arange(at[-1])], at
+
+
+def give_back() -> None:
+    """Return to the system what this process has freed: Arrow's pool and the C library keep it else, and Spark's workers live for many stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)

@@ -35,12 +35,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _store
-from ._text import chunk_codes, gather, pieces
+from ._text import chunk_codes, gather, give_back, pieces
 
 #: Rows in a ranking block at most, about; it sets the size of sort groups and changes no result's validity.
 BLOCK = 20_000
 #: Bytes of chunks and ids that a worker remembers, about; beyond half of it the older half is forgotten. It changes no result.
-REMEMBERED = 40_000_000
+REMEMBERED = 24_000_000
 #: How byte-level vocabularies write a blank.
 BLANK = "\u0120"
 #: White space before a blank: such texts are not cut at blanks.
@@ -155,6 +155,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, window: int, id_col: str, tex
                         crc.append(zlib.crc32(b"\0\0\0\0", done) if k + size == n else done)
                         total.append(n)
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row, pa.int32())) for c in ("id", "key")), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], names=["id", "key", "start", "length", "ids_crc32", "doc_tokens"])
+            give_back()
 
     slim = _slim(docs, id_col, text_col)
     return slim.mapInArrow(run, f"id {dict(slim.dtypes)['id']}, key long, start long, length long, ids_crc32 long, doc_tokens long")
@@ -181,6 +182,7 @@ def cut_pieces(docs: DataFrame, cuts: DataFrame, vocabulary: str, id_col: str, t
                     last = at[i] + k + n > at[i + 1]
                     crc.append(zlib.crc32(ids[at[i] + k : at[i] + k + n - last].tobytes() + b"\0\0\0\0" * bool(last)))
                 yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row)), *fields, pa.array(crc, pa.int64())], names=["id", *names, "ids_crc32"])
+            give_back()
 
     wanted = _store.store(cuts.groupBy("id", "key").agg(F.collect_list(F.struct(*names)).alias("cuts")), "pack-cuts")  # at most the text's windows, and a few parts of its remainder
     n_wanted = wanted.count()
