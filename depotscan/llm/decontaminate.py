@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _store
-from ._text import LOWER, SPACE, pieces, raw
+from ._text import LOWER, SPACE, give_back, pieces, raw
 
 #: Bytes of item text in a broadcast block.
 BLOCK_BYTES = 8_000_000
@@ -56,8 +56,8 @@ def grams(data: np.ndarray, q: int) -> np.ndarray:
     return x[: len(data) - q + 1] * _A + x[q - run :] * _B
 
 
-def inside_word(byte: int) -> bool:
-    return byte >= 128 or chr(byte).isalnum()
+#: Bytes that belong to words.
+WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 
 def align(item: np.ndarray, text: np.ndarray, row: np.ndarray | None = None) -> tuple[int, int]:
@@ -128,8 +128,12 @@ class Items:
         self.edits = (size * rate).astype(np.int64)
         own = np.minimum((size + 1) // (self.edits + 2), q)  # so that at least q shared grams are needed
         self.need = size + 1 - own * (self.edits + 1)
-        self.short = [i for i, t in enumerate(self.text) if len(t) < q and not self.edits[i]]
-        own[self.short] = 0
+        short = (size < q) & (self.edits == 0)
+        own[short] = 0
+        self.short = [Table(int(n), np.flatnonzero(short & (size == n)), self.text) for n in np.unique(size[short])]
+        self.letters = np.zeros((len(size), max(size[short], default=0)), np.uint8)
+        for i in np.flatnonzero(short):
+            self.letters[i, : size[i]] = self.text[i]
         self.tables = [Table(int(n), np.flatnonzero(own == n), self.text) for n in np.unique(own) if n]
 
     def search(self, column: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
@@ -168,16 +172,17 @@ class Items:
                     match = (edits, a + start, a + end)
                 if (r, i) not in best or match < best[r, i]:
                     best[r, i] = match
-        blob = data.tobytes() if self.short else b""
-        for i in self.short:
-            text, spot = self.text[i].tobytes(), -1
-            while (spot := blob.find(text, spot + 1)) >= 0:
-                r, end = int(np.searchsorted(rows, spot, side="right")) - 1, spot + len(text)
-                before = spot > rows[r] and inside_word(blob[spot - 1]) and inside_word(text[0])
-                after = end < rows[r + 1] and inside_word(blob[end]) and inside_word(text[-1])
-                if end <= rows[r + 1] and not before and not after:
-                    best[r, i] = (0, spot, end)
-                    spot = int(rows[r + 1]) - 1  # the first place in each text
+        for table in self.short:  # items of one length, each a gram of its own
+            item, row, at, _ = table.hits(data, rows)
+            end = at + table.q
+            same = np.ones(len(at), bool)
+            for k in range(table.q):
+                same &= data[at + k] == self.letters[item, k]
+            before = (at > rows[row]) & WORD[data[at - 1]] & WORD[data[at]]
+            after = (end < rows[row + 1]) & WORD[data[np.minimum(end, len(data) - 1)]] & WORD[data[end - 1]]
+            good = same & ~before & ~after
+            _, once = np.unique(row[good] * len(self.ids) + item[good], return_index=True)  # the first place in each text
+            best |= {(r, i): (0, x, x + table.q) for r, i, x in zip(*(v[good][once].tolist() for v in (row, item, at)), strict=True)}
         for (r, i), (edits, start, end) in sorted(best.items()):
             here = whole[whole_rows[r] : whole_rows[r + 1]]
             lead = np.concatenate([[0], np.cumsum((here & 0xC0) != 0x80)])
@@ -208,6 +213,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 12, rate: float
                     found = list(sought.search(part.column(1)))
                     row, item, edits, start, stop = zip(*found, strict=True) if found else ((),) * 5
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int32())), pa.array([sought.ids[i] for i in item], to_arrow_type(kind)), pa.array(edits, pa.int64()), pa.array(start, pa.int64()), pa.array(stop, pa.int64())], names=["id", "item", "edits", "start", "stop"])
+                give_back()
 
         found = slim.mapInArrow(run, f"id {id_type}, item {item_type}, edits long, start long, stop long")
         if blocks == 1:
