@@ -1,8 +1,9 @@
 """Secret scan: candidates from texts, a random forest that removes false positives.
 
 Candidates are runs of 16 or more token characters with a letter and a digit, cut at each '=' (padding is no part of a
-candidate, every part of 16 characters or more is one), values assigned to names such as password, passwords in URLs,
-and the bodies of PEM blocks. Each has a row of features: length, character transitions (rate of changes between lower
+candidate, every part of 16 characters or more is one), values assigned to names that end in password, pass, token, key
+and the like (quoted ones whole, others of 4 characters or more up to a blank, quote, comma or semicolon), passwords in
+URLs whose scheme has at most 21 characters, of any length, and the bodies of PEM blocks, ended or cut off. Each has a row of features: length, character transitions (rate of changes between lower
 case, upper case, digits and signs, and mean likelihood of its letter pairs among harmless values), entropy, dictionary
 coverage, the forms of digests, of vendors' tokens, of URL passwords and of PEM blocks, path, and neighbouring words.
 The forest is Spark ML's, trained on a table of labelled findings; the pair likelihoods come from its harmless rows.
@@ -41,10 +42,12 @@ WORDS = ("account", "address", "branch", "build", "client", "cluster", "commit",
 
 _run = re.compile(r"[A-Za-z0-9_+/=.\-]{16,}")
 _part = re.compile(r"[^=]+")
-_assigned = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?[\t ]{0,3}[:=][\t ]{0,3}[\"']?([^\s\"',;]{6,})")
-_url = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]{1,20}://[^\s/:@\"']{0,64}:([^\s/@\"']{4,128})@")
-_pem = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})-----([A-Za-z0-9+/=\s\\]{16,}+)-----END ")
-_name = re.compile(r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|key|auth|bearer|credentials?)[\"'\s]*[:=]*>?[\"'\s]*$")
+#: Names that secrets are given, for candidates and features alike; a longer name may end in one, as DB_PASS does.
+NAMES = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|key|auth(?:orization)?|bearer|credentials?)"
+_assigned = re.compile(rf"(?i){NAMES}[\"']?[\t ]{{0,3}}(?:=>|:=|[:=])[\t ]{{0,3}}(?:\"([^\"\r\n]+)\"|'([^'\r\n]+)'|([^\s\"',;]{{4,}}))")
+_url = re.compile(r"(?<![A-Za-z0-9+.\-])[A-Za-z][A-Za-z0-9+.\-]{0,20}://[^\s/:@\"']*:([^\s/@\"']+)@")
+_pem = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})-----([A-Za-z0-9+/=\s\\]{16,}+)(?:-----END |\Z)")
+_name = re.compile(rf"(?i){NAMES}[\"'\s]*[:=]*>?[\"'\s]*$")
 _digest = re.compile(r"(?i)(sha-?\d*|md5|commit|digest|checksum|revision|integrity|etag|uuid|hash|tree|parent)[\"'\s]*[:=]*[\"'\s]*$")
 _digest_form = re.compile(r"(?i)(sha\d{1,3}|md5)[-:=]")
 _vendor = re.compile(r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abeprs]-|sk_(live|test)_|rk_live_|AIza|npm_|pypi-|SG\.|eyJ|hf_|dop_v1_")
@@ -68,7 +71,8 @@ def dictionary(path: str) -> frozenset[str]:
 
 def candidates(text: str) -> list[tuple[int, int]]:
     """(start, end) of each candidate, sorted, without overlaps (the earlier and longer one stays)."""
-    found = [m.span(1) for pattern in (_assigned, _url) for m in pattern.finditer(text)]
+    found = [m.span(m.lastindex) for m in _assigned.finditer(text) if m.lastindex < 3] + [m.span(1) for m in _url.finditer(text)]
+    found += [(m.start(3), m.start(3) + n) for m in _assigned.finditer(text) if m[3] and (n := len(m[3].rstrip("=")))]
     if "-----BEGIN " in text:
         found += [m.span(2) for m in _pem.finditer(text)]
     for run in _run.finditer(text):
@@ -142,7 +146,8 @@ def labelled_findings(spark: SparkSession, copies: int = 40) -> DataFrame:
         lambda: ("hook ", f"xoxp-{some('0123456789', 11)}-{some('0123456789', 12)}-{some(alnum, 24)}", " ", paths), lambda: ("", "sk_live_" + some(alnum, 24), " ", paths), lambda: ("maps ", "AIza" + some(alnum + "-_", 35), " ", paths), lambda: ("", "glpat-" + some(alnum + "-_", 20), " ", paths),
         lambda: (f"{dice.choice(['mysql', 'redis', 'https'])}://{word()}:", some(alnum, dice.integers(8, 20)), f"@{host()}/", paths), lambda: (f"mongodb://{word()}:", word().capitalize() + some("0123456789!", 4), f"@{host()}", paths),
         lambda: ("-----BEGIN RSA PRIVATE KEY-----", "\n" + "\n".join(some(base64, 64) for _ in range(6)) + "\n", "-----END RSA PRIVATE KEY-----", paths), lambda: ("cookie=", "eyJ" + some(alnum, 33) + "." + some(alnum, 40) + "." + some(alnum + "-_", 43), " ", paths),
-        lambda: (f"{word().upper()}_SECRET=", some(base64, 43), "= ", paths), lambda: (f"export {word().upper()}_TOKEN=", some(hexes, 32), " ", paths),
+        lambda: (f"{word().upper()}_SECRET=", some(base64, 43), "= ", paths), lambda: (f"{word().upper()}_PASS=", word() + some("0123456789", dice.integers(1, 4)), "\n", paths), lambda: ("password: ", some("abcdefghijklmnopqrstuvwxyz", dice.integers(5, 9)) + some("0123456789", dice.integers(1, 4)), " ", paths),
+        lambda: ('passphrase = "', f"{word()} {word()} {word()} {some('0123456789', 2)}", '"', paths), lambda: ("pass=", word().capitalize() + some("0123456789", 1) + some("!#%&@", 1) + some(alnum, 4), " ", paths), lambda: (f"{dice.choice(['credentials', 'auth'])}: '", some(alnum + "!#%:", dice.integers(10, 24)), "'", paths), lambda: (f"amqp://{word()}:", some(alnum + "%!", dice.integers(20, 200)), f"@{host()}", paths), lambda: (f"export {word().upper()}_TOKEN=", some(hexes, 32), " ", paths),
     ]
     harmless = [
         lambda: ("sha256: ", some(hexes, 64), " ", paths), lambda: ("commit ", some(hexes, 40), " ", paths), lambda: ("see ", f"{word()}/{word()}/{word()}-{some('0123456789', 2)}.html", " ", paths), lambda: ("", f"{word()}_{word()}_{word()}{some('0123456789', 1)}", " ", paths),
@@ -151,7 +156,7 @@ def labelled_findings(spark: SparkSession, copies: int = 40) -> DataFrame:
         lambda: ("", f"www.{word()}{some('0123456789', 1)}.{word()}.com/{word()}", " ", paths), lambda: ("", some("aeionrstlh", 14) + some("0123456789", 3), " ", paths),
         lambda: ('"integrity": "', f"sha512-{some(base64, 86)}", '==" ', paths), lambda: ("integrity=", f"sha384-{some(base64, 64)}", " ", paths), lambda: ("FROM image@", f"sha256:{some(hexes, 64)}", " ", paths), lambda: ("etag: ", some(hexes, 32), " ", paths),
         lambda: ("-----BEGIN CERTIFICATE-----", "\n" + "\n".join(some(base64, 64) for _ in range(6)) + "\n", "-----END CERTIFICATE-----", paths), lambda: ("-----BEGIN PUBLIC KEY-----", "\n" + "\n".join(some(base64, 64) for _ in range(4)) + "\n", "-----END PUBLIC KEY-----", paths), lambda: ("postgres://user:", "${DB_" + word().upper() + "}", f"@{host()}", paths),
-        lambda: ("password: ", "<your-password>", " ", paths), lambda: ("secret: ", "${" + word().upper() + "_SECRET}", " ", paths), lambda: ("secret: ", "{{" + word() + "_secret}}", " ", paths), lambda: ("", f"{host()}:{some('0123456789', 4)}/{word()}", " ", paths), lambda: ("data:image/png;base64,", some(base64, 60), " ", paths), lambda: ("token: ", f"{word()}_{word()}", " ", paths), lambda: ("password = get_", f"{word()}_{word()}()", " ", paths),
+        lambda: ("password: ", "<your-password>", " ", paths), lambda: ("secret: ", "${" + word().upper() + "_SECRET}", " ", paths), lambda: ("secret: ", "{{" + word() + "_secret}}", " ", paths), lambda: ("", f"{host()}:{some('0123456789', 4)}/{word()}", " ", paths), lambda: ("data:image/png;base64,", some(base64, 60), " ", paths), lambda: ("token: ", f"{word()}_{word()}", " ", paths), lambda: ("key: ", word(), " ", paths), lambda: (f"{word()}_key = ", f"{word()}_id", " ", paths), lambda: ('key="', f"{word()} {word()}", '"', paths), lambda: ("auth: ", str(dice.choice(["true", "none", "basic", "required", "optional"])), " ", paths), lambda: ("password: ", str(dice.choice(["required", "string", "None", "null", "false", "input", "hidden"])), " ", paths), lambda: ('placeholder password: "', f"{word()} your {word()} here", '"', paths), lambda: ("pass: ", f"{word()} {word()}".split()[0], " ", paths), lambda: ("key = ", f"{word()}.{word()}[{some('0123456789', 1)}]", " ", paths), lambda: ("password = get_", f"{word()}_{word()}()", " ", paths),
         lambda: ("", f"{word()}{word().capitalize()}{word().capitalize()}{some('0123456789', 2)}", " ", paths), lambda: ("id=", some("0123456789", 18) + "a", " ", paths),
     ]
     rows = []
