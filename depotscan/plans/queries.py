@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -369,20 +370,26 @@ def _(t: Tables) -> DataFrame:
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
 
 
-@query("dependency_rows", "SELECT l_orderkey AS package_id, CASE WHEN l_returnflag = 'A' THEN 'provide' ELSE 'require' END AS kind, l_linenumber AS flags, l_linestatus AS capability, CAST(l_partkey AS VARCHAR) AS version FROM lineitem WHERE l_returnflag <> 'R'")
+@query("dependency_rows", """WITH l AS (SELECT l_orderkey AS package_id, CASE WHEN l_returnflag = 'A' THEN 'provide' ELSE 'require' END AS kind, l_linenumber AS flags, l_linestatus AS capability, CAST(l_partkey AS VARCHAR) AS version, l_returnflag, CASE WHEN l_returnflag = 'A' THEN l_orderkey % 5 ELSE l_orderkey % 7 END = 0 AS odd FROM lineitem)
+    SELECT package_id, kind, flags, capability, version, true AS good FROM l WHERE l_returnflag <> 'R' AND NOT odd UNION ALL SELECT DISTINCT l_orderkey, 'provide', NULL, NULL, NULL, false FROM lineitem WHERE l_orderkey % 5 = 0
+    UNION ALL SELECT DISTINCT l_orderkey, 'require', NULL, NULL, NULL, false FROM lineitem WHERE l_orderkey % 7 = 0""")
 def _(t: Tables) -> DataFrame:
     lists = lambda flag: [F.collect_list(F.when(C("l_returnflag") == flag, F.struct(C("l_linenumber").alias("f"), C("l_linestatus").alias("n"), C("l_partkey").cast("string").alias("v")))).alias(flag)]
     heads = t.lineitem.groupBy(C("l_orderkey").alias("package_id")).agg(*lists("N"), *lists("A"))
     none = L(None).cast("array<string>")
     cols = {"require_flags": C("N.f"), "require_name": C("N.n"), "require_version": C("N.v"), "provide_flags": C("A.f"), "provide_name": C("A.n"), "provide_version": C("A.v")}
     cols |= {f"{k}_{c}": (none.cast("array<int>") if c == "flags" else none) for k in ("conflict", "obsolete") for c in ("flags", "name", "version")}
-    return ingest.dependency_rows(heads.withColumns(cols))[0]
+    rows, errors = ingest.dependency_rows(heads.withColumns(cols).withColumn("provide_name", F.when(C("package_id") % 5 == 0, F.array_append("provide_name", L("x"))).otherwise(C("provide_name"))).withColumn("require_version", F.when(C("package_id") % 7 != 0, C("require_version"))))
+    return rows.withColumn("good", L(True)).unionByName(errors.withColumn("good", L(False)), allowMissingColumns=True)
 
 
-@query("script_rows", "SELECT conv_id AS package_id, CASE WHEN turn = 0 THEN 'prein' ELSE 'postin' END AS kind, min(sha256(text)) AS script FROM conversations WHERE turn < 2 GROUP BY conv_id, turn")
+_KINDS = ", ".join(f"'{k}'" for k in ingest.SCRIPT_KINDS)
+
+
+@query("script_rows", f"SELECT conv_id AS package_id, list_value({_KINDS})[turn % {len(ingest.SCRIPT_KINDS)} + 1] AS kind, min(sha256(text)) AS script FROM conversations GROUP BY conv_id, turn % {len(ingest.SCRIPT_KINDS)}")
 def _(t: Tables) -> DataFrame:
-    one = lambda n: F.min(F.when(C("turn") == n, F.sha2("text", 256)))
-    heads = t.conversations.groupBy(C("conv_id").alias("package_id")).agg(one(0).alias("prein_script"), one(1).alias("postin_script"))
+    one = lambda n: F.min(F.when(C("turn") % len(ingest.SCRIPT_KINDS) == n, F.sha2("text", 256)))
+    heads = t.conversations.groupBy(C("conv_id").alias("package_id")).agg(*(one(n).alias(f"{k}_script") for n, k in enumerate(ingest.SCRIPT_KINDS)))
     blank = {f"{k}_{c}": L(None).cast("string" if c == "script" else "array<string>") for k in ingest.SCRIPT_KINDS for c in ("script", "prog") if f"{k}_{c}" not in heads.columns}
     return ingest.script_rows(heads.withColumns(blank)).select("package_id", "kind", "script")
 
@@ -422,11 +429,11 @@ def _(t: Tables) -> DataFrame:
     return extract.pom_urls(t.supplier.select(C("s_suppkey").alias("doc_id"), F.when(C("s_suppkey") % 10 == 3, F.concat(text, L("<"))).otherwise(text).alias("xml"))).select("doc_id", "url", "type")
 
 
-@query("xml_errors", "SELECT s_suppkey AS doc_id, 'entity declaration' AS message, 2 AS line FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT s_suppkey, 'mismatched tag', 3 FROM supplier WHERE s_suppkey % 3 = 1")
+@query("xml_errors", "SELECT s_suppkey AS doc_id, 'entity declaration' AS message, 2 AS line, NULL AS context FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT s_suppkey, 'mismatched tag', 3, right('<project>' || chr(10) || '<a>' || chr(10) || s_name || '</', 50) || '|b></project>' FROM supplier WHERE s_suppkey % 3 = 1")
 def _(t: Tables) -> DataFrame:
     k = C("s_suppkey") % 3
     text = F.when(k == 0, F.concat(L("<!DOCTYPE p [\n<!ENTITY a 'b'>]>\n<project>"), C("s_name"), L("</project>"))).when(k == 1, F.concat(L("<project>\n<a>\n"), C("s_name"), L("</b></project>"))).otherwise(_pom(C("s_name"), C("s_suppkey")))
-    return extract.xml_errors(t.supplier.select(C("s_suppkey").alias("doc_id"), text.alias("xml")))[1].select("doc_id", "message", "line")
+    return extract.xml_errors(t.supplier.select(C("s_suppkey").alias("doc_id"), text.alias("xml")))[1].select("doc_id", "message", "line", F.when(C("line") == 3, F.concat(C("before").cast("string"), L("|"), C("after").cast("string"))).alias("context"))
 
 
 def _python(t: Tables) -> DataFrame:
@@ -453,14 +460,14 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("elf_facts_flatten", """SELECT 'definition' AS fact, l_orderkey AS contents_id, l_linestatus AS name, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL UNION ALL SELECT 'reference', l_orderkey, l_linestatus, count(*) FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL
-    UNION ALL SELECT 'needed', l_orderkey, l_linestatus, count(*) FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY ALL UNION ALL SELECT 'dynamic', l_orderkey, CAST(l_linenumber AS VARCHAR), count(*) FROM lineitem WHERE l_linenumber % 2 = 1 AND l_linenumber <> 1 GROUP BY ALL""")
+    UNION ALL SELECT CASE l_linenumber WHEN 2 THEN 'rpath' WHEN 4 THEN 'runpath' ELSE 'needed' END, l_orderkey, l_linestatus, count(*) FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY ALL UNION ALL SELECT 'dynamic', l_orderkey, CAST(l_linenumber AS VARCHAR), count(*) FROM lineitem WHERE l_linenumber % 2 = 1 AND l_linenumber <> 1 GROUP BY ALL""")
 def _(t: Tables) -> DataFrame:
     n = C("l_linenumber")
     symbol = F.struct(F.when(C("l_returnflag") == "N", "").otherwise(C("l_linestatus")).alias("name"), L(None).cast("string").alias("version"), (C("l_returnflag") == "R").alias("defined"), n.alias("section"), n.alias("other"))
-    entry = F.struct(F.when(n % 2 == 0, "needed").otherwise("other").alias("kind"), C("l_linestatus").alias("text"), F.when(n == 1, 0).otherwise(n).cast("long").alias("tag"), L(0).cast("long").alias("value"))
+    entry = F.struct(F.when(n == 2, "rpath").when(n == 4, "runpath").when(n % 2 == 0, "needed").otherwise("other").alias("kind"), C("l_linestatus").alias("text"), F.when(n == 1, 0).otherwise(n).cast("long").alias("tag"), L(0).cast("long").alias("value"))
     found = extract.elf_facts_flatten(t.lineitem.groupBy(C("l_orderkey").alias("contents_id")).agg(F.collect_list(symbol).alias("symbols"), F.collect_list(entry).alias("dynamic")))
-    parts = [df.select(L(k).alias("fact"), "contents_id", C(c).cast("string").alias("name")) for k, df, c in (("definition", found.definitions, "name"), ("reference", found.references, "name"), ("needed", found.needed, "name"), ("dynamic", found.dynamic, "tag"))]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    parts = [df.select(L(k).alias("fact"), "contents_id", C(c).cast("string").alias("name")) for k, df, c in (("definition", found.definitions, "name"), ("reference", found.references, "name"), ("needed", found.needed, "name"), ("rpath", found.rpath, "path"), ("runpath", found.runpath, "path"), ("dynamic", found.dynamic, "tag"))]
+    rows = reduce(DataFrame.unionByName, parts)
     return rows.groupBy("fact", "contents_id", "name").agg(F.count("*").alias("n"))
 
 

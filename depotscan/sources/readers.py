@@ -46,9 +46,11 @@ def repo_primary_scan(spark: SparkSession, paths: str | list[str], base_url: str
 
 
 def repo_primary_validate(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good rows with a numeric epoch, bad rows with a reason): the first required field that is missing or wrong."""
+    """(good rows with a numeric epoch, bad rows with a reason): the first required field that is missing or wrong. A blank
+    epoch reads as 0; a missing one stays null, which orders as 0; a negative one or one that isn't a 32-bit number is wrong."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
-    epoch = F.col("epoch").try_cast("int")
+    text = S.strip(F.col("epoch").cast("string"))
+    epoch = F.when(text == "", 0).otherwise(text.try_cast("int"))
     bad_epoch = F.col("epoch").isNotNull() & (epoch.isNull() | (epoch < 0))
     reason = F.when(F.col("type") != "rpm", "type")
     for c in ("name", "arch", "version", "href", "checksum", "size"):

@@ -547,3 +547,11 @@ def test_symbols_of_many_libraries_are_dealt_to_blocks(spark):
     got = rows(found.select("name", "path_1", "path_2"))
     want = sorted([("hot", f"/usr/lib64/l{a}.so", f"/usr/lib64/l{b}.so") for a in range(n) for b in range(a + 1, n) if a % 50 != b % 50] + [("cold", f"/usr/lib64/l{a}.so", f"/usr/lib64/l{b}.so") for a in range(3) for b in range(a + 1, 3)])
     assert got == want and rows(audit.symbol_collisions(cat, "s")) == rows(found)
+
+
+def test_epochs_of_listings(spark):
+    cases = {"0": 0, " 7 ": 7, "": 0, " ": 0, None: None, "-1": "bad", "1x": "bad", "2147483648": "bad", "2147483647": 2147483647}
+    df = spark.createDataFrame([("rpm", "n", "x", e, "1", "h", "c", 5) for e in cases], "type string, name string, arch string, epoch string, version string, href string, checksum string, size long")
+    good, bad = readers.repo_primary_validate(df)
+    assert sorted(map(str, (r.epoch for r in good.collect()))) == sorted(str(v) for v in cases.values() if v != "bad")
+    assert {(r.epoch, r.reason) for r in bad.collect()} == {(k, "epoch") for k, v in cases.items() if v == "bad"}
