@@ -18,6 +18,7 @@ none); repeated rows match each; empty tables give an empty result; texts are re
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -32,6 +33,8 @@ from ._text import LOWER, SPACE, give_back, pieces, raw
 #: Bytes of item text in a broadcast block.
 BLOCK_BYTES = 8_000_000
 TABLE_BITS = 20
+#: Pairs that are aligned at a time; bounds memory.
+ALIGNED = 1024
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -60,26 +63,34 @@ def grams(data: np.ndarray, q: int) -> np.ndarray:
 WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 
-def align(item: np.ndarray, text: np.ndarray, row: np.ndarray | None = None) -> tuple[int, int]:
-    """(edits, end in text) of the best placing of the item in the text, along the diagonals 0 to len(text) - len(item); row has what it costs to start on each, nothing by default."""
-    band = len(text) - len(item)
+def align(items: np.ndarray, texts: np.ndarray, row: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(edits, end in text) of the best placing of each item in its text, all items and all texts of one length, along the diagonals 0 to len(text) - len(item); row has what it costs to start on each, nothing by default."""
+    band = texts.shape[1] - items.shape[1]
     slope = np.arange(band + 1)
-    row = np.zeros(band + 1, np.int64) if row is None else row
-    for i, c in enumerate(item):
-        changed = row + (text[i : i + band + 1] != c)
-        changed[:-1] = np.minimum(changed[:-1], row[1:] + 1)
-        row = np.minimum.accumulate(changed - slope) + slope
-    best = int(row.argmin())
-    return int(row[best]), len(item) + best
-
-
-def length_before(item: np.ndarray, text: np.ndarray, e: int) -> int:
-    """How much of the text's end the item takes when it is aligned to it there, with at most e edits."""
-    tail = text[max(0, len(text) - len(item) - e) :][::-1]
-    padded = np.zeros(len(item) + 2 * e, np.uint8)
-    padded[e : e + len(tail)] = tail
+    row = np.zeros((len(items), band + 1), np.int64) if row is None else row
+    for i in range(items.shape[1]):
+        changed = row + (texts[:, i : i + band + 1] != items[:, i : i + 1])
+        changed[:, :-1] = np.minimum(changed[:, :-1], row[:, 1:] + 1)
+        row = np.minimum.accumulate(changed - slope, axis=1) + slope
+    best = row.argmin(axis=1)
+    return row[np.arange(len(items)), best], items.shape[1] + best
+
+
+def padded(texts: list[np.ndarray], size: int) -> np.ndarray:
+    """Texts as rows of that many bytes, zeros behind."""
+    found = np.zeros((len(texts), size), np.uint8)
+    for r, t in zip(found, texts, strict=True):
+        r[: len(t)] = t
+    return found
+
+
+def lengths_before(items: np.ndarray, texts: list[np.ndarray], e: int) -> np.ndarray:
+    """How much of each text's end its item takes when it is aligned to it there, with at most e edits."""
+    size = items.shape[1]
+    tails = padded([t[max(0, len(t) - size - e) :][::-1] for t in texts], size + e)
     shift = np.arange(-e, e + 1)
-    return align(item[::-1], padded, np.where(shift < 0, len(padded), shift))[1] - e
+    start = np.broadcast_to(np.where(shift < 0, size + 2 * e, shift), (len(items), 2 * e + 1))
+    return align(items[:, ::-1], np.pad(tails, ((0, 0), (e, 0))), start)[1] - e
 
 
 class Table:
@@ -141,6 +152,11 @@ class Items:
         whole, whole_rows = raw(column)
         data, rows, place = normalised(whole, whole_rows)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
+
+        def keep(r: int, i: int, match: tuple[int, int, int]) -> None:
+            if (r, i) not in best or match < best[r, i]:
+                best[r, i] = match
+
         for table in self.tables:
             item, row, at, place_in = table.hits(data, rows)
             width = self.edits[item] + 1
@@ -151,27 +167,28 @@ class Items:
             owner, band = keys // span, keys % span
             item = owner % len(self.ids)
             good = counts >= self.need[item]
-            for pair, k, i in zip(owner[good], band[good], item[good], strict=True):
-                r = int(pair // len(self.ids))
-                text, e, low = self.text[i], int(self.edits[i]), int(k) * (int(self.edits[i]) + 1) - len(data)
+            near: dict[tuple[int, int], list[tuple[int, int, int, int]]] = defaultdict(list)  # by length and edits
+            for pair, k, i in zip(owner[good].tolist(), band[good].tolist(), item[good].tolist(), strict=True):
+                r = pair // len(self.ids)
+                text, e = self.text[i], int(self.edits[i])
+                low = k * (e + 1) - len(data)
                 a = max(int(rows[r]), low - e)
                 b = min(int(rows[r + 1]), low + 2 * (e + 1) + len(text) + e)
-                region = data[a:b]
-                spot = region.tobytes().find(text.tobytes())
+                spot = data[a:b].tobytes().find(text.tobytes())
                 if spot >= 0:
-                    match = (0, a + spot, a + spot + len(text))
-                else:
-                    region = np.concatenate([region, np.zeros(e, np.uint8)])  # an item may end, cut short, where the text ends
-                    if len(region) < len(text):
-                        continue
-                    edits, end = align(text, region)
-                    if edits > e:
-                        continue
-                    end = min(end, b - a)
-                    start = max(0, end - length_before(text, region[:end], e))
-                    match = (edits, a + start, a + end)
-                if (r, i) not in best or match < best[r, i]:
-                    best[r, i] = match
+                    keep(r, i, (0, a + spot, a + spot + len(text)))
+                elif b - a + e >= len(text):  # an item may end, cut short, where the text ends
+                    near[len(text), e].append((r, i, a, b))
+            for (size, e), pairs in near.items():
+                for at in range(0, len(pairs), ALIGNED):
+                    some = pairs[at : at + ALIGNED]
+                    texts = np.stack([self.text[i] for _, i, _, _ in some])
+                    edits, end = align(texts, padded([data[a:b] for _, _, a, b in some], max(b - a for _, _, a, b in some) + e))
+                    good = np.flatnonzero(edits <= e)
+                    some, end = [some[i] for i in good], [min(int(end[i]), some[i][3] - some[i][2]) for i in good]
+                    before = lengths_before(texts[good], [data[a : a + x] for (_, _, a, _), x in zip(some, end, strict=True)], e)
+                    for (r, i, a, _), cost, x, n in zip(some, edits[good].tolist(), end, before.tolist(), strict=True):
+                        keep(r, i, (cost, a + max(0, x - n), a + x))
         for table in self.short:  # items of one length, each a gram of its own
             item, row, at, _ = table.hits(data, rows)
             end = at + table.q
@@ -183,9 +200,11 @@ class Items:
             good = same & ~before & ~after
             _, once = np.unique(row[good] * len(self.ids) + item[good], return_index=True)  # the first place in each text
             best |= {(r, i): (0, x, x + table.q) for r, i, x in zip(*(v[good][once].tolist() for v in (row, item, at)), strict=True)}
+        last = -1
         for (r, i), (edits, start, end) in sorted(best.items()):
-            here = whole[whole_rows[r] : whole_rows[r + 1]]
-            lead = np.concatenate([[0], np.cumsum((here & 0xC0) != 0x80)])
+            if r != last:
+                here, last = whole[whole_rows[r] : whole_rows[r + 1]], r
+                lead = np.concatenate([[0], np.cumsum((here & 0xC0) != 0x80)])
             stop = int(place[end - 1]) + 1 if end > start else int(place[start])
             yield r, int(i), edits, int(lead[place[start] - whole_rows[r]]), int(lead[stop - whole_rows[r]])
 

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -521,6 +522,32 @@ def test_decontamination_searches_short_items_and_holds_the_rate(spark):
     assert {(r.doc_id, r.item_id, r.start, r.stop) for r in got.collect()} == {(1, 1, 3, 34), (3, 2, 12, 15), (4, 4, 3, 6), (6, 2, 0, 3)}
 
 
+def test_decontamination_of_many_short_items():
+    """Every length from 1 to 60 against brute force, and the cost of thousands of items for each text."""
+    dice = random.Random(60)
+    word = lambda: "".join(dice.choice("abcdefghij") for _ in range(dice.randrange(1, 8)))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(12)] + [""]
+    items = [(n, (dice.choice(texts[:12]) * 2)[dice.randrange(40) :][:n].strip()) for n in range(1, 61)]
+    items = [(n, t if n % 3 else t[: n // 2] + "x" + t[n // 2 + 1 :]) for n, t in items]
+    found = {(r, i): e for r, i, e, _, _ in decontaminate.Items(items, 12, 0.08, 1).search(decontaminate.pa.array(texts))}
+    ids = decontaminate.Items(items, 12, 0.08, 1).ids
+    want = {}
+    for k, i in enumerate(ids):
+        item = re.sub(" +", " ", dict(items)[i]).strip()
+        for r, t in enumerate(texts):
+            if len(item) < 12:
+                if re.search(r"(?<![a-z0-9])" * item[:1].isalnum() + re.escape(item) + r"(?![a-z0-9])" * item[-1:].isalnum(), t):
+                    want[r, k] = 0
+            elif (e := least_edits(item, t)) <= int(len(item) * 0.08):
+                want[r, k] = e
+    assert found == want and len(want) > 50, (set(found.items()) ^ set(want.items()), [dict(items)[i] for i in ids][:20])
+    many = decontaminate.Items([(i, " ".join(word() for _ in range(dice.randrange(2, 7)))[: dice.randrange(8, 36)]) for i in range(20_000)], 12, 0.08, 1)
+    column = decontaminate.pa.array([" ".join(word() for _ in range(30_000))])
+    start = time.thread_time()
+    assert sum(1 for _ in many.search(column)) < 20_000
+    assert time.thread_time() - start < 2  # 0.13 MB
+
+
 def test_registered_decontamination_leaves_out_no_short_item(spark, tmp_path):
     from depotscan.llm.queries import op7_decontamination
 
