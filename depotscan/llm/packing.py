@@ -40,14 +40,15 @@ from ._text import chunk_codes, gather, give_back, pieces
 #: Rows in a ranking block at most, about; it sets the size of sort groups and changes no result's validity.
 BLOCK = 20_000
 #: Bytes of chunks and ids that a worker remembers, about; beyond half of it the older half is forgotten. It changes no result.
-REMEMBERED = 24_000_000
+REMEMBERED = 40_000_000
 #: How byte-level vocabularies write a blank.
 BLANK = "\u0120"
 #: White space before a blank: such texts are not cut at blanks.
 _PAIR = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
 
 
-_letters = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+").fullmatch
+#: A word of letters, maybe with the blank that says that it starts a line.
+_word = re.compile(r" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+").fullmatch
 #: A line feed with a blank, or nothing, on one side.
 _odd_feed = re.compile(r"^\n|\s\n|\n\s|\n$").search
 
@@ -84,28 +85,31 @@ class Chunks:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def get(self, chunk: str) -> bytes:
-        """The ids of ' ' + chunk. No chunk has a blank; one in front says that it starts a line."""
+        """The ids of ' ' + chunk. No chunk has a blank; one in front says that it starts a line. Only what is left of a chunk without marks and lines is remembered, so a word takes one place however it ends."""
         found = self.young.get(chunk)
+        if found is not None:
+            return found
+        mark = self.marks.get(chunk[-1:])
+        if mark and _word(chunk, 0, len(chunk) - 1):
+            return self.get(chunk[:-1]) + mark
+        if "\n" in chunk and not _odd_feed(chunk):
+            head, *lines = chunk.split("\n")
+            return self.get(head) + b"".join([self.get(" " + x) for x in lines])
+        found = self.old.get(chunk)
         if found is None:
-            found = self.old.get(chunk)
-            if found is None:
-                found = self.make(chunk)
-            self.young[chunk] = found
-            self.size += 200 + len(chunk) + len(found)
-            if self.size > REMEMBERED // 2:
-                self.old, self.young, self.size = self.young, {}, 0
+            found = self.make(chunk)
+        self.young[chunk] = found
+        self.size += 200 + len(chunk) + len(found)
+        if self.size > REMEMBERED // 2:
+            self.old, self.young, self.size = self.young, {}, 0
         return found
 
     def make(self, chunk: str) -> bytes:
         blank, rest = ("", chunk[1:]) if chunk[:1] == " " else (" ", chunk)
-        body, mark = (rest[:-1], self.marks[rest[-1]]) if rest[-1:] in self.marks else (rest, b"")
-        if body.isascii() and body.isalpha():
-            found = array("I", [t.id for t in self.merge(BLANK + body if blank else body)]).tobytes() + mark
-        elif _letters(body):
-            found = array("I", [t.id for t in self.merge((blank + body).translate(self.letters))]).tobytes() + mark
-        elif "\n" in rest and not _odd_feed(rest):
-            head, *lines = rest.split("\n")
-            return self.get(chunk[: len(chunk) - len(rest)] + head) + b"".join([self.get(" " + x) for x in lines])
+        if rest.isascii() and rest.isalpha():
+            found = array("I", [t.id for t in self.merge(BLANK + rest if blank else rest)]).tobytes()
+        elif rest and _word(rest):
+            found = array("I", [t.id for t in self.merge((blank + rest).translate(self.letters))]).tobytes()
         else:
             found = self.ids(blank + rest)
         return found if blank else self.feed + found
@@ -140,7 +144,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, window: int, id_col: str, tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text", 1 << 19):
+            for part in pieces(batch, "text", 1 << 20):
                 row, start, length, crc, total = [], [], [], [], []
                 ids, at = token_ids(part.column("text"), vocabulary)
                 data, at = ids.tobytes(), at.tolist()
@@ -171,7 +175,7 @@ def cut_pieces(docs: DataFrame, cuts: DataFrame, vocabulary: str, id_col: str, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text", 1 << 19):
+            for part in pieces(batch, "text", 1 << 20):
                 ids, at = token_ids(part.column("text"), vocabulary)
                 asked = part.column("cuts")
                 row = np.repeat(np.arange(part.num_rows), asked.value_lengths().to_numpy(zero_copy_only=False))
