@@ -102,21 +102,6 @@ def run_hashes(word: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     return mix(h)
 
 
-def chunk_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(code of each blank-separated chunk, row offsets, the chunk of each code) of texts without nulls; a text has a chunk more than blanks."""
-    lists = pc.split_pattern(column, " ")
-    flat = lists.flatten().dictionary_encode()
-    rows = np.concatenate([np.zeros(1, np.int64), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-    return flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), rows, flat.dictionary.to_pylist()
-
-
-def gather(values: np.ndarray, sizes: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the runs of values that codes name, one after the other, and where each starts); run i has sizes[i] values."""
-    start, n = np.cumsum(sizes) - sizes, sizes[code]
-    at = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
-    return values[np.repeat(start[code] - at[:-1], n) + np.arange(at[-1])], at
-
-
 def give_back() -> None:
     """Return to the system what this process has freed: Arrow's pool and the C library keep it else, and Spark's workers live for many stages."""
     pa.default_memory_pool().release_unused()

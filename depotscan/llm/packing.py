@@ -35,12 +35,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _store
-from ._text import chunk_codes, gather, give_back, pieces
+from ._text import give_back, pieces
 
 #: Rows in a ranking block at most, about; it sets the size of sort groups and changes no result's validity.
 BLOCK = 20_000
-#: Bytes of chunks and ids that a worker remembers, about; beyond half of it the older half is forgotten. It changes no result.
-REMEMBERED = 40_000_000
+#: Bytes of words and ids that a worker remembers, about, and bytes of text whose chunks are looked up together. Beyond half of the first the older
+#: half is forgotten. Larger ones take memory and save time; neither changes a result.
+REMEMBERED, TOGETHER = 64_000_000, 4_000_000
 #: How byte-level vocabularies write a blank.
 BLANK = "\u0120"
 #: White space before a blank: such texts are not cut at blanks.
@@ -70,7 +71,8 @@ class Chunks:
     A single line feed between two non-blanks is one as well, so what follows it is a chunk of its own.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int):
+        self.remembered = remembered
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -86,22 +88,24 @@ class Chunks:
 
     def get(self, chunk: str) -> bytes:
         """The ids of ' ' + chunk. No chunk has a blank; one in front says that it starts a line. Only what is left of a chunk without marks and lines is remembered, so a word takes one place however it ends."""
-        found = self.young.get(chunk)
-        if found is not None:
-            return found
         mark = self.marks.get(chunk[-1:])
-        if mark and _word(chunk, 0, len(chunk) - 1):
-            return self.get(chunk[:-1]) + mark
+        if mark is not None and _word(chunk, 0, len(chunk) - 1):
+            return self.kept(chunk[:-1]) + mark
         if "\n" in chunk and not _odd_feed(chunk):
             head, *lines = chunk.split("\n")
             return self.get(head) + b"".join([self.get(" " + x) for x in lines])
-        found = self.old.get(chunk)
+        return self.kept(chunk)
+
+    def kept(self, chunk: str) -> bytes:
+        found = self.young.get(chunk)
         if found is None:
-            found = self.make(chunk)
-        self.young[chunk] = found
-        self.size += 200 + len(chunk) + len(found)
-        if self.size > REMEMBERED // 2:
-            self.old, self.young, self.size = self.young, {}, 0
+            found = self.old.get(chunk)
+            if found is None:
+                found = self.make(chunk)
+            self.young[chunk] = found
+            self.size += 200 + len(chunk) + len(found)
+            if self.size > self.remembered // 2:
+                self.old, self.young, self.size = self.young, {}, 0
         return found
 
     def make(self, chunk: str) -> bytes:
@@ -115,38 +119,48 @@ class Chunks:
         return found if blank else self.feed + found
 
 
-@lru_cache(maxsize=2)
-def chunks(path: str) -> Chunks:
-    return Chunks(path)
+@lru_cache(maxsize=1)
+def chunks(path: str, remembered: int = REMEMBERED) -> Chunks:
+    return Chunks(path, remembered)
+
+
+class Met(dict):
+    """The ids of a block's chunks as they stand, each made once; forgotten with the block."""
+
+    def __init__(self, memo: Chunks):
+        super().__init__()
+        self.make = memo.get
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self[chunk] = self.make(chunk)
+        return found
 
 
-def token_ids(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+def token_ids(column: pa.Array, path: str, remembered: int = REMEMBERED) -> tuple[np.ndarray, np.ndarray]:
     """(ids, row offsets) of texts, null as empty. A blank after a non-blank always starts a token, so a text without white space before a blank is cut there, and each chunk of a block is looked up once; others, and texts with special strings, go to the tokenizer whole."""
-    memo = chunks(path)
+    memo = chunks(path, remembered)
+    met, skip = Met(memo), len(memo.feed)
     column = pc.fill_null(column, "")
     whole = pc.or_(pc.match_substring(column, "<|"), pc.match_substring_regex(column, _PAIR))
-    odd = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
-    code, rows, texts = chunk_codes(pc.if_else(whole, "", column))
-    first = rows[:-1]
-    heads, place = np.unique(code[first], return_inverse=True)
-    code[first] = len(texts) + place  # a text's first chunk has no blank in front
-    code[first[odd]] = len(texts) + len(heads) + np.arange(len(odd))
-    used = np.zeros(len(texts) + len(heads) + len(odd), bool)
-    used[code] = True
-    found = [memo.get(x) if ok else b"" for x, ok in zip(texts, used, strict=False)]
-    found += [memo.ids(texts[i]) if texts[i] else b"" for i in heads] + [memo.ids(column[i].as_py()) for i in odd]
-    ids, at = gather(np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4, code)
-    return ids, at[rows]
-
-
-def token_pieces(docs: DataFrame, vocabulary: str, window: int, id_col: str, text_col: str) -> DataFrame:
+    found = []
+    for text, odd in zip(column.to_pylist(), whole.to_pylist(), strict=True):
+        if odd:
+            found.append(memo.ids(text))
+            continue
+        head, *rest = text.split(" ")  # a text starts as a line does, but with no feed before it
+        found.append(met[" " + head][skip:] + b"".join(map(met.__getitem__, rest)))
+    at = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)])
+    return np.frombuffer(b"".join(found), "<u4"), at
+
+
+def token_pieces(docs: DataFrame, vocabulary: str, window: int, id_col: str, text_col: str, remembered: int = REMEMBERED, together: int = TOGETHER) -> DataFrame:
     """(id, key, start, length, ids_crc32, doc_tokens): full windows and the remainder of each text, an end mark of id 0 included; key tells texts of one identifier apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text", 1 << 20):
+            for part in pieces(batch, "text", together):
                 row, start, length, crc, total = [], [], [], [], []
-                ids, at = token_ids(part.column("text"), vocabulary)
+                ids, at = token_ids(part.column("text"), vocabulary, remembered)
                 data, at = ids.tobytes(), at.tolist()
                 for i in range(part.num_rows):
                     n = at[i + 1] - at[i] + 1
@@ -169,14 +183,14 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
 
 
-def cut_pieces(docs: DataFrame, cuts: DataFrame, vocabulary: str, id_col: str, text_col: str) -> DataFrame:
+def cut_pieces(docs: DataFrame, cuts: DataFrame, vocabulary: str, id_col: str, text_col: str, remembered: int = REMEMBERED, together: int = TOGETHER) -> DataFrame:
     """cuts (id, key, start, length, doc_tokens, sequence_id, offset) with the checksums of their ids, from the texts tokenized again."""
     names = ["start", "length", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text", 1 << 20):
-                ids, at = token_ids(part.column("text"), vocabulary)
+            for part in pieces(batch, "text", together):
+                ids, at = token_ids(part.column("text"), vocabulary, remembered)
                 asked = part.column("cuts")
                 row = np.repeat(np.arange(part.num_rows), asked.value_lengths().to_numpy(zero_copy_only=False))
                 flat = asked.flatten()
@@ -292,10 +306,10 @@ def plan(counts: dict[int, int], window: int) -> list[tuple[int, ...]]:
     return rows
 
 
-def pack(docs: DataFrame, vocabulary: str, window: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row per piece; window is a power of two."""
+def pack(docs: DataFrame, vocabulary: str, window: int = 1024, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED, together: int = TOGETHER) -> DataFrame:
+    """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row per piece; window is a power of two. remembered and together bound a worker's memory."""
     spark = docs.sparkSession
-    parts = _store.store(token_pieces(docs, vocabulary, window, id_col, text_col), "pack-pieces")
+    parts = _store.store(token_pieces(docs, vocabulary, window, id_col, text_col, remembered, together), "pack-pieces")
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `window` rows
     block = min(BLOCK, sum(counts.values()) // int(spark.conf.get("spark.sql.shuffle.partitions")) + 1)
     blocks = spark.createDataFrame([(x, n // block + 1) for x, n in counts.items()], "length long, blocks long")
@@ -319,5 +333,5 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 1024, id_col: str = "do
     if not any(taken < length for length, _, _, _, taken, *_ in patterns):
         return placed.select(*names)
     placed = _store.store(placed, "pack-placed")
-    cut = cut_pieces(docs, placed.where("ids_crc32 is null").drop("ids_crc32"), vocabulary, id_col, text_col)
+    cut = cut_pieces(docs, placed.where("ids_crc32 is null").drop("ids_crc32"), vocabulary, id_col, text_col, remembered, together)
     return placed.where("ids_crc32 is not null").select(*names).unionByName(cut.select(*names))
