@@ -41,7 +41,7 @@ from ._text import give_back, pieces
 BLOCK = 20_000
 #: Bytes of words and ids that a worker remembers, about, and bytes of text whose chunks are looked up together. Beyond half of the first the older
 #: half is forgotten. Larger ones take memory and save time; neither changes a result.
-REMEMBERED, TOGETHER = 64_000_000, 4_000_000
+REMEMBERED, TOGETHER = 160_000_000, 4_000_000
 #: How byte-level vocabularies write a blank.
 BLANK = "\u0120"
 #: White space before a blank: such texts are not cut at blanks.
