@@ -63,13 +63,17 @@ ENOUGH_LETTERS, LEAST_COSINE = 100, 0.16
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what has no language: no text, none with a letter, or one that is long enough to tell and like no language."""
-    prototypes = language.learn(docs.where(~language.held_out("doc_id")))
+    """Drops what has no language: no text, none with a letter, or one that is long enough to tell and like no language.
+
+    Only texts go to Python, in batches of bounded size whoever writes the result; the rows to drop are stored."""
+    with _store.bounded(spark):
+        prototypes = language.learn(docs.where(~language.held_out("doc_id")))
     if not prototypes:  # nothing to learn from: a letter decides
         return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
-    whole = docs.select(F.struct(*docs.columns).alias("doc"), "text")
-    few = F.length(F.regexp_replace("text", r"\P{L}+", "")) < ENOUGH_LETTERS
-    return language.identify(whole, prototypes).where((F.col("lang_pred") != "und") & ((F.col("score") >= LEAST_COSINE) | few)).select("doc.*")
+    rows, _ = _numbered(docs)
+    many = F.length(F.regexp_replace("text", r"\P{L}+", "")) >= ENOUGH_LETTERS
+    judged = language.identify(rows.select("row", "text"), prototypes)
+    return _without(rows, judged.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_COSINE) & many))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,7 +86,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts linked by a 5-word shingle Jaccard of 0.8 or more one row stays, with the smallest doc_id."""
     rows, others = _numbered(docs)
-    found = ngram_join.ngram_join(rows, n=5, num=80, den=100, id_col="row")
+    with _store.bounded(spark):
+        found = ngram_join.ngram_join(rows, n=5, num=80, den=100, id_col="row")
     return _without(rows, _later(found.select("row", F.col("component_id").alias("group")), others, "group"))
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +12,9 @@ from pyspark.sql import functions as F
 from depotscan import storage
 from depotscan.storage import discard, new_path
 
-__all__ = ["BATCH", "BROADCAST_KEYS", "discard", "new_path", "release", "semi", "small", "store"]
+__all__ = ["BATCH", "BROADCAST_KEYS", "bounded", "discard", "new_path", "release", "semi", "small", "store"]
 
-#: Bytes of a batch that goes to Python while a table is stored: batches are held by the JVM and the worker, several times over.
+#: Bytes of a batch that goes to Python within bounded(), so while a table is stored: batches are held by the JVM and the worker, several times over.
 BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 #: Keys that may be broadcast: as a hash table about 110 MB on each executor for 8-byte keys, 250 MB for digests.
@@ -28,15 +30,21 @@ def small(keys: DataFrame, n_keys: int) -> DataFrame:
     return F.broadcast(keys) if n_keys <= BROADCAST_KEYS else keys
 
 
+@contextmanager
+def bounded(spark: SparkSession) -> Iterator[None]:
+    """Queries that run within send batches of bounded size to Python."""
+    before = spark.conf.get(BATCH[0], None)
+    spark.conf.set(*BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH[0]) if before is None else spark.conf.set(BATCH[0], before)
+
+
 def store(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back, with batches of bounded size on the way through Python."""
-    conf = df.sparkSession.conf
-    before = conf.get(BATCH[0], None)
-    conf.set(*BATCH)
-    try:
+    with bounded(df.sparkSession):
         return storage.store(df, tag)
-    finally:
-        conf.unset(BATCH[0]) if before is None else conf.set(BATCH[0], before)
 
 
 def release(spark: SparkSession) -> None:

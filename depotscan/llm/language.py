@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from ._text import pieces
+from ._text import give_back, pieces
 
 DIMENSIONS = 1024
 SYMBOLS = 128  # 0: no letter; 1 to 26: a to z; the rest: other letters by code point
@@ -95,6 +95,7 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "lang")
                 labels = np.array(part.column(1).to_pylist(), object)
                 for label in set(labels):
                     sums[label] = sums.get(label, 0) + vectors[labels == label].sum(axis=0, dtype=np.float64)
+            give_back()
         for label, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([label] * DIMENSIONS), pa.array(range(DIMENSIONS), pa.int32()), pa.array(total)], names=["label", "i", "x"])
 
@@ -124,6 +125,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
                     label = [names[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)]
                     score = np.where(lettered, np.clip(cosines[np.arange(len(best)), best], 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(label, pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
+            give_back()
 
     return docs.mapInArrow(run, schema)
 

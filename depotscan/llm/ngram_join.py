@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _store
-from ._text import LOWER, mix, pieces, raw, run_hashes, word_hashes, words
+from ._text import LOWER, give_back, mix, pieces, raw, run_hashes, word_hashes, words
 from .components import components
 
 #: The sketch has 2**SKETCH_BITS counters; its size doesn't depend on the data.
@@ -86,6 +86,7 @@ def document_frequencies(docs: DataFrame, n: int) -> np.ndarray:
                 sets.extend(ngram_sets(part.column(0), n))
                 if sum(map(len, sets)) > COUNTED:
                     add_up()
+            give_back()
         if sets:
             add_up()
         chunks = [zlib.compress(x.tobytes(), 1) for x in total.reshape(-1, SKETCH_CHUNK)]
@@ -144,6 +145,7 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
                     flat = pa.array(flat.view(np.int64)) if i == 0 else pa.array((flat & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
                     orders.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in order])]), pa.int32()), flat))
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(size, pa.int64()), pa.array(np.array(low, np.uint64).view(np.int64)), pa.array(np.array(high, np.uint64).view(np.int64)), *orders], names=["id", "size", "low", "high", "p0", "p1", "p2"])
+            give_back()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,6 +155,7 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     good.append(den * both >= num * (len(x) + len(y) - both))
                 yield part.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            give_back()
 
     rows = _store.store(slim.mapInArrow(prefixes, f"id {id_type}, size long, low long, high long, p0 array<long>, p1 array<int>, p2 array<int>"), "join-sets")
     # Stored, so that the join below is between plain exchanges and a hot class can be split.

@@ -31,7 +31,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _store
@@ -306,13 +306,19 @@ def plan(counts: dict[int, int], window: int) -> list[tuple[int, ...]]:
     return rows
 
 
+def _table(spark: SparkSession, rows: list[tuple[int, ...]], names: list[str]) -> DataFrame:
+    """A few rows of whole numbers, as an Arrow table: rows of Python objects would start workers of their own on the executors, which stay."""
+    columns = zip(*rows, strict=True) if rows else ((),) * len(names)
+    return spark.createDataFrame(pa.table({name: pa.array(x, pa.int64()) for name, x in zip(names, columns, strict=True)}))
+
+
 def pack(docs: DataFrame, vocabulary: str, window: int = 1024, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED, together: int = TOGETHER) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row per piece; window is a power of two. remembered and together bound a worker's memory."""
     spark = docs.sparkSession
     parts = _store.store(token_pieces(docs, vocabulary, window, id_col, text_col, remembered, together), "pack-pieces")
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `window` rows
     block = min(BLOCK, sum(counts.values()) // int(spark.conf.get("spark.sql.shuffle.partitions")) + 1)
-    blocks = spark.createDataFrame([(x, n // block + 1) for x, n in counts.items()], "length long, blocks long")
+    blocks = _table(spark, [(x, n // block + 1) for x, n in counts.items()], ["length", "blocks"])
     dealt = parts.join(F.broadcast(blocks), "length").withColumn("block", F.pmod(F.xxhash64("id", "key", "start"), F.col("blocks"))).drop("blocks")
 
     sizes = dealt.groupBy("length", "block").agg(F.count("*").alias("n"))
@@ -322,7 +328,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 1024, id_col: str = "do
 
     # A few rows per length: their number depends on the window, not on the corpus.
     patterns = plan(counts, window)
-    planned = spark.createDataFrame(patterns, "length long, from_rank long, to_rank long, skip long, taken long, at long, n long, first long, base long")
+    planned = _table(spark, patterns, ["length", "from_rank", "to_rank", "skip", "taken", "at", "n", "first", "base"])
     here = (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("to_rank"))
     at = F.col("at") + F.col("rank") - F.col("from_rank")
     placed = ranked.join(F.broadcast(planned), "length").where(here).select(

@@ -109,3 +109,28 @@ def test_pipeline_rejects_noise_and_keeps_short_texts(spark):
     got = {r.doc_id for r in corpus_pipeline.known_language(spark, docs.unionByName(more), "").collect()}
     assert {i for i in got if i >= 10**6} == {10**6 + 3}
     assert got - {10**6 + 3} == {r.doc_id for r in docs.where("text rlike '\\\\p{L}'").collect()}
+
+
+def test_pipeline_sends_python_small_batches(spark, tmp_path, monkeypatch):
+    def noted(module, name):
+        whole, path = getattr(module, name), f"{tmp_path}/{name}"
+
+        def note(batches):
+            for batch in batches:
+                with open(path, "a") as out:
+                    out.write(f"{batch.nbytes}\n")
+                yield batch
+
+        monkeypatch.setattr(module, name, lambda docs, *args, **more: whole(docs.mapInArrow(note, docs.schema), *args, **more))
+        return path
+
+    dice = random.Random(31)
+    rows = [(i, " ".join(f"{dice.choice(['the', 'river', 'house'])}{'abcdefgh'[dice.randrange(8)]}" for _ in range(1400)), "en", "s", 8000, None, 7) for i in range(1500)]
+    spark.createDataFrame(rows, COLUMNS).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").coalesce(1)
+    paths = [noted(corpus_pipeline.language, "learn"), noted(corpus_pipeline.language, "identify"), noted(corpus_pipeline.ngram_join, "ngram_join")]
+    for stage in (corpus_pipeline.known_language, corpus_pipeline.near_copies):  # written by others, with Spark's own batches
+        stage(spark, docs, "").write.format("noop").mode("overwrite").save()
+    for path in paths:
+        sizes = [int(x) for x in open(path)]
+        assert sum(sizes) > 8_000_000 and max(sizes) < 5_000_000, path
