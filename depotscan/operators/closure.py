@@ -81,10 +81,21 @@ def missing_needed(needed: DataFrame, providers: DataFrame) -> DataFrame:
     return short.join(providers.select("arch", "soname"), ["arch", "soname"], "left_anti").select("file", "arch", F.col("soname").alias("needed_name"))
 
 
-def soname_conflicts(resolved: DataFrame) -> DataFrame:
-    """(file, needed_name, choices): names with several candidates, the chosen one first, as package and path."""
-    found = resolved.groupBy("file", "needed_name").agg(F.sort_array(F.collect_list(F.struct("rank", "package", "path"))).alias("c"))
-    return found.where(F.size("c") > 1).select("file", "needed_name", F.transform("c", lambda x: F.concat(x["package"], F.lit(":"), x["path"])).alias("choices"))
+def soname_conflicts(needed: DataFrame, providers: DataFrame, separator: str | None = None) -> DataFrame:
+    """(file, needed_name, choices): names with several candidates, the chosen one first, as package and path; one text,
+    where a separator is given.
+
+    needed has each (file, needed_name) once. Candidates of one package and path are counted, not repeated, until a list
+    is written out. A list is made once for each path that needs a name and joined to the files last, so what is shuffled
+    follows the lists and the files, not their product."""
+    key = ["needing", "arch", "soname"]
+    wanted = needed.select("file", F.col("path").alias("needing"), F.coalesce("arch", F.lit("")).alias("arch"), F.col("needed_name").alias("soname"))
+    alike = providers.groupBy("arch", "soname", "package", "path").agg(F.count("*").cast("int").alias("n"))
+    place = F.struct((-provider_priority(F.col("path"), F.col("needing"))).alias("s"), "package", "path", "n")
+    ranked = wanted.select(*key).distinct().join(alike, ["arch", "soname"]).groupBy(*key).agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(place)).alias("c")).where("n > 1")
+    choices = F.flatten(F.transform("c", lambda x: F.array_repeat(F.concat(x["package"], F.lit(":"), x["path"]), x["n"])))
+    lists = ranked.select(*key, (choices if separator is None else F.array_join(choices, separator)).alias("choices"))
+    return wanted.join(lists, key).select("file", F.col("soname").alias("needed_name"), "choices")
 
 
 def closure_diff_merge(old: DataFrame, new: DataFrame) -> Merge:

@@ -599,7 +599,7 @@ _ONE = "a_one AS (SELECT file, needed_name, min((arch, path)) AS m FROM a_needed
 _RESOLVED_SQL = f"WITH {_ONE}, x AS ({_RESOLVED.replace('a_needed', 'b_needed')}) "
 query("resolve_needed", _RESOLVED_SQL + "SELECT file, needed_name, provider, rank FROM x WHERE rank = 1")(lambda t: closure.resolve_needed(_one_arch_needed(t), t.a_provider, best_only=True).select("file", "needed_name", "provider", C("rank").cast("long").alias("rank")))
 query("missing_needed", "SELECT file, arch, needed_name FROM a_needed n WHERE arch IN (SELECT arch FROM a_provider WHERE file_id % 3 = 1) AND NOT EXISTS (SELECT 1 FROM a_provider p WHERE p.arch = n.arch AND soname = needed_name AND file_id % 3 = 1)")(lambda t: closure.missing_needed(t.a_needed, t.a_provider.where("file_id % 3 = 1")))
-query("soname_conflicts", _RESOLVED_SQL + "SELECT file, needed_name, string_agg(package || ':' || path, ',' ORDER BY rank) AS choices FROM x GROUP BY ALL HAVING count(*) > 1")(lambda t: closure.soname_conflicts(closure.resolve_needed(_one_arch_needed(t), t.a_provider)).withColumn("choices", F.array_join("choices", ",")))
+query("soname_conflicts", _RESOLVED_SQL + "SELECT file, needed_name, string_agg(package || ':' || path, ',' ORDER BY rank) AS choices FROM x GROUP BY ALL HAVING count(*) > 1")(lambda t: closure.soname_conflicts(_one_arch_needed(t), t.a_provider, ","))
 _CLOSE = "c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src)"
 query("transitive_closure", f"WITH RECURSIVE e AS (SELECT src, dst FROM a_edges_dag UNION SELECT -1 - src, -1 - dst FROM a_edges_cyclic), {_CLOSE} SELECT src, dst FROM c")(
     lambda t: closure.transitive_closure(t.a_edges_dag.unionByName(t.a_edges_cyclic.select((-1 - C("src")).alias("src"), (-1 - C("dst")).alias("dst"))))

@@ -555,3 +555,37 @@ def test_epochs_of_listings(spark):
     good, bad = readers.repo_primary_validate(df)
     assert sorted(map(str, (r.epoch for r in good.collect()))) == sorted(str(v) for v in cases.values() if v != "bad")
     assert {(r.epoch, r.reason) for r in bad.collect()} == {(k, "epoch") for k, v in cases.items() if v == "bad"}
+
+
+def shuffled_bytes(spark, df):
+    """Bytes that df's stages write to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    store, bridge = sc.statusStore(), spark.sparkContext._gateway.jvm.scala.jdk.javaapi.CollectionConverters
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        found = store.stageList(None, *(getattr(store, f"stageList$default${i}")() for i in range(2, 6)))
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in bridge.asJava(found)}
+
+    before = stages()
+    df.write.format("noop").mode("overwrite").save()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_choices_are_listed_once_for_a_path(spark):
+    names = [f"/opt/{i}" for i in range(4)]
+    providers = spark.createDataFrame([("x", "l", i, random.Random(i % 690).randbytes(30).hex(), "p") for i in range(700)] + [("x", "one", 1, "/lib/one", "p")], "arch string, soname string, file_id long, path string, package string")
+    needed = spark.createDataFrame([(i, f"{names[i % 4]}/b", "x", n) for i in range(120) for n in ("l", "one", "none")], "file long, path string, arch string, needed_name string")
+    found = closure.soname_conflicts(needed, providers)
+    ranked = closure.resolve_needed(needed, providers).where("needed_name = 'l'").collect()
+    want = {i: [f"{r.package}:{r.path}" for r in sorted((r for r in ranked if r.file == i), key=lambda r: r.rank)] for i in range(120)}
+    got = found.collect()
+    assert len(got) == 120 and {(r.file, r.needed_name): r.choices for r in got} == {(i, "l"): c for i, c in want.items()} and all(len(c) == 700 for c in want.values())
+    assert rows(closure.soname_conflicts(needed, providers, ",")) == sorted((i, "l", ",".join(c)) for i, c in want.items())
+    assert shuffled_bytes(spark, found) < 2_000_000  # a list has 60 kB
+
+
+def test_choices_without_architecture(spark):
+    providers = spark.createDataFrame([("", "l", 1, "/b", "p"), ("", "l", 2, "/lib/b", "p"), ("", "l", 3, "/b", "p"), ("x", "l", 4, "/c", "p")], "arch string, soname string, file_id long, path string, package string")
+    needed = spark.createDataFrame([(1, "/b", None, "l"), (2, "/lib/b", "x", "l"), (3, "/usr/q", "", "l")], "file long, path string, arch string, needed_name string")
+    assert rows(closure.soname_conflicts(needed, providers, ",")) == [(1, "l", "p:/lib/b,p:/b,p:/b"), (3, "l", "p:/lib/b,p:/b,p:/b")]
