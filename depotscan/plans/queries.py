@@ -151,7 +151,7 @@ scalar(
     "same_directory", "a_object", ["file_id"], "SELECT file_id, name LIKE '/lib64/%' AS r FROM a_object",
     r=lambda: S.same_directory(C("name"), L("/lib64/x")),
 )
-scalar("epoch_to_timestamp", "orders", ["o_orderkey"], "SELECT o_orderkey, CAST(TIMESTAMP '1970-01-01' + to_seconds(o_orderkey * 86399) AS VARCHAR) AS r FROM orders", r=lambda: S.epoch_to_timestamp(C("o_orderkey") * 86399).cast("string"))
+scalar("epoch_to_timestamp", "orders", ["o_orderkey"], "SELECT o_orderkey, CAST(TIMESTAMP '1970-01-01' + to_seconds(o_orderkey * 86399) AS VARCHAR) AS r FROM orders", r=lambda: S.timestamp_text(S.epoch_to_timestamp(C("o_orderkey") * 86399)))
 scalar("regex_match", "a_file", ["file_id"], "SELECT file_id, regexp_matches(name, '^/(etc|opt)/.*[0-9]$') AS r FROM a_file", r=lambda: S.regex_match(C("name"), "^/(etc|opt)/.*[0-9]$"))
 scalar("enum_text", "part", ["p_partkey"], "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'require' WHEN 1 THEN 'provide' WHEN 2 THEN 'conflict' WHEN 3 THEN 'obsolete' END AS r FROM part", r=lambda: S.enum_text("dependency", C("p_size") % 5))
 

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -589,3 +590,13 @@ def test_choices_without_architecture(spark):
     providers = spark.createDataFrame([("", "l", 1, "/b", "p"), ("", "l", 2, "/lib/b", "p"), ("", "l", 3, "/b", "p"), ("x", "l", 4, "/c", "p")], "arch string, soname string, file_id long, path string, package string")
     needed = spark.createDataFrame([(1, "/b", None, "l"), (2, "/lib/b", "x", "l"), (3, "/usr/q", "", "l")], "file long, path string, arch string, needed_name string")
     assert rows(closure.soname_conflicts(needed, providers, ",")) == [(1, "l", "p:/lib/b,p:/b,p:/b"), (3, "l", "p:/lib/b,p:/b,p:/b")]
+
+
+def test_timestamps_of_distant_years_read_as_in_sql(spark):
+    keys = [0, 1, 149_999, 2_932_896, 2_932_920, 2_932_930, 3_000_000, 7_654_321, 8_999_999, 50_000_000, 106_751_990, -1, -719_000, -719_527, -719_540, -719_900, -800_000, -5_000_000, None]
+    seconds = [None if k is None else k * 86399.0 + f for k in keys for f in (0, 0.25)]
+    text = S.timestamp_text(S.epoch_to_timestamp(F.col("s")))
+    got = [r.r for r in spark.createDataFrame([(s,) for s in seconds], "s double").coalesce(1).select(text.alias("r")).collect()]
+    want = [duckdb.execute("SELECT CAST(TIMESTAMP '1970-01-01' + to_seconds(?) AS VARCHAR)", [s]).fetchone()[0] for s in seconds]
+    assert got == want
+    assert {"0001-01-10 (BC) 07:52:07", "10183-08-17 06:40:00", "26610-11-16 20:00:00.999936", "2380-09-05 06:20:01", None} <= set(got)
