@@ -558,19 +558,19 @@ def test_epochs_of_listings(spark):
     assert {(r.epoch, r.reason) for r in bad.collect()} == {(k, "epoch") for k, v in cases.items() if v == "bad"}
 
 
-def shuffled_bytes(spark, df):
-    """Bytes that df's stages write to shuffles."""
+def shuffled(spark, df):
+    """(rows, bytes) that df's stages write to shuffles."""
     sc = spark.sparkContext._jsc.sc()
     store, bridge = sc.statusStore(), spark.sparkContext._gateway.jvm.scala.jdk.javaapi.CollectionConverters
 
     def stages():
         sc.listenerBus().waitUntilEmpty(30_000)
         found = store.stageList(None, *(getattr(store, f"stageList$default${i}")() for i in range(2, 6)))
-        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in bridge.asJava(found)}
+        return {(s.stageId(), s.attemptId()): (s.shuffleWriteRecords(), s.shuffleWriteBytes()) for s in bridge.asJava(found)}
 
     before = stages()
     df.write.format("noop").mode("overwrite").save()
-    return sum(n for k, n in stages().items() if k not in before)
+    return tuple(map(sum, zip(*(n for k, n in stages().items() if k not in before))))
 
 
 def test_choices_are_listed_once_for_a_path(spark):
@@ -583,7 +583,7 @@ def test_choices_are_listed_once_for_a_path(spark):
     got = found.collect()
     assert len(got) == 120 and {(r.file, r.needed_name): r.choices for r in got} == {(i, "l"): c for i, c in want.items()} and all(len(c) == 700 for c in want.values())
     assert rows(closure.soname_conflicts(needed, providers, ",")) == sorted((i, "l", ",".join(c)) for i, c in want.items())
-    assert shuffled_bytes(spark, found) < 2_000_000  # a list has 60 kB
+    assert shuffled(spark, found)[1] < 2_000_000  # a list has 60 kB
 
 
 def test_choices_without_architecture(spark):
@@ -600,3 +600,39 @@ def test_timestamps_of_distant_years_read_as_in_sql(spark):
     want = [duckdb.execute("SELECT CAST(TIMESTAMP '1970-01-01' + to_seconds(?) AS VARCHAR)", [s]).fetchone()[0] for s in seconds]
     assert got == want
     assert {"0001-01-10 (BC) 07:52:07", "10183-08-17 06:40:00", "26610-11-16 20:00:00.999936", "2380-09-05 06:20:01", None} <= set(got)
+
+
+def library_catalog(spark, libraries, defined):
+    """A set of all packages; libraries has (package, contents, file, arch, soname), defined (contents, name)."""
+    df = spark.createDataFrame(libraries, "package_id long, contents_id long, name string, arch string, soname string")
+    packages = df.select("package_id").distinct()
+    return {
+        "package_set": spark.createDataFrame([(1, "s")], "set_id long, name string"), "package_set_member": packages.select(F.lit(1).cast("long").alias("set_id"), "package_id"),
+        "package": packages.select("package_id", F.concat(F.lit("p"), "package_id").alias("name"), F.lit(None).cast("int").alias("epoch"), F.lit("1").alias("version"), F.lit("1").alias("release"), F.lit("binary").alias("kind"), F.lit("x").alias("arch")),
+        "file": df.select("package_id", "contents_id", "name"), "elf_file": df.select("contents_id", "arch", "soname").distinct(), "elf_definition": spark.createDataFrame(defined, "contents_id long, name string"),
+    }
+
+
+@pytest.mark.parametrize("block,cells", [(3, 10), (3, 4096), (1000, 4096), (1, 1)])
+def test_collisions_against_brute_force(spark, block, cells):
+    dice = random.Random(11)
+    contents = [(c, dice.choice("xy"), dice.choice(["a", "b", "c", None])) for c in range(30)]
+    libraries = [(dice.randrange(12), c, f"/usr/lib/{i}.so", arch, soname) for i in range(60) for c, arch, soname in [dice.choice(contents)]]
+    defined = [(dice.randrange(34), dice.choice(["hot", "hot", "warm", "cold", "_init"])) for _ in range(120)] + [(c, "rare") for c in (1, 2)]
+    names = {c: {n for d, n in defined if d == c and n != "_init"} for c in range(30)}
+    want = sorted((n, f"p{p}-1-1.x", f, f"p{q}-1-1.x", g) for p, c, f, a, s in libraries for q, d, g, b, t in libraries for n in names[c] & names[d] if c < d and p != q and a == b and s and t and s != t)
+    assert want and rows(audit.symbol_collisions(library_catalog(spark, libraries, defined), "s", block=block, cells=cells)) == want
+
+
+def test_copies_of_a_symbol_grow_with_its_libraries(spark):
+    def copies(n):
+        found = audit.symbol_collisions(library_catalog(spark, [(i, i, f"/usr/lib/{i}.so", "x", f"s{i}") for i in range(n)], [(i, "hot") for i in range(n)]), "s", block=2)
+        assert found.count() == n * (n - 1) // 2
+        return shuffled(spark, found)[0]
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert copies(600) < 2.5 * copies(300)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
